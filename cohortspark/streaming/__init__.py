@@ -1,0 +1,27 @@
+"""Operators that work row by row (or against a small lookup) and so accept a stream.
+
+Nothing here is new: these are the batch operators that need no order, no grouping
+and no second pass.
+"""
+
+from cohortspark.functions import nan_to_null, rename_by_pattern, sentinel_null
+from cohortspark.operators.reshape import (
+    items_long_likert,
+    items_long_slider,
+    score_type_long,
+    split_column,
+    unpivot,
+    unpivot_pairs,
+    unpivot_two_keys,
+)
+from cohortspark.operators.scoring import attach_key, score_wide
+from cohortspark.operators.stats import with_missing_counts
+from cohortspark.operators.surveys import demographics, mask_incomplete
+from cohortspark.operators.trials import rescale_stimuli
+
+__all__ = [
+    "attach_key", "demographics", "items_long_likert", "items_long_slider", "mask_incomplete",
+    "nan_to_null", "rename_by_pattern", "rescale_stimuli", "score_type_long", "score_wide",
+    "sentinel_null", "split_column", "unpivot", "unpivot_pairs", "unpivot_two_keys",
+    "with_missing_counts",
+]
