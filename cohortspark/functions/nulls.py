@@ -44,11 +44,10 @@ def sentinel_null(
     for name, kind in df.dtypes:
         if name not in wanted:
             continue
-        col = F.col(f"`{name}`")
         if kind.startswith(NUMERIC_TYPES):
-            changed[name] = F.nullif(col, F.lit(number).cast(kind))
+            changed[name] = F.expr(f"nullif(`{name}`, cast({number} as {kind}))")
         elif kind == "string":
-            changed[name] = F.nullif(col, F.lit(text))
+            changed[name] = F.nullif(F.col(f"`{name}`"), F.lit(text))
     return df.withColumns(changed) if changed else df
 
 

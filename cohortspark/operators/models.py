@@ -209,24 +209,34 @@ def _cross_products(
     return rows.groupBy(subject).agg(*[s.alias(name) for name, s in sums.items()])
 
 
-def _unpack(pdf: pd.DataFrame, p: int, slope: int):
-    """Flat statistics to X'X, Z'[y X], Z'Z stacks; Z holds the intercept and the slope term."""
-    xx = np.empty((len(pdf), p, p))
-    for i, j in _upper(p):
-        xx[:, i, j] = xx[:, j, i] = pdf[f"xx{i}_{j}"].to_numpy()
-    xy = pdf[[f"xy{i}" for i in range(p)]].to_numpy()
+def _unpacker(p: int, slope: int):
+    """Function from flat statistics to stacks of Z'[y X] and Z'Z.
+
+    Z holds the intercept and the slope term. It travels to the tasks by value, so
+    they need numpy and pandas only.
+    """
+    upper = _upper(p)
     z = [0, slope]
-    both = np.concatenate([xy[:, z, None], xx[:, z, :]], axis=2)
-    return both, xx[:, z][:, :, z]
+
+    def unpack(pdf: pd.DataFrame):
+        xx = np.empty((len(pdf), p, p))
+        for i, j in upper:
+            xx[:, i, j] = xx[:, j, i] = pdf[f"xx{i}_{j}"].to_numpy()
+        xy = pdf[[f"xy{i}" for i in range(p)]].to_numpy()
+        both = np.concatenate([xy[:, z, None], xx[:, z, :]], axis=2)
+        return both, xx[:, z][:, :, z]
+
+    return unpack
 
 
 def _random_effects(stats, subject, p, slope, beta, covariance, sigma2) -> DataFrame:
     inverse = np.linalg.inv(covariance)
     line = np.concatenate([[1.0], -beta])
+    unpack = _unpacker(p, slope)
 
     def modes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            both, zz = _unpack(pdf, p, slope)
+            both, zz = unpack(pdf)
             spread = np.linalg.inv(zz / sigma2 + inverse)
             b = np.einsum("gab,gb->ga", spread, both @ line) / sigma2
             yield pd.DataFrame(
@@ -244,35 +254,44 @@ def _random_effects(stats, subject, p, slope, beta, covariance, sigma2) -> DataF
 def _participant_sums(stats, p, slope, covariance, sigma2) -> dict[str, np.ndarray]:
     """One pass over the participants: everything an update of (beta, D, sigma2) needs.
 
-    Random effects are linear in (1, -beta), so their second moments are summed as
-    coefficient arrays and evaluated once beta is known. Each partition sends one row.
+    Random effects are linear in (1, -beta), so products with them are summed as
+    coefficient arrays and evaluated once beta is known. Each partition sends a fixed
+    number of values.
     """
     inverse = np.linalg.inv(covariance)
+    unpack = _unpacker(p, slope)
     q = p + 1
-    shapes = {"k": (q, q), "m": (2 * q, 2 * q), "s": (q, q), "c": (2, 2), "t": (1,), "g": (1,)}
+    shapes = {
+        "gcg": (q, q), "ww": (2, q, 2, q), "gw": (2, q, 2, q), "zww": (2, 2, 2, q, 2, q),
+        "zc": (2, 2, 2, 2), "c": (2, 2), "count": (1,),
+    }
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = {name: np.zeros(shape) for name, shape in shapes.items()}
         for pdf in batches:
             if pdf.empty:
                 continue
-            both, zz = _unpack(pdf, p, slope)
+            both, zz = unpack(pdf)
             spread = np.linalg.inv(zz / sigma2 + inverse)
             shrunk = spread @ both
-            w = shrunk / sigma2
-            flat = w.reshape(len(pdf), 2 * q)
-            total["k"] += both.reshape(-1, q).T @ shrunk.reshape(-1, q)
-            total["m"] += flat.T @ flat
-            total["s"] += w.reshape(-1, q).T @ (zz @ w - 2 * both).reshape(-1, q)
+            total["gcg"] += both.reshape(-1, q).T @ shrunk.reshape(-1, q)
+            g = both.reshape(len(pdf), 2 * q)
+            w = shrunk.reshape(len(pdf), 2 * q) / sigma2
+            total["ww"] += (w.T @ w).reshape(shapes["ww"])
+            total["gw"] += (g.T @ w).reshape(shapes["gw"])
+            for i in range(2):
+                for j in range(2):
+                    weighted = w * zz[:, i, j, None]
+                    total["zww"][i, j] += (weighted.T @ w).reshape(shapes["ww"])
+            total["zc"] += np.einsum("gij,gab->ijab", zz, spread)
             total["c"] += spread.sum(axis=0)
-            total["t"] += np.einsum("gab,gba->", zz, spread)
-            total["g"] += len(pdf)
+            total["count"] += len(pdf)
         values = np.concatenate([v.ravel() for v in total.values()])
         yield pd.DataFrame({"pos": np.arange(len(values)), "value": values})
 
     parts = stats.mapInPandas(sums, "pos long, value double")
-    found = parts.groupBy("pos").agg(F.sum("value").alias("value")).orderBy("pos").collect()
-    values = np.array([r["value"] for r in found])
+    found = parts.groupBy("pos").agg(F.sum("value").alias("value")).collect()
+    values = np.array([r["value"] for r in sorted(found, key=lambda r: r["pos"])])
     out, start = {}, 0
     for name, shape in shapes.items():
         size = int(np.prod(shape))
@@ -291,24 +310,40 @@ def _totals(stats: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, float, fl
 
 
 def _update(stats, totals, p, slope, covariance, sigma2, precision, fixed_scale):
-    """One ECME step: beta by generalised least squares, then D and sigma2 given beta."""
+    """One step: beta by generalised least squares, then D and sigma2 given beta.
+
+    The expected random effects get a free 2 x 2 multiplier in the fit (parameter
+    expansion), which keeps the number of passes small also for tiny variances.
+    """
     xx, xy, yy, n = totals
     s = _participant_sums(stats, p, slope, covariance, sigma2)
-    left = xx / sigma2 - s["k"][1:, 1:] / sigma2**2 + np.diag(precision)
-    right = xy / sigma2 - s["k"][1:, 0] / sigma2**2
+    left = xx / sigma2 - s["gcg"][1:, 1:] / sigma2**2 + np.diag(precision)
+    right = xy / sigma2 - s["gcg"][1:, 0] / sigma2**2
     beta = np.linalg.solve(left, right)
     line = np.concatenate([[1.0], -beta])
-    second = np.einsum("akbl,k,l->ab", s["m"].reshape(2, p + 1, 2, p + 1), line, line)
-    spread = (second + s["c"]) / s["g"][0]
-    spread = (spread + spread.T) / 2
+    effects = np.einsum("akbl,k,l->ab", s["ww"], line, line) + s["c"]
+    # least squares of the residual on (design x expected effect): H vec(A) = h
+    h = np.einsum("akbl,k,l->ab", s["gw"], line, line)
+    inner = np.einsum("ijakbl,k,l->ijab", s["zww"], line, line) + s["zc"]
+    system = np.einsum("ijab->iajb", inner).reshape(4, 4)
+    multiplier = np.linalg.lstsq(system, h.reshape(4), rcond=None)[0]
+    expand = multiplier.reshape(2, 2)
+    spread = expand @ (effects / s["count"][0]) @ expand.T
+    spread = (spread + spread.T) / 2 + 1e-10 * np.eye(2)
     if not fixed_scale:
         rest = yy - 2 * beta @ xy + beta @ xx @ beta
-        sigma2 = float((rest + line @ s["s"] @ line + s["t"][0]) / n)
+        rest += multiplier @ system @ multiplier - 2 * multiplier @ h.reshape(4)
+        sigma2 = max(float(rest / n), 1e-10)
     return beta, spread, sigma2, np.sqrt(np.diag(np.linalg.inv(left)))
 
 
-def _change(old: Sequence[np.ndarray], new: Sequence[np.ndarray]) -> float:
-    return max(float(np.max(np.abs(np.asarray(a) - np.asarray(b)))) for a, b in zip(old, new))
+def _change(old: tuple, new: tuple, sigma2: float) -> float:
+    """Largest step of (beta, D, sigma2): beta against its size, variances against all variance."""
+    beta = np.abs(old[0] - new[0]) / (1 + np.abs(new[0]))
+    level = sigma2 + np.abs(new[1]).max()
+    return float(max(beta.max(), np.abs(old[1] - new[1]).max() / level, *(
+        abs(a - b) / level for a, b in zip(old[2:], new[2:])
+    ), 0.0))
 
 
 def lmm_fit(
@@ -343,7 +378,8 @@ def lmm_fit(
         new_beta, new_cov, new_sigma2, error = _update(
             stats, totals, p, at, covariance, sigma2, precision, fixed_scale=False
         )
-        done = _change((beta, covariance, sigma2), (new_beta, new_cov, new_sigma2)) < tolerance
+        new = (new_beta, new_cov, new_sigma2)
+        done = _change((beta, covariance, sigma2), new, new_sigma2) < tolerance
         beta, covariance, sigma2 = new_beta, new_cov, new_sigma2
     return MixedFit(
         (INTERCEPT, *terms), beta, error, covariance, sigma2, step, done, at, subject, stats
@@ -403,7 +439,7 @@ def glmm_fit(
                 stats, totals, p, at, covariance, 1.0, precision, fixed_scale=True
             )
         effects = _random_effects(stats, subject, p, at, beta, covariance, 1.0)
-        done = _change(before, (beta, covariance)) < tolerance
+        done = _change(before, (beta, covariance), 1.0) < tolerance
     return MixedFit(
         (INTERCEPT, *terms), beta, error, covariance, 1.0, step, done, at, subject, stats
     )

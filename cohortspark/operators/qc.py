@@ -192,9 +192,10 @@ def qc_profile(
         mean("_0s").alias("n_0s"),
         mean("_100s").alias("n_100s"),
         mean("_lazy").alias("n_lazy"),
-        # the few experiment and age records of the participant, for every block
-        F.explode(F.array_distinct(F.flatten(F.collect_set("_person").over(over)))).alias("_p"),
-    ).select("*", "_p.*").drop("_p")
+        F.array_distinct(F.flatten(F.collect_set("_person").over(over))).alias("_persons"),
+    )
+    # the few experiment and age records of the participant, for every block
+    profile = profile.select("*", F.inline("_persons")).drop("_persons")
 
     timed = trials.filter((F.col("resp_type") == "cat") & F.col("resp").isNotNull())
     quantiles = rt_quantiles(timed, subject, p=rules.rt_probability)

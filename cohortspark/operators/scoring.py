@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,22 +112,23 @@ def _item_columns(df: DataFrame, scale: Scale) -> list[tuple[int, str | None, Co
     ]
 
 
-def _scored(answers: Sequence[Column], fun: str, patch: float) -> tuple[Column, Column]:
-    """(prorated, patched) score of one subscale of one respondent."""
+def _scored(answers: Sequence[str], fun: str, patch: float) -> tuple[Column, Column]:
+    """(prorated, patched) score of one subscale of one respondent, from answer columns."""
+    plus = lambda part: " + ".join(part.format(a) for a in answers)
     seen = F.lit(float(len(answers)))
-    answered = reduce(add, [a.isNotNull().cast("int") for a in answers])
-    score = reduce(add, [F.coalesce(a, F.lit(0.0)) for a in answers])
-    filled = reduce(add, [F.coalesce(a, F.lit(float(patch))) for a in answers])
+    answered = F.expr(plus("int({} is not null)"))
+    score = F.expr(plus("coalesce({}, 0D)"))
+    filled = F.expr(plus(f"coalesce({{}}, {float(patch)}D)"))
     if fun == "mean":
         score, filled = ratio(score, answered), filled / seen
     return ratio(score, answered) * seen, filled
 
 
-def scale_scores(
-    df: DataFrame, scale: Scale, keys: SurveyKeys, id_column: str
-) -> dict[str, Column]:
-    """Score columns of one scale: ``adj__<label>`` and ``patched__<label>``."""
-    groups: dict[str, list[Column]] = {}
+def _answers(
+    df: DataFrame, scale: Scale, keys: SurveyKeys
+) -> list[tuple[str, Column]]:
+    """(subscale label, scored answer) for every item of one scale."""
+    found = []
     for item, kind, answer in _item_columns(df, scale):
         entry = keys.find(scale.name, item)
         if scale.subscales == "items":
@@ -143,33 +142,42 @@ def scale_scores(
             answer = binary_answer(answer, flag).cast("double")
         elif scale.ends_sum is not None:
             answer = reverse_code(answer, flag, scale.ends_sum)
-        groups.setdefault(label, []).append(answer)
-    scores = {}
-    for label, answers in groups.items():
-        adj, patched = _scored(answers, scale.fun, scale.patch or 0)
-        if scale.layout == "binary":
-            scores[label] = adj
-            continue
-        # respondents without an id are not scored
-        known = col(id_column).isNotNull()
-        scores[f"adj__{label}"] = F.when(known, adj)
-        scores[f"patched__{label}"] = F.when(known, patched)
-    return scores
+        found.append((label, answer))
+    return found
 
 
-def score_columns(
+def add_scores(
     df: DataFrame, scales: Sequence[Scale], keys: SurveyKeys, id_column: str = "subj_num"
-) -> dict[str, Column]:
-    """Score columns of several scales over one frame."""
-    columns: dict[str, Column] = {}
+) -> DataFrame:
+    """Add ``adj__<label>`` and ``patched__<label>`` per subscale; binary scales only ``<label>``.
+
+    One input row per respondent. Answers become columns first, so each is computed once.
+    """
+    answers: dict[str, Column] = {}
+    groups: list[tuple[Scale, str, list[str]]] = []
     for scale in scales:
-        columns.update(scale_scores(df, scale, keys, id_column))
-    return columns
+        by_label: dict[str, list[str]] = {}
+        for label, answer in _answers(df, scale, keys):
+            name = f"_answer{len(answers)}"
+            answers[name] = answer
+            by_label.setdefault(label, []).append(name)
+        groups += [(scale, label, columns) for label, columns in by_label.items()]
+    # respondents without an id are not scored
+    known = col(id_column).isNotNull()
+    scores: dict[str, Column] = {}
+    for scale, label, columns in groups:
+        adj, patched = _scored(columns, scale.fun, scale.patch or 0)
+        if scale.layout == "binary":
+            scores[label] = adj
+        else:
+            scores[f"adj__{label}"] = F.when(known, adj)
+            scores[f"patched__{label}"] = F.when(known, patched)
+    return df.withColumns(answers).withColumns(scores).drop(*answers)
 
 
 def score_wide(
     df: DataFrame, scales: Sequence[Scale], keys: SurveyKeys, id_column: str = "subj_num"
 ) -> DataFrame:
-    """The id and all score columns; one input row per respondent."""
-    scored = score_columns(df, scales, keys, id_column)
-    return df.select(col(id_column), *[c.alias(n) for n, c in scored.items()])
+    """The id and all score columns."""
+    scored = add_scores(df, scales, keys, id_column)
+    return scored.select(col(id_column), *[col(c) for c in scored.columns if c not in df.columns])

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +14,9 @@ from cohortspark.functions import columns_starting, ratio
 from .reshape import col
 
 
-def _sum(parts: Sequence[Column], empty: float = 0.0) -> Column:
-    return reduce(add, parts) if parts else F.lit(empty)
+def _plus(part: str, names: Sequence[str], empty: str) -> Column:
+    """Sum of one SQL term per column."""
+    return F.expr(" + ".join(part.format(f"`{n}`") for n in names) or empty)
 
 
 def matching(df: DataFrame, pattern: str, exclude: str | None = None) -> list[str]:
@@ -30,17 +30,13 @@ def matching(df: DataFrame, pattern: str, exclude: str | None = None) -> list[st
 
 def row_total(df: DataFrame, pattern: str, exclude: str | None = None) -> Column:
     """Sum across matching columns, missing values as zero."""
-    return _sum(
-        [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in matching(df, pattern, exclude)]
-    )
+    return _plus("coalesce(double({}), 0D)", matching(df, pattern, exclude), "0D")
 
 
 def row_mean(df: DataFrame, pattern: str, exclude: str | None = None) -> Column:
     """Mean across matching columns, missing values skipped."""
-    names = matching(df, pattern, exclude)
-    return ratio(
-        row_total(df, pattern, exclude), _sum([col(c).isNotNull().cast("int") for c in names], 0)
-    )
+    answered = _plus("int({} is not null)", matching(df, pattern, exclude), "0")
+    return ratio(row_total(df, pattern, exclude), answered)
 
 
 def missing_counts(
@@ -57,8 +53,7 @@ def missing_counts(
             names = columns_starting(df, text)
         else:
             names = [c for c in df.columns if text in c]
-        parts = [col(c).isNull().cast("int") for c in names if c in allowed]
-        counts[name] = _sum(parts, 0).cast("int")
+        counts[name] = _plus("int({} is null)", [c for c in names if c in allowed], "0")
     return counts
 
 
@@ -71,7 +66,7 @@ def with_missing_counts(
 ) -> DataFrame:
     """Add the counts of :func:`missing_counts` and their sum."""
     counted = df.withColumns(missing_counts(df, groups, match, within))
-    return counted.withColumn(total, _sum([F.col(g) for g in groups], 0))
+    return counted.withColumn(total, _plus("{}", list(groups), "0"))
 
 
 def zscore(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -84,16 +79,16 @@ def zscore(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
         F.struct(F.avg(col(c)).alias("mean"), F.stddev_samp(col(c)).alias("sd")).alias(f"m{i}")
         for i, c in enumerate(columns)
     ]
-    found = df.agg(F.struct(*moments).alias("moments")).scalar()
-    return df.withColumns(
+    # one column holds the subquery, so it is planned and run once
+    held = df.withColumn("_moments", df.agg(F.struct(*moments)).scalar())
+    return held.withColumns(
         {
             new: ratio(
-                col(old) - found.getField(f"m{i}").getField("mean"),
-                found.getField(f"m{i}").getField("sd"),
+                col(old) - F.col(f"_moments.m{i}.mean"), F.col(f"_moments.m{i}.sd")
             )
             for i, (old, new) in enumerate(columns.items())
         }
-    )
+    ).drop("_moments")
 
 
 def group_quantile(

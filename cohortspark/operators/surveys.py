@@ -30,7 +30,7 @@ from cohortspark.plans.scales import (
 from .dedup import keep_first
 from .joins import apply_aliases, left_join, union_tagged
 from .reshape import col, score_type_long
-from .scoring import score_columns, score_wide
+from .scoring import add_scores, score_wide
 from .stats import row_mean, row_total, with_missing_counts, zscore
 
 # Fixed value: label of respondents who ticked several options.
@@ -153,10 +153,11 @@ def survey_followup(
     )
     first = keep_first(renamed, ["subj_num_2"], order_by).filter("subj_num is not null")
     answers = sentinel_null(first)
-    counted = with_missing_counts(answers, missing, match=match)
-    lead = [F.col(c) for c in ("subj_num", "nas_total", *missing, "subj_num_2")]
-    scored = score_columns(answers, scales, keys)
-    table = counted.select(*lead, *[c.alias(n) for n, c in scored.items()])
+    scored = add_scores(answers, scales, keys)
+    scores = [c for c in scored.columns if c not in answers.columns]
+    counted = with_missing_counts(scored, missing, match=match, within=answers.columns)
+    lead = ("subj_num", "nas_total", *missing, "subj_num_2")
+    table = counted.select(*lead, *[col(c) for c in scores])
     return _with_totals(score_type_long(table), totals, exclude)
 
 
