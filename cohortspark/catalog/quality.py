@@ -232,7 +232,7 @@ def _trials(spark, folder):
         F.when(slider, "cont").otherwise("cat").alias("resp_type"),
         (value * 100).alias("rt"),
         F.when(value < 2, None)
-        .when(slider, F.least(F.round(value / 60, 2), F.lit(1.0)))
+        .when(slider, F.least(F.floor(value / 60 * 100) / 100, F.lit(1.0)))
         .otherwise((value > 20).cast("double"))
         .alias("resp"),
         F.when(value < 10, 1).otherwise(0).alias("timeout"),
@@ -260,7 +260,7 @@ trials AS (
          CASE WHEN event_type IN ('purchase', 'signup') THEN 'cont' ELSE 'cat' END AS resp_type,
          value * 100 AS rt,
          CASE WHEN value < 2 THEN NULL
-              WHEN event_type IN ('purchase', 'signup') THEN least(round(value / 60, 2), 1.0::DOUBLE)
+              WHEN event_type IN ('purchase', 'signup') THEN least(floor(value / 60 * 100) / 100, 1.0::DOUBLE)
               ELSE (value > 20)::INT::DOUBLE END AS resp,
          (value < 10)::INT AS timeout, 0.3::DOUBLE AS slider_start FROM events)"""
 _SIZES = ", ".join(str(s) for s in RULES.block_sizes)

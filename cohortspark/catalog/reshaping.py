@@ -116,7 +116,7 @@ WITH u AS (SELECT user_id AS subj_num, count(*) AS n, sum(value) AS total, avg(v
 SELECT subj_num, n, 'adj' AS score_type, round(total, 4) AS value, errors / n AS errors
 FROM u
 UNION ALL
-SELECT subj_num, n, 'patched', round(mean, 4), NULL FROM u
+SELECT subj_num, n, 'patched', round(mean, 8), NULL FROM u
 """)
 def score_type_long_(spark, folder):
     users = (
@@ -125,7 +125,7 @@ def score_type_long_(spark, folder):
         .agg(
             F.count("*").alias("n"),
             F.round(F.sum("value"), 4).alias("adj__value"),
-            F.round(F.avg("value"), 4).alias("patched__value"),
+            F.round(F.avg("value"), 8).alias("patched__value"),
             ratio(F.count_if(F.col("event_type") == "error"), F.count("*")).alias("adj__errors"),
         )
     )
@@ -140,7 +140,7 @@ SELECT l_suppkey,
        max(CASE WHEN l_returnflag = 'A' THEN p END) AS patched__A,
        max(CASE WHEN l_returnflag = 'N' THEN p END) AS patched__N,
        max(CASE WHEN l_returnflag = 'R' THEN p END) AS patched__R
-FROM (SELECT l_suppkey, l_returnflag, round(avg(l_quantity), 4) AS a, round(sum(l_tax), 4) AS p
+FROM (SELECT l_suppkey, l_returnflag, round(avg(l_quantity), 8) AS a, round(sum(l_tax), 4) AS p
       FROM lineitem GROUP BY ALL) GROUP BY l_suppkey
 """)
 def subscales_wide_(spark, folder):
@@ -148,7 +148,7 @@ def subscales_wide_(spark, folder):
         table(spark, folder, "lineitem")
         .groupBy("l_suppkey", F.col("l_returnflag").alias("subscale"))
         .agg(
-            F.round(F.avg("l_quantity"), 4).alias("score_adj"),
+            F.round(F.avg("l_quantity"), 8).alias("score_adj"),
             F.round(F.sum("l_tax"), 4).alias("score_patched"),
         )
     )
@@ -159,14 +159,14 @@ def subscales_wide_(spark, folder):
 SELECT l_suppkey, max(CASE WHEN l_returnflag = 'A' THEN a END) AS flag_A,
        max(CASE WHEN l_returnflag = 'N' THEN a END) AS flag_N,
        max(CASE WHEN l_returnflag = 'R' THEN a END) AS flag_R
-FROM (SELECT l_suppkey, l_returnflag, round(avg(l_quantity), 4) AS a FROM lineitem GROUP BY ALL)
+FROM (SELECT l_suppkey, l_returnflag, round(avg(l_quantity), 8) AS a FROM lineitem GROUP BY ALL)
 GROUP BY l_suppkey
 """)
 def subscales_wide_single(spark, folder):
     scored = (
         table(spark, folder, "lineitem")
         .groupBy("l_suppkey", "l_returnflag")
-        .agg(F.round(F.avg("l_quantity"), 4).alias("score"))
+        .agg(F.round(F.avg("l_quantity"), 8).alias("score"))
     )
     return widen(
         scored, ["l_suppkey"], "l_returnflag", ["A", "N", "R"], ["score"], lambda m, v: f"flag_{v}"

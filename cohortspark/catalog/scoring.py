@@ -39,9 +39,9 @@ def _answers(spark, folder):
 def _summary_sql(by, fun="sum"):
     score = "coalesce(sum(r), 0)" if fun == "sum" else "avg(r)"
     return f"""
-SELECT *, round(s / nullif(n_items_responded, 0) * n_items_seen, 4) AS score_adj FROM (
+SELECT *, round(s / nullif(n_items_responded, 0) * n_items_seen, 7) AS score_adj FROM (
   SELECT {by}, {score} AS s, count(r) AS n_items_responded, count(*) AS n_items_seen,
-         round({score}, 4) AS score, round({fun}(coalesce(r, 25)), 4) AS score_patched
+         round({score}, 7) AS score, round({fun}(coalesce(r, 25)), 7) AS score_patched
   FROM (SELECT *, l_returnflag AS subscale, l_linestatus AS q_type,
                nullif(l_quantity, 25) AS r FROM lineitem) GROUP BY ALL)
 """.replace("SELECT *, round(s", "SELECT * EXCLUDE (s), round(s")
@@ -50,17 +50,17 @@ SELECT *, round(s / nullif(n_items_responded, 0) * n_items_seen, 4) AS score_adj
 @CATALOG.add(_summary_sql("l_suppkey, 'q_' || lower(subscale) AS subscale"))
 def score_summary(spark, folder):
     scored = score_items(_answers(spark, folder), ["l_suppkey", "subscale"], patch=25)
-    return rounded(label_subscales(scored, "q"))
+    return rounded(label_subscales(scored, "q"), 7)
 
 
 @CATALOG.add(_summary_sql("l_suppkey, subscale", "avg"))
 def score_summary_mean(spark, folder):
-    return rounded(score_items(_answers(spark, folder), ["l_suppkey", "subscale"], F.avg, 25))
+    return rounded(score_items(_answers(spark, folder), ["l_suppkey", "subscale"], F.avg, 25), 7)
 
 
 @CATALOG.add("""
 SELECT o_custkey, score::DOUBLE AS score, n_items_responded, n_items_seen,
-       round(score::DOUBLE / nullif(n_items_responded, 0) * n_items_seen, 4) AS score_adj
+       round(score::DOUBLE / nullif(n_items_responded, 0) * n_items_seen, 7) AS score_adj
 FROM (SELECT o_custkey, count(*) FILTER (WHERE b) AS score, count(b) AS n_items_responded,
              count(*) AS n_items_seen FROM (
   SELECT o_custkey, CASE WHEN o_orderpriority IN ('1-URGENT', '3-MEDIUM', '5-LOW')
@@ -74,13 +74,13 @@ def binary_score(spark, folder):
     answers = table(spark, folder, "orders").select(
         "o_custkey", binary_answer(code, odd).alias("response")
     )
-    return rounded(score_binary_items(answers, ["o_custkey"]))
+    return rounded(score_binary_items(answers, ["o_custkey"]), 7)
 
 
 @CATALOG.add("""
-SELECT *, round(s / nullif(n_items_responded, 0) * n_items_seen, 4) AS score_adj FROM (
-  SELECT l_suppkey, round(coalesce(sum(r), 0), 4) AS score,
-         round(sum(coalesce(r, 0)), 4) AS score_patched, count(r) AS n_items_responded,
+SELECT *, round(s / nullif(n_items_responded, 0) * n_items_seen, 7) AS score_adj FROM (
+  SELECT l_suppkey, round(coalesce(sum(r), 0), 7) AS score,
+         round(sum(coalesce(r, 0)), 7) AS score_patched, count(r) AS n_items_responded,
          count(*) AS n_items_seen, coalesce(sum(r), 0) AS s
   FROM (SELECT l_suppkey, CASE WHEN l_linestatus = 'F' AND l_discount > 0.05 THEN 4.0
                                ELSE nullif(l_tax, 0) * 100 * 3.0 / 7 END AS r FROM lineitem)
@@ -92,14 +92,14 @@ def pair_score(spark, folder):
     answers = table(spark, folder, "lineitem").select(
         "l_suppkey", pair_response(days, daily).alias("response")
     )
-    return rounded(score_items(answers, ["l_suppkey"], patch=0))
+    return rounded(score_items(answers, ["l_suppkey"], patch=0), 7)
 
 
 @CATALOG.add("""
-SELECT *, round(s / nullif(n_items_responded, 0) * n_items_seen, 4) AS score_adj FROM (
+SELECT *, round(s / nullif(n_items_responded, 0) * n_items_seen, 7) AS score_adj FROM (
   SELECT l_suppkey, l_linestatus AS q_type,
          's_' || lower(l_linestatus) || '_' || lower(l_returnflag) AS subscale,
-         round(coalesce(sum(r), 0), 4) AS score, round(sum(coalesce(r, 1)), 4) AS score_patched,
+         round(coalesce(sum(r), 0), 7) AS score, round(sum(coalesce(r, 1)), 7) AS score_patched,
          count(r) AS n_items_responded, count(*) AS n_items_seen, coalesce(sum(r), 0) AS s
   FROM (SELECT *, nullif(l_quantity, 25) * 0.03::DOUBLE + 1 AS r FROM lineitem) GROUP BY ALL)
 """.replace("SELECT *, round(s", "SELECT * EXCLUDE (s), round(s"))
@@ -109,13 +109,13 @@ def score_two_keys(spark, folder):
     )
     scored = score_items(answers, ["l_suppkey", "q_type", "subscale"], patch=1)
     return rounded(
-        label_subscales(scored, "s").withColumn("subscale", F.lower("subscale"))
+        label_subscales(scored, "s").withColumn("subscale", F.lower("subscale")), 7
     )
 
 
 @CATALOG.add(_summary_sql("l_suppkey"))
 def score_no_subscale(spark, folder):
-    return rounded(score_items(_answers(spark, folder), ["l_suppkey"], patch=25))
+    return rounded(score_items(_answers(spark, folder), ["l_suppkey"], patch=25), 7)
 
 
 @CATALOG.add("""
