@@ -24,9 +24,12 @@ def next_value(
     The first row of each chunk is copied behind the preceding chunk of its key,
     where the window finds it, and the copies are removed afterwards.
     """
-    held = F.struct(F.col(value).alias("v"))
-    heads = df.groupBy(*keys, chunk).agg(
-        F.min_by(held, F.struct(*order_by)).alias("_held")
+    # a plain ordinal keeps the aggregate hash-based
+    order = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    heads = (
+        df.groupBy(*keys, chunk)
+        .agg(F.min_by(value, order).alias("v"))
+        .withColumn("_held", F.struct("v"))
     )
     along = Window.partitionBy(*keys).orderBy(chunk)
     copies = (
@@ -34,7 +37,7 @@ def next_value(
         .filter(F.col("_before").isNotNull())
         .select(*keys, F.col("_before").alias(chunk), "_held", F.lit(1).alias("_copy"))
     )
-    rows = df.withColumns({"_held": held, "_copy": F.lit(0)})
+    rows = df.withColumns({"_held": F.struct(F.col(value).alias("v")), "_copy": F.lit(0)})
     within = Window.partitionBy(*keys, chunk).orderBy("_copy", *order_by)
     return (
         rows.unionByName(copies, allowMissingColumns=True)

@@ -160,6 +160,8 @@ def qc_profile(
         covariates.select("subj_num", "expt_type", "age"),
         ["subj_num", "expt_type"],
     )
+    # a participant's few block rows meet once, for the grouping and for the windows
+    parts = parts.repartition(*subject)
     whole = lambda c: F.when(F.count(c) == F.count_if(F.col("_slider") > 0), F.sum(c))
     person = [c for c in ("subj_num", "expt_type", "age") if c not in subject]
     blocks = parts.groupBy(*subject, "block").agg(

@@ -73,7 +73,7 @@ def inputs_changed(spark: SparkSession, study: Study) -> DataFrame:
 def questionnaires(spark: SparkSession, study: Study) -> DataFrame:
     """Scores of all participants; stage ``qs_allsubs``."""
     keys = survey_keys(spark, study.keys)
-    position = [F.col("file_rank"), F.col("row_ord")]
+    position = [F.col("row_ord")]
     aliases = spark.read.csv(study.aliases, header=True) if study.aliases else None
     in_round = [s.name for s in ROUND_SCALES]
     in_followup = [s.name for s in FOLLOWUP_SCALES]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +19,14 @@ from cohortspark.functions import to_int, to_number
 from cohortspark.plans.scales import KeyItem, SurveyKeys
 
 
-def _stem(path: Column) -> Column:
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"\.[^.]*$", "")
-
-
 def _plain_stem(path: str) -> str:
     return path.rstrip("/").split("/")[-1].rsplit(".", 1)[0]
 
 
-def ordinal_columns(sources: Sequence[str] | None = None) -> dict[str, Column]:
-    """File and row position: ``source``, ``file_rank``, ``split_start``, ``row_ord``."""
-    source = _stem(F.col("_metadata.file_path"))
-    rank = F.lit(0)
-    if sources is not None:
-        rank = F.array_position(F.array(*[F.lit(s) for s in sources]), source).cast("int")
+def ordinal_columns() -> dict[str, Column]:
+    """Position of a row: ``file_path``, ``split_start`` and ``row_ord`` within the split."""
     return {
-        "source": source,
-        "file_rank": rank,
+        "file_path": F.col("_metadata.file_path"),
         "split_start": F.col("_metadata.file_block_start"),
         "row_ord": F.monotonically_increasing_id(),
     }
@@ -51,16 +42,27 @@ def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...],
 
 
 def _read_text_columns(
-    spark: SparkSession,
-    names: Sequence[str],
-    paths: Sequence[str],
-    sources: Sequence[str] | None,
-    multi_line: bool,
+    spark: SparkSession, names: Sequence[str], paths: Sequence[str], multi_line: bool
 ) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     read = spark.read.csv(list(paths), schema=schema, header=True, multiLine=multi_line)
     kept = [F.nullif(F.col(f"`{n}`"), F.lit("NA")).alias(n) for n in names]
-    return read.select(*kept, *[c.alias(n) for n, c in ordinal_columns(sources).items()])
+    return read.select(*kept, *[c.alias(n) for n, c in ordinal_columns().items()])
+
+
+def _with_file_order(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Replace ``file_path`` by ``source`` (file stem) and ``file_rank`` (place in ``paths``)."""
+    spark = rows.sparkSession
+    ranks = {_plain_stem(p): rank for rank, p in enumerate(paths)}
+    listed = spark.read.format("binaryFile").load(list(paths)).select("_metadata.file_path")
+    places = []
+    for row in listed.collect():
+        stem = _plain_stem(unquote(row[0]))
+        places.append((row[0], stem, ranks[stem]))
+    # broadcast: the table has one row per path in the caller's list
+    table = spark.createDataFrame(places, "_path string, source string, file_rank int")
+    placed = rows.join(F.broadcast(table), F.col("file_path") == F.col("_path"), "left")
+    return placed.drop("file_path", "_path")
 
 
 def read_trials(
@@ -78,10 +80,11 @@ def read_trials(
     if len(set(sources)) != len(sources):
         raise ValueError("trial files need distinct names")
     parts = [
-        _read_text_columns(spark, names, group, sources, multi_line)
+        _read_text_columns(spark, names, group, multi_line)
         for names, group in _headers(spark, paths).items()
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    stacked = _with_file_order(stacked, paths)
     return stacked.withColumns({c: to_int(F.col(f"`{c}`")) for c in integers})
 
 
@@ -93,9 +96,8 @@ def discover(spark: SparkSession, folder: str, suffix: str = "first") -> DataFra
         .load(folder)
         .select("path", "length")
     )
-    return listed.withColumn("source", _stem(F.col("path"))).filter(
-        F.endswith("source", F.lit(suffix))
-    )
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    return listed.withColumn("source", stem).filter(F.endswith("source", F.lit(suffix)))
 
 
 def read_survey(
@@ -108,10 +110,9 @@ def read_survey(
     name contains one of ``numbers`` are parsed as doubles.
     """
     names = spark.read.csv(path, header=True, inferSchema=False, multiLine=True).columns
-    body = _read_text_columns(spark, names, [path], None, multi_line=True)
-    if extra_header_rows:
-        first = body.select(F.min("row_ord")).scalar()
-        body = body.filter(F.col("row_ord") >= first + extra_header_rows)
+    body = _read_text_columns(spark, names, [path], multi_line=True).drop("file_path")
+    # a single unsplit file is one partition, so its row ids start at zero
+    body = body.filter(F.col("row_ord") >= extra_header_rows)
     parsed = [n for n in names if any(part in n for part in numbers)]
     return body.withColumns({n: to_number(F.col(f"`{n}`")) for n in parsed}) if parsed else body
 
