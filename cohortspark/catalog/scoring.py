@@ -197,19 +197,22 @@ def _cells(spec):
     return cells
 
 
+# counts instead of text maxima keep the aggregates hash-based
+_SOME = "CASE WHEN count(CASE WHEN {} THEN 1 END) > 0 THEN {} END"
 _PEOPLE = {
     "age": "CAST(18 + max(l_linenumber) AS DOUBLE)",
     "gender": "CASE WHEN count(*) > 80 THEN 'Woman' WHEN count(*) > 70 THEN 'Man' END",
     "handedness": "CASE WHEN count(*) > 85 THEN 'I write w Left' ELSE 'I write w Right' END",
-    "race_a": "max(CASE WHEN l_quantity = 50 AND l_tax = 0.08 THEN 'Asian' END)",
-    "race_b": "max(CASE WHEN l_quantity = 49 AND l_tax = 0.07 THEN 'Black' END)",
-    "race_c": "max(CASE WHEN l_quantity = 48 AND l_tax = 0.06 THEN 'White' END)",
-    "ethnicity": "max(l_returnflag)",
-    "edu": "min(l_linestatus)",
-    "ses_7": "max(CASE WHEN l_quantity = 1 AND l_tax = 0.01 THEN 'On' ELSE 'Off' END)",
-    "ses_8": "max(CASE WHEN l_quantity = 2 AND l_tax = 0.02 THEN 'On' END)",
-    "ses_9": "max(CASE WHEN l_quantity = 3 AND l_tax = 0.03 THEN 'On' END)",
+    "race_a": _SOME.format("l_quantity = 50 AND l_tax = 0.08", "'Asian'"),
+    "race_b": _SOME.format("l_quantity = 49 AND l_tax = 0.07", "'Black'"),
+    "race_c": _SOME.format("l_quantity = 48 AND l_tax = 0.06", "'White'"),
+    "ethnicity": f"coalesce({_SOME.format("l_returnflag = 'R'", "'R'")}, 'other')",
+    "edu": f"coalesce({_SOME.format("l_linestatus = 'F'", "'F'")}, 'O')",
+    "ses_7": f"coalesce({_SOME.format('l_quantity = 1 AND l_tax = 0.01', "'On'")}, 'Off')",
+    "ses_8": _SOME.format("l_quantity = 2 AND l_tax = 0.02", "'On'"),
+    "ses_9": _SOME.format("l_quantity = 3 AND l_tax = 0.03", "'On'"),
 }
+_DX = f"coalesce({_SOME.format("l_linestatus = 'O'", "'O'")}, 'F')"
 _RESPONSE = "CAST(l_suppkey AS STRING)"
 
 
@@ -223,7 +226,7 @@ def _exports(spark, folder, where):
     texts = [F.coalesce(a.cast("string"), F.lit("-99")).alias(n) for a, n in zip(answers, names)]
     people = [F.expr(text).alias(name) for name, text in _PEOPLE.items()]
     numeric = lines.groupBy(*by).agg(*coded)
-    labels = lines.groupBy(*by).agg(*people, *texts, F.max("l_linestatus").alias("dx_med"))
+    labels = lines.groupBy(*by).agg(*people, *texts, F.expr(_DX).alias("dx_med"))
     order = ["prolific_id", *_PEOPLE, *names, "dx_med", "started"]
     return numeric, labels.select(*order)
 
@@ -349,7 +352,7 @@ def _round_ctes(tag, where):
     every = [*scores, *_bpq_scores()]
     return f"""
 {tag}_raw AS (SELECT CAST(l_suppkey AS VARCHAR) AS subj_num, year(l_shipdate) AS started, {cells},
-       {people}, {ticks}, max(l_linestatus) AS dx_med FROM lineitem WHERE {where} GROUP BY ALL),
+       {people}, {ticks}, {_DX} AS dx_med FROM lineitem WHERE {where} GROUP BY ALL),
 {tag}_one AS (SELECT * FROM {tag}_raw
        QUALIFY row_number() OVER (PARTITION BY subj_num ORDER BY started DESC) = 1),
 {tag}_people AS (SELECT subj_num, age, substr(handedness, 11) AS handedness, gender, race_a, race_b,

@@ -13,13 +13,19 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def to_number(text: Column) -> Column:
-    """Text to double; NULL when it is not a plain number.
+# The JVM parser accepts a trailing type letter ("1d", "2F") and NaN; neither is a number here.
+NOT_A_NUMBER = "[dDfFnN] *$"
+
 
-    The JVM parser accepts a trailing type letter ("1d", "2F") and NaN; neither is a number here.
-    """
+def to_number(text: Column) -> Column:
+    """Text to double; NULL when it is not a plain number."""
     number = text.cast("string").try_cast("double")
-    return F.when(~text.cast("string").rlike("[dDfFnN]\\s*$"), number)
+    return F.when(~text.cast("string").rlike(NOT_A_NUMBER), number)
+
+
+def number_sql(name: str) -> str:
+    """:func:`to_number` of a text column as SQL, for selecting many columns at once."""
+    return f"CASE WHEN NOT `{name}` RLIKE '{NOT_A_NUMBER}' THEN try_cast(`{name}` AS DOUBLE) END"
 
 
 def to_int(text: Column) -> Column:

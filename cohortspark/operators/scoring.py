@@ -176,8 +176,13 @@ def add_scores(
 
 
 def score_wide(
-    df: DataFrame, scales: Sequence[Scale], keys: SurveyKeys, id_column: str = "subj_num"
+    df: DataFrame,
+    scales: Sequence[Scale],
+    keys: SurveyKeys,
+    id_column: str = "subj_num",
+    ids: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The id and all score columns."""
+    """The id columns (``id_column`` unless ``ids`` names others) and all score columns."""
     scored = add_scores(df, scales, keys, id_column)
-    return scored.select(col(id_column), *[col(c) for c in scored.columns if c not in df.columns])
+    made = [c for c in scored.columns if c not in df.columns]
+    return scored.select(*[col(c) for c in (*(ids or [id_column]), *made)])

@@ -99,14 +99,23 @@ def _with_totals(df: DataFrame, totals: Mapping[str, str], exclude: str | None)
     )
 
 
+# an id that is never NULL, so that duplicates and joins share one hash partitioning
+_KEY = ("_id", "_no_id")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    known = {"_id": F.coalesce("subj_num", F.lit("")), "_no_id": F.col("subj_num").isNull()}
+    return df.withColumns(known)
+
+
 def _clean(
     export: DataFrame, id_column: str, order_by: Sequence[Column], aliases: DataFrame | None
 ) -> DataFrame:
-    renamed = export.withColumnRenamed(id_column, "subj_num")
-    first = keep_first(renamed, ["subj_num"], order_by)
+    renamed = _keyed(export.withColumnRenamed(id_column, "subj_num"))
+    first = keep_first(renamed, _KEY, order_by)
     if aliases is not None:
-        first = apply_aliases(first, aliases, "subj_num")
-    return sentinel_null(first)
+        first = _keyed(apply_aliases(first, aliases, "subj_num"))
+    return sentinel_null(first, columns=[c for c in first.columns if c not in _KEY])
 
 
 def survey_round(
@@ -130,8 +139,9 @@ def survey_round(
     texts = _clean(labels, id_column, order_by, aliases)
     span = columns_between(texts, "subj_num", last_counted)
     counted = with_missing_counts(texts, missing, within=span)
-    people = demographics(counted, keep=[*missing, "nas_total"])
-    scored = left_join(people, score_wide(answers, scales, keys), ["subj_num"])
+    people = demographics(counted, keep=[*missing, "nas_total", *_KEY])
+    scores = score_wide(answers, scales, keys, ids=_KEY)
+    scored = left_join(people, scores, _KEY, na_matches=False).drop(*_KEY)
     return _with_totals(score_type_long(scored), totals, exclude)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.functions import to_int, to_number
+from cohortspark.functions import number_sql, to_int
 from cohortspark.plans.scales import KeyItem, SurveyKeys
 
 
@@ -46,7 +46,7 @@ def _read_text_columns(
 ) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     read = spark.read.csv(list(paths), schema=schema, header=True, multiLine=multi_line)
-    kept = [F.nullif(F.col(f"`{n}`"), F.lit("NA")).alias(n) for n in names]
+    kept = [F.expr(f"nullif(`{n}`, 'NA') AS `{n}`") for n in names]
     return read.select(*kept, *[c.alias(n) for n, c in ordinal_columns().items()])
 
 
@@ -114,7 +114,7 @@ def read_survey(
     # a single unsplit file is one partition, so its row ids start at zero
     body = body.filter(F.col("row_ord") >= extra_header_rows)
     parsed = [n for n in names if any(part in n for part in numbers)]
-    return body.withColumns({n: to_number(F.col(f"`{n}`")) for n in parsed}) if parsed else body
+    return body.withColumns({n: F.expr(number_sql(n)) for n in parsed}) if parsed else body
 
 
 def read_stimuli(spark: SparkSession, path: str) -> DataFrame:

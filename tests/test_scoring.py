@@ -152,6 +152,27 @@ def test_round_keeps_newest_and_counts_compat_totals(frame):
     assert ("fixed", "adj") in run(aliases=aliases)
 
 
+def test_round_shuffles_each_export_once(spark, tmp_path):
+    """Duplicates, scores and the join of both exports use the same partitioning."""
+    keys = SurveyKeys({"tas20": [KeyItem(1, "x", False)]})
+    spark.createDataFrame([("a", 5.0, 1)], "prolific_id string, tas20_1 double, o int").write.parquet(str(tmp_path / "n"))
+    spark.createDataFrame(
+        [("a", "20", "M", None, "e", "d", "Often", "none", 1)],
+        "prolific_id string, age string, gender string, race_x string, ethnicity string, edu string, "
+        "tas20_1 string, dx_med string, o int",
+    ).write.parquet(str(tmp_path / "l"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = surveys.survey_round(
+            spark.read.parquet(str(tmp_path / "n")), spark.read.parquet(str(tmp_path / "l")), keys,
+            [F.asc("o")], scales=[scales.TAS20], totals={"tas20_total": "tas20"},
+        )
+        assert hash_exchanges(out) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.count() == 2
+
+
 def test_followup_and_binding(frame):
     keys = SurveyKeys({"als18": [KeyItem(1, "x")]})
     export = frame(
