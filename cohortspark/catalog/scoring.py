@@ -129,13 +129,11 @@ FROM (SELECT l_suppkey, subscale, reverse,
       FROM lineitem LEFT JOIN key ON l_linenumber = item) GROUP BY ALL
 """)
 def reverse_code_(spark, folder):
-    key = spark.createDataFrame(
-        [
-            (1, "even mood", False), (2, "odd/mood", True), (3, "even mood", True),
-            (4, "odd/mood", False), (5, "even mood", None), (6, "odd/mood", True),
-        ],
-        "item int, subscale string, reverse boolean",
-    )
+    key = [
+        KeyItem(1, "even mood", False), KeyItem(2, "odd/mood", True),
+        KeyItem(3, "even mood", True), KeyItem(4, "odd/mood", False),
+        KeyItem(5, "even mood", None), KeyItem(6, "odd/mood", True),
+    ]
     long = attach_key(_answers(spark, folder).drop("subscale"), key)
     coded = reverse_code(F.col("response"), F.col("reverse"), 51)
     long = long.withColumn("response", coded)

@@ -26,7 +26,7 @@ from cohortspark.functions import (
     zero_hundred_to_scale,
 )
 from cohortspark.functions.scalars import LABEL_GAPS
-from cohortspark.plans.scales import Scale, SurveyKeys
+from cohortspark.plans.scales import KeyItem, Scale, SurveyKeys
 
 from .reshape import col
 
@@ -37,8 +37,18 @@ def pair_response(days: Column, nearly_daily: Column) -> Column:
     return F.when(nearly_daily == 1, F.lit(4.0)).otherwise(scaled)
 
 
-def attach_key(long: DataFrame, key: DataFrame, on: Sequence[str] = ("item",)) -> DataFrame:
-    """Look up subscale and reverse flag; the small key is broadcast by its measured size."""
+def attach_key(
+    long: DataFrame, key: DataFrame | Sequence[KeyItem], on: Sequence[str] = ("item",)
+) -> DataFrame:
+    """Look up subscale and reverse flag of every item row.
+
+    A list of key items is broadcast: it holds one entry per printed question. A key
+    table is joined without a hint, so Spark broadcasts it only if it is small.
+    """
+    if not isinstance(key, DataFrame):
+        rows = [(k.item, k.subscale, k.reverse) for k in key]
+        schema = "item int, subscale string, reverse boolean"
+        key = F.broadcast(long.sparkSession.createDataFrame(rows, schema))
     return long.join(key, list(on), "left")
 
 

@@ -156,8 +156,9 @@ def test_union_tagged_fills(frame, values):
     assert values(out, "a", "b", "src") == [(1, None, "one"), (2, 3, "two")]
 
 
-def test_skewed_join_is_split(spark):
-    """One participant holds a third of the rows: adaptive execution splits its partition."""
+@pytest.fixture
+def small_skew_limits(spark):
+    """Thresholds scaled down so that a test-sized hot key counts as skewed."""
     conf = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40000",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
@@ -167,20 +168,34 @@ def test_skewed_join_is_split(spark):
         "spark.sql.shuffle.partitions": "16",
     }
     old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        rows = spark.range(0, 60000, 1, 12).select(
-            F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 3000).alias("k"),
-            F.col("id").alias("v"),
-        )
-        people = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-        joined = joins.left_join(rows, people, ["k"])
-        assert joined.count() == 60000
-        assert "skew=true" in final_plan(joined)
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_rows(spark):
+    """Participant 7 holds a third of all rows."""
+    return spark.range(0, 60000, 1, 12).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 3000).alias("k"),
+        F.col("id").alias("v"),
+    )
+
+
+def test_skewed_join_is_split(spark, small_skew_limits):
+    people = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    joined = joins.left_join(hot_rows(spark), people, ["k"])
+    assert joined.count() == 60000
+    assert "skew=true" in final_plan(joined)
+
+
+def test_skewed_quantile_is_split_and_exact(spark, small_skew_limits):
+    rows = hot_rows(spark)
+    found = stats.group_quantile(rows, ["k"], "v", 0.75, "q", accuracy=1000)
+    assert "skew=true" in final_plan(found)
+    hot = rows.filter("k = 7").toPandas()["v"]
+    assert found.filter("k = 7").first().q == pytest.approx(float(np.quantile(hot, 0.75)))
 
 
 # --- totals, z, quantiles ---------------------------------------------------------------
