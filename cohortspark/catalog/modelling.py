@@ -30,6 +30,43 @@ def pca_scores_(spark, folder):
     return rounded(pca_scores(vectors, fit_pca(vectors, DIMENSIONS), ["vec_id"]))
 
 
+PAIR = ["l_quantity", "l_extendedprice"]
+
+
+def _supplier_means(spark, folder):
+    return table(spark, folder, "lineitem").groupBy("l_suppkey").agg(
+        *[F.avg(c).alias(c) for c in PAIR]
+    )
+
+
+_PAIR_SQL = """
+WITH m AS (SELECT l_suppkey, avg(l_quantity) AS a, avg(l_extendedprice) AS b FROM lineitem
+           GROUP BY l_suppkey),
+z AS (SELECT l_suppkey, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS za,
+             (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS zb, corr(a, b) OVER () AS r FROM m)
+"""
+
+
+@CATALOG.add(_PAIR_SQL + """
+SELECT 'PC1' AS component, round(sqrt(1 + abs(max(r))), 4) AS sdev,
+       round((1 + abs(max(r))) / 2, 4) AS proportion FROM z
+UNION ALL
+SELECT 'PC2', round(sqrt(1 - abs(max(r))), 4), round((1 - abs(max(r))) / 2, 4) FROM z
+""")
+def pca_pair_variance(spark, folder):
+    means = _supplier_means(spark, folder)
+    return rounded(fit_pca(means, PAIR).variance(means))
+
+
+@CATALOG.add(_PAIR_SQL + """
+SELECT l_suppkey, round((za + zb) / sqrt(2.0::DOUBLE) / sqrt(1 + r), 4) AS PC1 FROM z
+""")
+def pca_pair_scores(spark, folder):
+    # the two columns correlate positively, so both loadings of the first component are positive
+    means = _supplier_means(spark, folder)
+    return rounded(pca_scores(means, fit_pca(means, PAIR), ["l_suppkey"]).drop("PC2"))
+
+
 def _answers(spark, folder):
     return table(spark, folder, "events").select(
         "event_id",
@@ -165,7 +202,23 @@ def _graded(spark, folder):
     return documents.join(table(spark, folder, "labels"), "doc_id")
 
 
-@CATALOG.add()
+@CATALOG.add("""
+WITH RECURSIVE d AS (SELECT ln(n_chars + 1) AS x, quality AS y FROM documents
+                     JOIN labels USING (doc_id)),
+n AS (SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS va, 1.0::DOUBLE AS vb
+      UNION ALL
+      SELECT step + 1, a + (ga * hbb - gb * hab) / (haa * hbb - hab * hab),
+             b + (gb * haa - ga * hab) / (haa * hbb - hab * hab),
+             hbb / (haa * hbb - hab * hab), haa / (haa * hbb - hab * hab)
+      FROM (SELECT step, a, b, sum(y - p) AS ga, sum((y - p) * x) AS gb, sum(p * (1 - p)) AS haa,
+                   sum(p * (1 - p) * x) AS hab, sum(p * (1 - p) * x * x) AS hbb
+            FROM (SELECT step, a, b, x, y, 1 / (1 + exp(-a - b * x)) AS p FROM n CROSS JOIN d
+                  WHERE step < 25)
+            GROUP BY step, a, b))
+SELECT '(Intercept)' AS term, round(a, 4) AS estimate, round(sqrt(va), 4) AS std_error FROM n
+WHERE step = 25
+UNION ALL SELECT 'log_chars', round(b, 4), round(sqrt(vb), 4) FROM n WHERE step = 25
+""")
 def glm_binomial(spark, folder):
     return rounded(models.glm_binomial(_graded(spark, folder), "quality", ["log_chars"]))
 

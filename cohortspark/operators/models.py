@@ -147,7 +147,8 @@ def glm_binomial(df: DataFrame, y: str, terms: Sequence[str], weight: str | None
     weights = {"weightCol": weight} if weight else {}
     packed = VectorAssembler(inputCols=list(terms), outputCol="_x").transform(rows)
     fit = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol=y, **weights
+        family="binomial", link="logit", featuresCol="_x", labelCol=y, maxIter=50, tol=1e-10,
+        **weights,
     ).fit(packed)
     estimates = [fit.intercept, *fit.coefficients.toArray().tolist()]
     errors = list(fit.summary.coefficientStandardErrors)

@@ -97,10 +97,49 @@ def group_quantile(
     value: str,
     p: float,
     into: str,
+    limit: int = 100_000,
+    listed: int = 10_000,
     accuracy: int = 20_000,
 ) -> DataFrame:
     """Exact quantile per key with linear interpolation between order statistics.
 
+    Spark's exact percentile holds a group in one task, so it serves groups of up to
+    ``limit`` values. A count finds the larger ones first. Up to ``listed`` of them are
+    told apart by a broadcast list and ranked by :func:`bracketed_quantile`; with more,
+    every group is ranked that way.
+    """
+    rows = df.select(*keys, col(value).cast("double").alias("_v")).filter("_v is not null")
+    sizes = rows.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    large = sizes.limit(listed + 1).collect()
+    if len(large) > listed:
+        return bracketed_quantile(rows, keys, "_v", p, into, accuracy)
+    exact = lambda part: part.groupBy(*keys).agg(F.percentile("_v", F.lit(p)).alias(into))
+    if not large:
+        return exact(rows)
+    names = [f"_k{i}" for i in range(len(keys))]
+    table = F.broadcast(df.sparkSession.createDataFrame(large, sizes.schema).toDF(*names))
+    small = rows.join(table, _same(keys), "left_anti")
+    hot = rows.join(table, _same(keys), "left_semi")
+    return exact(small).unionByName(bracketed_quantile(hot, keys, "_v", p, into, accuracy))
+
+
+def _same(keys: Sequence[str]) -> Column:
+    """Equality, missing keys included, with keys renamed ``_k0, _k1, ...`` on the other side."""
+    return reduce(
+        Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    )
+
+
+def bracketed_quantile(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    p: float,
+    into: str,
+    accuracy: int = 20_000,
+) -> DataFrame:
+    """Exact quantile per key for groups of any size.
+
     A bounded sketch brackets the two order statistics of groups larger than
     ``accuracy``; only values inside the bracket are ranked, everything below is one
     counted row. No task holds the values of a whole group, and the ranks are
@@ -120,12 +159,9 @@ def group_quantile(
             F.when(large, F.col("_e")[1]).alias("_high"),
         )
     )
-    same = reduce(
-        Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    )
     inside = F.when(F.col("_low").isNull() | (F.col("_v") >= F.col("_low")), F.col("_v"))
     cells = (
-        rows.join(brackets, same)
+        rows.join(brackets, _same(keys))
         .filter(F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
         .groupBy(*keys, "_n", inside.alias("_v"))
         .agg(F.count("*").alias("_c"))

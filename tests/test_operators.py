@@ -192,10 +192,13 @@ def test_skewed_join_is_split(spark, small_skew_limits):
 
 def test_skewed_quantile_is_split_and_exact(spark, small_skew_limits):
     rows = hot_rows(spark)
-    found = stats.group_quantile(rows, ["k"], "v", 0.75, "q", accuracy=1000)
-    assert "skew=true" in final_plan(found)
     hot = rows.filter("k = 7").toPandas()["v"]
-    assert found.filter("k = 7").first().q == pytest.approx(float(np.quantile(hot, 0.75)))
+    everything = stats.bracketed_quantile(rows, ["k"], "v", 0.75, "q", accuracy=1000)
+    assert "skew=true" in final_plan(everything)
+    split = stats.group_quantile(rows, ["k"], "v", 0.75, "q", limit=1000, accuracy=1000)
+    for found in (everything, split):
+        assert found.count() == 2000
+        assert found.filter("k = 7").first().q == pytest.approx(float(np.quantile(hot, 0.75)))
 
 
 # --- totals, z, quantiles ---------------------------------------------------------------
@@ -233,9 +236,10 @@ def test_zscore(frame):
 
 
 @pytest.mark.parametrize("p", [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0])
-@pytest.mark.parametrize("accuracy", [16, 20_000])
-def test_group_quantile_is_exact(spark, p, accuracy):
-    """A small accuracy makes most groups take the bracketed way."""
+@pytest.mark.parametrize("limit, listed", [(50, 1), (50, 10), (100_000, 10)])
+def test_group_quantile_is_exact(spark, p, limit, listed):
+    """All groups bracketed, the large ones bracketed, none bracketed."""
+    accuracy = 16
     rng = np.random.default_rng(int(p * 100) + accuracy)
     rows, expected = [], {}
     for key, size in [(1, 1), (2, 2), (3, 17), (4, 100), (5, 1501), (None, 400), (7, 300)]:
@@ -246,7 +250,7 @@ def test_group_quantile_is_exact(spark, p, accuracy):
     rng.shuffle(rows)
     rows = [(None if k is None else int(k), v) for k, v in rows]
     df = spark.createDataFrame(rows, "k int, v double").repartition(6)
-    got = {r.k: r.q for r in stats.group_quantile(df, ["k"], "v", p, "q", accuracy).collect()}
+    got = {r.k: r.q for r in stats.group_quantile(df, ["k"], "v", p, "q", limit, listed, accuracy).collect()}
     assert got.keys() == expected.keys()
     for key in got:
         assert got[key] == pytest.approx(expected[key], abs=1e-9)
