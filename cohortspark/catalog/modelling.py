@@ -252,3 +252,66 @@ def lmm_random_effects(spark, folder):
         _prices(spark, folder), "price", ["amount", "l_discount"], "l_suppkey", "amount"
     )
     return rounded(fit.random_effects(), 3)
+
+
+_LMM_SQL = """
+WITH RECURSIVE g AS (
+  SELECT label, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy,
+         sum(x * y) AS sxy, sum(y * y) AS syy
+  FROM (SELECT l_suppkey AS label, l_discount * 10 AS x,
+               l_quantity / 10 + (l_suppkey % 7) / 3.0::DOUBLE
+               + (l_suppkey % 5) / 4.0::DOUBLE * l_discount * 10 AS y FROM lineitem)
+  GROUP BY label),
+f AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.1::DOUBLE AS d00, 0.0::DOUBLE AS d01,
+         0.1::DOUBLE AS d11, 0.1::DOUBLE AS s2, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1
+  UNION ALL
+  SELECT step + 1, max(k0), max(k1), avg(r0 * r0 + c00), avg(r0 * r1 + c01), avg(r1 * r1 + c11),
+         sum(syy - 2 * (k0 * sy + k1 * sxy) + k0 * k0 * n + 2 * k0 * k1 * sx + k1 * k1 * sxx
+             - 2 * (r0 * u0 + r1 * u1) + n * r0 * r0 + 2 * sx * r0 * r1 + sxx * r1 * r1
+             + n * c00 + 2 * sx * c01 + sxx * c11) / sum(n), max(v0), max(v1)
+  FROM (
+    SELECT *, (c00 * u0 + c01 * u1) / s2 AS r0, (c01 * u0 + c11 * u1) / s2 AS r1 FROM (
+      SELECT *, sy - n * k0 - sx * k1 AS u0, sxy - sx * k0 - sxx * k1 AS u1 FROM (
+        SELECT *, (h0 * a11 - h1 * a01) / det AS k0, (h1 * a00 - h0 * a01) / det AS k1,
+               sqrt(a11 / det) AS v0, sqrt(a00 / det) AS v1 FROM (
+          SELECT *, a00 * a11 - a01 * a01 AS det FROM (
+            SELECT *, 0.01 + sum((n - p00 * n - p01 * sx) / s2) OVER () AS a00,
+                   sum((sx - p00 * sx - p01 * sxx) / s2) OVER () AS a01,
+                   0.01 + sum((sxx - p10 * sx - p11 * sxx) / s2) OVER () AS a11,
+                   sum((sy - p00 * sy - p01 * sxy) / s2) OVER () AS h0,
+                   sum((sxy - p10 * sy - p11 * sxy) / s2) OVER () AS h1 FROM (
+              SELECT *, (n * c00 + sx * c01) / s2 AS p00, (n * c01 + sx * c11) / s2 AS p01,
+                     (sx * c00 + sxx * c01) / s2 AS p10, (sx * c01 + sxx * c11) / s2 AS p11 FROM (
+                SELECT *, m11 / (m00 * m11 - m01 * m01) AS c00,
+                       -m01 / (m00 * m11 - m01 * m01) AS c01,
+                       m00 / (m00 * m11 - m01 * m01) AS c11 FROM (
+                  SELECT g.*, f.step, f.s2, n / s2 + d11 / (d00 * d11 - d01 * d01) AS m00,
+                         sx / s2 - d01 / (d00 * d11 - d01 * d01) AS m01,
+                         sxx / s2 + d00 / (d00 * d11 - d01 * d01) AS m11
+                  FROM f CROSS JOIN g WHERE step < 200)))))))) GROUP BY step)
+SELECT '(Intercept)' AS term, round(b0, 4) AS estimate, round(e0, 4) AS std_error FROM f
+WHERE step = 200
+UNION ALL SELECT 'x', round(b1, 4), round(e1, 4) FROM f WHERE step = 200
+UNION ALL SELECT 'residual variance', round(s2, 4), NULL FROM f WHERE step = 200
+UNION ALL SELECT 'intercept variance', round(d00, 4), NULL FROM f WHERE step = 200
+"""
+
+
+@CATALOG.add(_LMM_SQL)
+def lmm_slope_model(spark, folder):
+    # an outcome with a level and a slope of its own per supplier
+    supplier, discount = F.col("l_suppkey"), F.col("l_discount")
+    level, slope = (supplier % 7) / F.lit(3.0), (supplier % 5) / F.lit(4.0)
+    lines = table(spark, folder, "lineitem").select(
+        "l_suppkey",
+        (discount * 10).alias("x"),
+        (F.col("l_quantity") / 10 + level + slope * discount * 10).alias("y"),
+    )
+    fit = models.lmm_fit(lines, "y", ["x"], "l_suppkey", "x", tolerance=1e-7)
+    spread = spark.createDataFrame(
+        [("residual variance", float(fit.sigma2)), ("intercept variance", float(fit.covariance[0, 0]))],
+        "term string, estimate double",
+    )
+    found = fit.coefficients().unionByName(spread, allowMissingColumns=True)
+    return rounded(found)
