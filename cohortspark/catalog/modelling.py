@@ -30,19 +30,20 @@ def pca_scores_(spark, folder):
     return rounded(pca_scores(vectors, fit_pca(vectors, DIMENSIONS), ["vec_id"]))
 
 
-PAIR = ["l_quantity", "l_extendedprice"]
+PAIR = ["amount", "reduced"]
 
 
-def _supplier_means(spark, folder):
-    return table(spark, folder, "lineitem").groupBy("l_suppkey").agg(
-        *[F.avg(c).alias(c) for c in PAIR]
+def _orders(spark, folder):
+    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("amount"),
+        F.sum(F.col("l_quantity") * F.col("l_discount")).alias("reduced"),
     )
 
 
 _PAIR_SQL = """
-WITH m AS (SELECT l_suppkey, avg(l_quantity) AS a, avg(l_extendedprice) AS b FROM lineitem
-           GROUP BY l_suppkey),
-z AS (SELECT l_suppkey, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS za,
+WITH m AS (SELECT l_orderkey, sum(l_quantity) AS a, sum(l_quantity * l_discount) AS b FROM lineitem
+           GROUP BY l_orderkey),
+z AS (SELECT l_orderkey, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS za,
              (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS zb, corr(a, b) OVER () AS r FROM m)
 """
 
@@ -54,17 +55,17 @@ UNION ALL
 SELECT 'PC2', round(sqrt(1 - abs(max(r))), 4), round((1 - abs(max(r))) / 2, 4) FROM z
 """)
 def pca_pair_variance(spark, folder):
-    means = _supplier_means(spark, folder)
-    return rounded(fit_pca(means, PAIR).variance(means))
+    orders = _orders(spark, folder)
+    return rounded(fit_pca(orders, PAIR).variance(orders))
 
 
 @CATALOG.add(_PAIR_SQL + """
-SELECT l_suppkey, round((za + zb) / sqrt(2.0::DOUBLE) / sqrt(1 + r), 4) AS PC1 FROM z
+SELECT l_orderkey, round((za + zb) / sqrt(2.0::DOUBLE) / sqrt(1 + r), 4) AS PC1 FROM z
 """)
 def pca_pair_scores(spark, folder):
-    # the two columns correlate positively, so both loadings of the first component are positive
-    means = _supplier_means(spark, folder)
-    return rounded(pca_scores(means, fit_pca(means, PAIR), ["l_suppkey"]).drop("PC2"))
+    # the two sums grow together, so both loadings of the first component are positive
+    orders = _orders(spark, folder)
+    return rounded(pca_scores(orders, fit_pca(orders, PAIR), ["l_orderkey"]).drop("PC2"))
 
 
 def _answers(spark, folder):
