@@ -19,6 +19,12 @@ from cohortspark.functions import number_sql, to_int
 from cohortspark.plans.scales import KeyItem, SurveyKeys
 
 
+# quotes inside a quoted answer are doubled; blanks around an answer do not count
+CSV = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
+}
+
+
 def _plain_stem(path: str) -> str:
     return path.rstrip("/").split("/")[-1].rsplit(".", 1)[0]
 
@@ -36,7 +42,7 @@ def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...],
     """Files grouped by their header line; only first lines are read."""
     groups: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        names = spark.read.csv(path, header=True, inferSchema=False).columns
+        names = spark.read.csv(path, **CSV).columns
         groups.setdefault(tuple(names), []).append(path)
     return groups
 
@@ -45,7 +51,7 @@ def _read_text_columns(
     spark: SparkSession, names: Sequence[str], paths: Sequence[str], multi_line: bool
 ) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    read = spark.read.csv(list(paths), schema=schema, header=True, multiLine=multi_line)
+    read = spark.read.csv(list(paths), schema=schema, multiLine=multi_line, **CSV)
     kept = [F.expr(f"nullif(`{n}`, 'NA') AS `{n}`") for n in names]
     return read.select(*kept, *[c.alias(n) for n, c in ordinal_columns().items()])
 
@@ -109,7 +115,7 @@ def read_survey(
     survey. ``extra_header_rows`` descriptive rows follow the header. Columns whose
     name contains one of ``numbers`` are parsed as doubles.
     """
-    names = spark.read.csv(path, header=True, inferSchema=False, multiLine=True).columns
+    names = spark.read.csv(path, multiLine=True, **CSV).columns
     body = _read_text_columns(spark, names, [path], multi_line=True).drop("file_path")
     # a single unsplit file is one partition, so its row ids start at zero
     body = body.filter(F.col("row_ord") >= extra_header_rows)
@@ -120,8 +126,8 @@ def read_survey(
 def read_stimuli(spark: SparkSession, path: str) -> DataFrame:
     """Stimulus levels as exported."""
     schema = "fname string, amuse double, fear double, bipolar double"
-    names = spark.read.csv(path, header=True, inferSchema=False).columns
-    read = spark.read.csv(path, header=True, schema=", ".join(f"`{n}` string" for n in names))
+    names = spark.read.csv(path, **CSV).columns
+    read = spark.read.csv(path, schema=", ".join(f"`{n}` string" for n in names), **CSV)
     wanted = T.StructType.fromDDL(schema)
     return read.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
 
@@ -140,7 +146,7 @@ def read_key(
     ``starred`` names a column ``<number><gap><text>`` whose text ends in ``*`` for
     reversed items; it replaces ``item`` and ``reverse``.
     """
-    table = spark.read.csv(path, header=True, inferSchema=False)
+    table = spark.read.csv(path, **CSV)
     if starred:
         question = F.col(f"`{starred}`")
         number = F.regexp_extract(question, "^([0-9]+)", 1)

@@ -49,7 +49,7 @@ def rounds(folder, people, name, rng):
         age = "20" if subj != people[-1] else "60"
         ticks = ["On" if rng.random() < 0.9 else "Off", ""]
         races = ["Asian" if rng.random() < 0.5 else "", "White" if rng.random() < 0.5 else ""]
-        labels.append([subj, age, "I write w/Right", "Woman", *races, "no", "college", *ticks, *texts, "a,\nb"])
+        labels.append([subj, age, "I write w/Right", "Woman", *races, "no", "college", *ticks, *texts, 'say "a",\nb'])
     header = ["prolific_id", *items]
     label_header = ["prolific_id", "age", "handedness", "gender", "race_1", "race_2", "ethnicity", "edu",
                     "ses_7", "ses_8", *items, "dx_med"]

@@ -80,7 +80,14 @@ def test_survey_reader(spark, inputs):
     first = codes.orderBy("row_ord").first()
     assert first.prolific_id == "p0" and first.row_ord == 2
     texts = sources.read_survey(spark, labels)
-    assert texts.count() == 42 and texts.filter(F.col("dx_med") == "a,\nb").count() == 42
+    assert texts.count() == 42 and texts.filter(F.col("dx_med") == 'say "a",\nb').count() == 42
+
+
+def test_blanks_and_na_text_are_missing(spark, tmp_path):
+    (tmp_path / "a_first.csv").write_text("x,Timed Out,y\n  1 ,1.0,NA\n   ,,b c\n")
+    rows = sources.read_trials(spark, [str(tmp_path / "a_first.csv")]).orderBy("row_ord").collect()
+    assert [(r.x, r["Timed Out"], r.y) for r in rows] == [("1", 1, None), (None, None, "b c")]
+    assert {(r.source, r.file_rank) for r in rows} == {("a_first", 0)}
 
 
 def test_keys(spark, inputs):
