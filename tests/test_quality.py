@@ -1,4 +1,3 @@
-import pytest
 from plans import final_plan
 from pyspark.sql import functions as F
 
