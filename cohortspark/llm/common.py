@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -61,12 +62,18 @@ def record_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def checkpoint_dir(df: DataFrame) -> str:
-    """The shared folder of the cluster; tests and local runs set their own."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of our own, but only in single-process local mode.
+    """
     session = df.sparkSession
-    folder = session.conf.get("spark.checkpoint.dir", None)
-    folder = folder or session.sparkContext.getCheckpointDir()
+    context = session.sparkContext
+    folder = session.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -5,7 +5,6 @@ import pytest
 def shared_folder(spark, tmp_path_factory):
     """The folder that a cluster would name in spark.checkpoint.dir."""
     folder = str(tmp_path_factory.mktemp("shared"))
-    spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
