@@ -57,6 +57,12 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` over all columns under the names ``c0, c1, ...``, whatever theirs are."""
+    plain = df.toDF(*(f"c{n}" for n in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def record_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

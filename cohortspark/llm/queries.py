@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Catalog, table
 
-from . import bpe
+from . import bpe, pii, quality
 
 LLM = Catalog()
 
@@ -33,3 +33,29 @@ def op3_bpe(spark, folder: str) -> DataFrame:
         sha256_of(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
         sha256_of(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+def span_list(spans: Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, text), ",")
+
+
+@LLM.add()
+def op5_pii(spark, folder: str) -> DataFrame:
+    """Personal data in every document: counts and spans."""
+    found = pii.personal_data(table(spark, folder, "documents"))
+    base = [kind.name for kind in pii.KINDS if kind.base]
+    of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    return found.select(
+        "doc_id",
+        *(F.size(of(name)).cast("long").alias(f"n_{name}") for name in base),
+        sha256_of(span_list(of(*base))).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
+@LLM.add()
+def op8_quality_rules(spark, folder: str) -> DataFrame:
+    """Measures and verdict of the quality rules for every document."""
+    return quality.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))

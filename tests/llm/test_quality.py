@@ -1,0 +1,97 @@
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cohortspark.llm import quality, tokens
+from cohortspark.llm.queries import LLM
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plain_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[n : n + 5]) for n in range(len(words) - 4)]
+    covered = {n + k for n, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    return (
+        len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text),
+        sum(line in lines[:n] for n, line in enumerate(lines)), len(covered),
+    )
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n\t\x1c\x85#é|", max_size=80))
+def test_base_measures_as_plain_counts(text):
+    assert quality.base_measures(text.encode()) == plain_measures(text)
+
+
+def test_token_hashes_follow_the_tokens_only():
+    texts = [b"Ab, c", b"ab , C ab", b"", "é ab".encode()]
+    hashes, piece = tokens.token_hashes(texts)
+    assert piece.tolist() == [0, 0, 0, 1, 1, 1, 1, 3, 3]
+    one = [re.findall(rb"\w+|,", t.lower()) for t in (texts[0], texts[1])]
+    names = [*one[0], *one[1], "é".encode(), b"ab"]
+    same = {(a, b): hashes[i] == hashes[j] for i, a in enumerate(names) for j, b in enumerate(names)}
+    assert all(equal == (a == b) for (a, b), equal in same.items())
+
+
+def test_pieces_cover_long_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 50)
+    text = b"word " * 100 + b"x" * 200
+    assert b"".join(tokens.pieces(text)) == text and max(map(len, tokens.pieces(text))) <= 50
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    read = lambda n: spark.read.parquet(f"{FOLDER}/{n}.parquet")
+    return read("documents"), read("labels")
+
+
+def test_whole_table_against_plain_model(spark, tables):
+    documents, labels = tables
+    texts = dict(documents.select("doc_id", "text").collect())
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    count = {True: np.zeros(quality.BUCKETS), False: np.zeros(quality.BUCKETS)}
+    grams = {}
+    for i, text in texts.items():
+        grams[i] = quality.ngram_buckets([text.encode()])[0]
+        for which in {False, i in good}:
+            np.add.at(count[which], grams[i], 1)
+    share = {k: (c + 1) / (c.sum() + quality.BUCKETS) for k, c in count.items()}
+    result = LLM.queries["op8_quality_rules"](spark, FOLDER).collect()
+    assert len(result) == len(texts)
+    for row in result:
+        measures = plain_measures(texts[row.doc_id])
+        assert tuple(row[1:6]) == measures
+        failed = measures[0] < 10 or 100 * measures[4] > 20 * measures[0]
+        mine = [np.log(share[True][g] / share[False][g]) for g in grams[row.doc_id]]
+        ratio = float(np.mean(mine)) if mine else 0.0
+        assert row.base_failed == failed and abs(row.ratio - ratio) < 1e-9
+        assert row.kept == (not failed and ratio >= quality.THRESHOLD)
+
+
+def test_keeps_clean_documents_and_drops_junk(tables):
+    documents, labels = tables
+    verdict = {r.doc_id: r for r in quality.quality_rules(documents, labels).collect()}
+    rows = labels.collect()
+    clean = [verdict[r.doc_id] for r in rows if r.quality == 1 and verdict[r.doc_id].n_words >= 30]
+    junk = [verdict[r.doc_id] for r in rows if r.quality == 0]
+    assert sum(r.kept for r in clean) / len(clean) > 0.97
+    assert sum(not r.kept for r in junk) / len(junk) > 0.9
+
+
+def test_edges(spark, docs, tables):
+    labels = tables[1]
+    rows = [(1, None), (2, ""), (None, "some words " * 9), (3, "a b"), (3, "a b"), (4, "x" * 3_000_000)]
+    out = quality.quality_rules(docs(*rows), labels.limit(0)).collect()
+    assert len(out) == len(rows) and {r.ratio for r in out} == {0.0}
+    kept = quality.keep_good(docs(*rows), labels.limit(0))
+    assert kept.columns == docs(*rows).columns and kept.count() == 0
+    clashing = [(1, "fine words that differ " + "one two three four five six seven"), (2, "no")]
+    assert [r.doc_id for r in quality.keep_good(docs(*clashing), labels.limit(0)).collect()] == [1]
+    odd = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    assert [r.doc_id for r in quality.trusted_ids(odd).collect()] == [2]
+    assert quality.quality_rules(docs(*rows).limit(0), labels).count() == 0
