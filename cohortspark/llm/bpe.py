@@ -42,7 +42,7 @@ def split_words(text: str) -> list[str]:
     return (SPLIT if WIDE_CHARACTER.search(text) else NARROW).findall(text)
 
 
-#: Distinct words and arcs a task keeps; the memo is emptied when full. Results do not change.
+#: Distinct words, and arcs, that a task remembers. Results do not depend on it.
 MEMO = 400_000
 
 
@@ -146,18 +146,22 @@ class Automaton:
 
 
 class Encoder(dict):
-    """Memo from a pre-split word to its ids."""
+    """Memo from a pre-split word to its ids; a full memo becomes the older generation."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
+        self.older: dict[str, tuple[int, ...]] = {}
         names = sorted(automaton.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.automaton.encode_word(word.encode("utf-8"))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.automaton.encode_word(word.encode("utf-8"))
         if len(word) <= 64:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids

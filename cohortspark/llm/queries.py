@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Catalog, table
 
-from . import bpe, pii, quality
+from . import bpe, pii, quality, simhash
 
 LLM = Catalog()
 
@@ -59,3 +59,10 @@ def op5_pii(spark, folder: str) -> DataFrame:
 def op8_quality_rules(spark, folder: str) -> DataFrame:
     """Measures and verdict of the quality rules for every document."""
     return quality.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@LLM.add()
+def op9_simhash(spark, folder: str) -> DataFrame:
+    """Fingerprint and class of every document, four-word shingles, four bits."""
+    rows = simhash.near_duplicates(table(spark, folder, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
