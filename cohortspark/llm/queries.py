@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Catalog, table
 
-from . import bpe, pii, quality, simhash
+from . import bpe, lines, pii, quality, simhash, substrings
 
 LLM = Catalog()
 
@@ -66,3 +66,52 @@ def op9_simhash(spark, folder: str) -> DataFrame:
     """Fingerprint and class of every document, four-word shingles, four bits."""
     rows = simhash.near_duplicates(table(spark, folder, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@LLM.add(r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), line AS (
+  SELECT doc_id, parts[n] AS line, n FROM split, unnest(range(1, len(parts) + 1)) AS t(n)
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line
+), shared AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+  SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.first AS gone
+  FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""")
+def op4_line_dedup(spark, folder: str) -> DataFrame:
+    """Documents without lines that an earlier document has too."""
+    kept = lines.dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", sha256_of(F.col("text")).alias("kept_sha256"))
+
+
+@LLM.add(r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, n, md5(array_to_string(words[n:n + 19], ' ')) AS seq
+  FROM split, unnest(range(1, len(words) - 18)) AS t(n)
+), again AS (
+  SELECT doc_id, n FROM starts QUALIFY row_number() OVER (PARTITION BY seq ORDER BY doc_id, n) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, m FROM again, unnest(range(n, n + 20)) AS t(m)
+), word AS (
+  SELECT doc_id, m, words[m] AS word FROM split, unnest(range(1, len(words) + 1)) AS t(m)
+), left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY m) AS text, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, m) GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(len(words) - coalesce(l.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(l.text, '')) AS kept_sha256
+FROM split s LEFT JOIN left_over l USING (doc_id)""")
+def op7_substring_dedup(spark, folder: str) -> DataFrame:
+    """Documents without words of 20-word windows that also start earlier."""
+    kept = substrings.dedup_substrings(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", sha256_of(F.col("text")).alias("kept_sha256"))
