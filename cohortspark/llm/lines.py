@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import blocks as bk
-from .common import record_batch, slices
+from .common import column, record_batch, slices
 from .tokens import mix
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -195,7 +195,7 @@ def dedup_lines(
             "n_dropped": pa.array([int(g.sum()) for g in gone], pa.int64()),
         })
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     schema = "doc_id long, text string, n_lines long, n_dropped long"
     return _kept(rows, "doc_id", "text", min_key, schema, build)
 

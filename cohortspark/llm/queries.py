@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Catalog, table
 
-from . import bpe, lines, pii, quality, simhash, substrings
+from . import bpe, lines, pii, quality, secrets, simhash, substrings
 
 LLM = Catalog()
 
@@ -23,6 +23,67 @@ def sha256_of(text) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def span_list(spans: Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, text), ",")
+
+
+def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
+    """Counts and digest of the spans of the base kinds, and all spans."""
+    of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    return found.select(
+        "doc_id",
+        *(F.size(of(name)).cast("long").alias(f"n_{name}") for name in base),
+        sha256_of(span_list(of(*base))).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
+def _secret_sql() -> str:
+    """The plain scan of every rule over every text."""
+    plain = {"access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]+", 0, 16)}
+    parts = []
+    for order, rule in enumerate(secrets.RULES):
+        pattern, group, least = plain.get(rule.kind, (rule.pattern, rule.group, rule.least))
+        pattern = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{rule.kind}' AS kind, {order} AS k, {least} AS least,
+  unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 2)) AS i,
+  unnest(list_append(regexp_extract_all(text, '{pattern}', 0), NULL)) AS m,
+  unnest(list_append(regexp_extract_all(text, '{pattern}', {group}), NULL)) AS v,
+  unnest(string_split_regex(text, '{pattern}')) AS gap FROM doc""")
+    base = ", ".join(f"'{r.kind}'" for r in secrets.RULES if r.base)
+    counts = ", ".join(
+        f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.RULES if r.base
+    )
+    return f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+part AS ({" UNION ALL ".join(parts)}),
+placed AS (
+  SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (
+    PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM part WINDOW w AS (PARTITION BY doc_id, k ORDER BY i ROWS UNBOUNDED PRECEDING)
+), span AS (
+  SELECT doc_id, kind, k, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS t
+  FROM placed WHERE m IS NOT NULL AND length(v) >= least
+), listed AS (
+  SELECT doc_id, {counts},
+    string_agg(t, ',' ORDER BY s, k) FILTER (kind IN ({base})) AS base,
+    string_agg(t, ',' ORDER BY s, k) AS spans
+  FROM span GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.RULES if r.base)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc d LEFT JOIN listed l USING (doc_id)"""
+
+
+@LLM.add(_secret_sql())
+def op1_secrets(spark, folder: str) -> DataFrame:
+    """Secrets in every document: counts and spans."""
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    return span_digest(found, [r.kind for r in secrets.RULES if r.base])
+
+
 @LLM.add()
 def op3_bpe(spark, folder: str) -> DataFrame:
     """BPE ids and decoded text of every document, as digests."""
@@ -35,24 +96,11 @@ def op3_bpe(spark, folder: str) -> DataFrame:
     )
 
 
-def span_list(spans: Column) -> Column:
-    """``kind:start:end`` of each span, comma-joined."""
-    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
-    return F.array_join(F.transform(spans, text), ",")
-
-
 @LLM.add()
 def op5_pii(spark, folder: str) -> DataFrame:
     """Personal data in every document: counts and spans."""
     found = pii.personal_data(table(spark, folder, "documents"))
-    base = [kind.name for kind in pii.KINDS if kind.base]
-    of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
-    return found.select(
-        "doc_id",
-        *(F.size(of(name)).cast("long").alias(f"n_{name}") for name in base),
-        sha256_of(span_list(of(*base))).alias("base_sha256"),
-        span_list(F.col("spans")).alias("spans"),
-    )
+    return span_digest(found, [kind.name for kind in pii.KINDS if kind.base])
 
 
 @LLM.add()

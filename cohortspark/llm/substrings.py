@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as bk
-from .common import record_batch, slices
+from .common import column, record_batch, slices
 from .tokens import mix
 
 WINDOW = 20
@@ -225,7 +225,7 @@ def dedup_substrings(
     table gives an empty table. Long texts are one block each.
     """
     lengths = levels(start, window)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     stored = bk.to_blocks(rows, "windows")
     shards = bk.shards(docs)
     weight = stored.agg(F.sum("weight")).first()[0] or 0
