@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Catalog, table
 
-from . import bpe, lines, pii, quality, secrets, simhash, substrings
+from . import bpe, lines, pii, quality, secrets, sharding, simhash, substrings
 
 LLM = Catalog()
 
@@ -163,3 +163,18 @@ def op7_substring_dedup(spark, folder: str) -> DataFrame:
     """Documents without words of 20-word windows that also start earlier."""
     kept = substrings.dedup_substrings(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", sha256_of(F.col("text")).alias("kept_sha256"))
+
+
+@LLM.add()
+def op10_sharding(spark, folder: str) -> DataFrame:
+    """Shard and slot of every document under a uniform shuffle into 24 shards."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return sharding.shuffle_shards(table(spark, folder, "documents")).select(
+        "row.doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
