@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Catalog, table
 
-from . import bpe, lines, pii, quality, secrets, sharding, simhash, substrings
+from . import bpe, decontamination, lines, pii, quality, secrets, sharding, simhash, substrings
 
 LLM = Catalog()
 
@@ -178,3 +178,9 @@ def op10_sharding(spark, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@LLM.add()
+def op6_decontamination(spark, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers, names and units."""
+    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
