@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Catalog, table
 
-from . import bpe, decontamination, lines, pii, quality, secrets, sharding, simhash, substrings
+from . import bpe, classifier, decontamination, lines, pii, quality, secrets, sharding, simhash, substrings
 
 LLM = Catalog()
 
@@ -184,3 +184,9 @@ def op10_sharding(spark, folder: str) -> DataFrame:
 def op6_decontamination(spark, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers, names and units."""
     return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@LLM.add()
+def op2_quality_classifier(spark, folder: str) -> DataFrame:
+    """Calibrated quality score of every document."""
+    return classifier.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))

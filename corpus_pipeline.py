@@ -3,14 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from cohortspark.llm import bpe, decontamination, lines, quality, simhash
+from cohortspark.llm.common import stage
+from cohortspark.llm.queries import sha256_of, tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier one has too; ``n_chars`` follows the text."""
+    return lines.keep_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each SimHash class."""
+    return simhash.keep_first(docs, shingle_words=simhash.SHINGLE_WORDS, max_bits=simhash.MAX_BITS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and a digest of what they decode to."""
+    coded = bpe.encode_decode(docs, tokenizer_path())
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        sha256_of(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
+# Fingerprints, hashed n-grams and BPE have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to the documents of ``sf_dir``."""
+    """All stages applied to the documents of ``sf_dir``, each stored before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
