@@ -19,6 +19,8 @@ SEED = 42
 #: Rows that one task orders in the second permutation, about.
 RUN_ROWS = 4096
 _LOW = (1 << 33) - 1
+#: Most input partitions whose counts are broadcast (a few MB); beyond, they are joined.
+BROADCAST_PARTS = 20_000
 
 
 def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -150,6 +152,8 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     sent = docs.sparkSession.createDataFrame(
         [(r.part, row) for r, row in zip(counted, matrix, strict=True)], "part int, counts array<long>"
     )
+    if len(counted) <= BROADCAST_PARTS:
+        sent = F.broadcast(sent)
     runs = _assign(stored.select("part", "ord"), sent, seed, bits).groupBy("shard", "run").count()
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select("shard", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

@@ -34,9 +34,10 @@ def test_matrix_has_exact_margins():
     assert Counter(labels.tolist()) == {n: c for n, c in enumerate(matrix[3]) if c}
 
 
-@pytest.mark.parametrize("run_rows", [4096, 3])
-def test_rows_are_kept_and_slots_gapless(docs, monkeypatch, run_rows):
+@pytest.mark.parametrize(("run_rows", "broadcast"), [(4096, 99), (3, 99), (3, 0)])
+def test_rows_are_kept_and_slots_gapless(docs, monkeypatch, run_rows, broadcast):
     monkeypatch.setattr(sharding, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(sharding, "BROADCAST_PARTS", broadcast)
     rows = [(1, None), (None, "x"), (2, ""), *[(3, "same")] * 40, *[(n, f"t{n}") for n in range(10, 100)]]
     frame = docs(*rows, partitions=5)
     out = sharding.shuffle_shards(frame, shards=7, seed=3).collect()
