@@ -91,97 +91,81 @@ def zscore(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     ).drop("_moments")
 
 
-def group_quantile(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    p: float,
-    into: str,
-    limit: int = 100_000,
-    listed: int = 10_000,
-    accuracy: int = 20_000,
-) -> DataFrame:
-    """Exact quantile per key with linear interpolation between order statistics.
+#: Bits of a value that one level of :func:`group_quantile` looks at, from the highest.
+DIGITS = (22, 21, 21)
 
-    Spark's exact percentile holds a group in one task, so it serves groups of up to
-    ``limit`` values. A count finds the larger ones first. Up to ``listed`` of them are
-    told apart by a broadcast list and ranked by :func:`bracketed_quantile`; with more,
-    every group is ranked that way.
-    """
-    rows = df.select(*keys, col(value).cast("double").alias("_v")).filter("_v is not null")
-    sizes = rows.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    large = sizes.limit(listed + 1).collect()
-    if len(large) > listed:
-        return bracketed_quantile(rows, keys, "_v", p, into, accuracy)
-    exact = lambda part: part.groupBy(*keys).agg(F.percentile("_v", F.lit(p)).alias(into))
-    if not large:
-        return exact(rows)
-    names = [f"_k{i}" for i in range(len(keys))]
-    table = F.broadcast(df.sparkSession.createDataFrame(large, sizes.schema).toDF(*names))
-    small = rows.join(table, _same(keys), "left_anti")
-    hot = rows.join(table, _same(keys), "left_semi")
-    return exact(small).unionByName(bracketed_quantile(hot, keys, "_v", p, into, accuracy))
 
-
-def _same(keys: Sequence[str]) -> Column:
-    """Equality, missing keys included, with keys renamed ``_k0, _k1, ...`` on the other side."""
-    return reduce(
-        Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    )
+def _ordered_bits(value: Column) -> Column:
+    """A long that orders as the double does: its bits, with negative ones turned round."""
+    bits = F.java_method(
+        F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)
+    ).cast("long")
+    return F.when(bits < 0, F.bitwise_not(bits).bitwiseXOR(F.lit(-(2**63)))).otherwise(bits)
 
 
-def bracketed_quantile(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    p: float,
-    into: str,
-    accuracy: int = 20_000,
+def group_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, p: float, into: str
 ) -> DataFrame:
-    """Exact quantile per key for groups of any size.
+    """Exact quantile per key with linear interpolation between order statistics.
 
-    A bounded sketch brackets the two order statistics of groups larger than
-    ``accuracy``; only values inside the bracket are ranked, everything below is one
-    counted row. No task holds the values of a whole group, and the ranks are
-    checked against the counts, so the result is exact or the job fails.
+    Equal values of a key are counted first, which splits a key of any size by value. Then
+    the two order statistics are found digit by digit of the order-preserving bits of the
+    values: each level counts one digit, keeps the one or two digits that hold a wanted rank,
+    and drops all other values. Three levels serve every group; a window sees one row per
+    digit of a key, never its values.
     """
-    rows = df.select(*keys, col(value).cast("double").alias("_v")).filter("_v is not null")
-    margin = 4.0 / accuracy
-    ends = F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0)))
-    large = F.col("_n") > accuracy
-    brackets = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"))
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            "_n",
-            F.when(large, F.col("_e")[0]).alias("_low"),
-            F.when(large, F.col("_e")[1]).alias("_high"),
-        )
-    )
-    inside = F.when(F.col("_low").isNull() | (F.col("_v") >= F.col("_low")), F.col("_v"))
+    number = col(value).cast("double")
     cells = (
-        rows.join(brackets, _same(keys))
-        .filter(F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
-        .groupBy(*keys, "_n", inside.alias("_v"))
+        df.filter(number.isNotNull())
+        .groupBy(*keys, number.alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    upto = (
-        Window.partitionBy(*keys)
-        .orderBy(F.asc_nulls_first("_v"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    bits = _ordered_bits(F.col("_v"))
+    shift, digits = 64, {}
+    for level, width in enumerate(DIGITS):
+        shift -= width
+        digit = F.shiftright(bits, shift)
+        digits[f"_d{level}"] = digit if level == 0 else digit.bitwiseAND(F.lit((1 << width) - 1))
+    cells = cells.withColumns(digits)
+
     position = (F.col("_n") - 1) * F.lit(p)
-    rank = F.floor(position)
-    following = F.least(rank + 1, F.col("_n") - 1)
-    ranked = cells.withColumn("_upto", F.sum("_c").over(upto))
-    stats = ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("_upto") > rank, F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > following, F.col("_v"))).alias("_b"),
-        F.bool_or(F.col("_v").isNull() & (F.col("_upto") > rank)).alias("_missed"),
-        F.max(position - rank).alias("_part"),
+    low = F.floor(position)
+    high = F.least(low + 1, F.col("_n") - 1)
+    found = None
+    for level, digit in enumerate(digits):
+        above = [*keys, *list(digits)[:level]]
+        part = cells if found is None else cells.join(found, _same(above)).drop(*_renamed(above))
+        carried = [] if found is None else ["_n", "_before"]
+        counts = part.groupBy(*above, *carried, digit).agg(
+            F.sum("_c").alias("_c"), F.min("_v").alias("_v")
+        )
+        within = Window.partitionBy(*above)
+        upto = F.sum("_c").over(
+            within.orderBy(digit).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        if found is None:
+            counts = counts.withColumns({"_n": F.sum("_c").over(within), "_before": F.lit(0)})
+        ranked = counts.withColumn("_upto", F.col("_before") + upto)
+        wanted = ranked.filter((F.col("_upto") > low) & (F.col("_upto") - F.col("_c") <= high))
+        below = [F.col(k).alias(f"_k{i}") for i, k in enumerate([*above, digit])]
+        found = wanted.select(*below, "_n", (F.col("_upto") - F.col("_c")).alias("_before"))
+
+    ends = wanted.groupBy(*keys).agg(
+        F.min("_v").alias("_a"),
+        F.min(F.when(F.col("_upto") > high, F.col("_v"))).alias("_b"),
+        F.max(position - low).alias("_part"),
+    )
+    exact = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
+        F.col("_a") + F.col("_part") * (F.col("_b") - F.col("_a"))
     )
-    exact = F.col("_a") + F.col("_part") * (F.col("_b") - F.col("_a"))
-    lost = F.col("_missed") | F.col("_a").isNull() | F.col("_b").isNull()
-    failed = F.raise_error(F.lit("quantile outside its bracket; raise accuracy")).cast("double")
-    return stats.select(*keys, F.when(lost, failed).otherwise(exact).alias(into))
+    return ends.select(*keys, exact.alias(into))
+
+
+def _renamed(keys: Sequence[str]) -> list[str]:
+    return [f"_k{i}" for i in range(len(keys))]
+
+
+def _same(keys: Sequence[str]) -> Column:
+    """Equality, missing keys included, with keys renamed ``_k0, _k1, ...`` on the other side."""
+    pairs = zip(keys, _renamed(keys), strict=True)
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(r)) for k, r in pairs])

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -193,12 +194,12 @@ def test_skewed_join_is_split(spark, small_skew_limits):
 def test_skewed_quantile_is_split_and_exact(spark, small_skew_limits):
     rows = hot_rows(spark)
     hot = rows.filter("k = 7").toPandas()["v"]
-    everything = stats.bracketed_quantile(rows, ["k"], "v", 0.75, "q", accuracy=1000)
-    assert "skew=true" in final_plan(everything)
-    split = stats.group_quantile(rows, ["k"], "v", 0.75, "q", limit=1000, accuracy=1000)
-    for found in (everything, split):
-        assert found.count() == 2000
-        assert found.filter("k = 7").first().q == pytest.approx(float(np.quantile(hot, 0.75)))
+    found = stats.group_quantile(rows, ["k"], "v", 0.75, "q")
+    # cells of a key are spread by value, and meet only those of their digits again
+    assert re.search(r"hashpartitioning\(k#\w+, _groupingexpression", plan(found))
+    assert len(set(re.findall(r"Window \[sum\(_c.*?\], \[(.*?)\]", plan(found)))) == 3
+    assert found.count() == 2000
+    assert found.filter("k = 7").first().q == pytest.approx(float(np.quantile(hot, 0.75)))
 
 
 # --- totals, z, quantiles ---------------------------------------------------------------
@@ -236,24 +237,29 @@ def test_zscore(frame):
 
 
 @pytest.mark.parametrize("p", [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0])
-@pytest.mark.parametrize("limit, listed", [(50, 1), (50, 10), (100_000, 10)])
-def test_group_quantile_is_exact(spark, p, limit, listed):
-    """All groups bracketed, the large ones bracketed, none bracketed."""
-    accuracy = 16
-    rng = np.random.default_rng(int(p * 100) + accuracy)
+def test_group_quantile_is_exact(spark, p):
+    """Single rows, ties, signs, sizes from denormal to huge, and a missing key."""
+    rng = np.random.default_rng(int(p * 100) + 16)
     rows, expected = [], {}
     for key, size in [(1, 1), (2, 2), (3, 17), (4, 100), (5, 1501), (None, 400), (7, 300)]:
         x = rng.normal(size=size) if key != 7 else rng.integers(0, 3, size).astype(float)
         x = np.round(x, 3)
+        if key == 4:
+            x = x * 10.0 ** rng.integers(-300, 300, size)
         expected[key] = float(np.quantile(x, p))
         rows += [(key, float(v)) for v in x] + [(key, None)]
     rng.shuffle(rows)
     rows = [(None if k is None else int(k), v) for k, v in rows]
     df = spark.createDataFrame(rows, "k int, v double").repartition(6)
-    got = {r.k: r.q for r in stats.group_quantile(df, ["k"], "v", p, "q", limit, listed, accuracy).collect()}
+    got = {r.k: r.q for r in stats.group_quantile(df, ["k"], "v", p, "q").collect()}
     assert got.keys() == expected.keys()
     for key in got:
-        assert got[key] == pytest.approx(expected[key], abs=1e-9)
+        assert got[key] == pytest.approx(expected[key], rel=1e-9)
+
+
+def test_group_quantile_runs_nothing_while_building(spark):
+    df = spark.range(10).select((F.col("id") % 2).alias("k"), F.raise_error(F.lit("ran")).cast("double").alias("v"))
+    stats.group_quantile(df, ["k"], "v", 0.75, "q")
 
 
 def test_golden_quantile(frame):
