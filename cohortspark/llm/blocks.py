@@ -140,7 +140,9 @@ def with_answers(blocks: DataFrame, levels: list[DataFrame]) -> DataFrame:
         tagged = level.select(F.lit(n).alias("level"), "block", "shard", "bits")
         every = tagged if every is None else every.unionByName(tagged)
     entry = F.sort_array(F.collect_list(F.struct("level", "shard", "bits")))
-    return blocks.join(every.groupBy("block").agg(entry.alias("answers")), "block", "left")
+    # answers grow with the blocks: one plan at every size
+    listed = every.groupBy("block").agg(entry.alias("answers")).hint("merge")
+    return blocks.join(listed, "block", "left")
 
 
 def bits_of(answers: list[dict], level: int) -> np.ndarray:
