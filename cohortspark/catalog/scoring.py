@@ -154,7 +154,8 @@ RACES = ("click", "view", "error")
 KEYS = SurveyKeys(
     {
         "tas20": [KeyItem(i, "Alpha x" if i % 2 else "Beta", i in (2, 5)) for i in ITEMS],
-        "ders": [KeyItem(i, "Gamma", i == 3) for i in ITEMS],
+        # one question counts in two subscales
+        "ders": [*(KeyItem(i, "Gamma", i == 3) for i in ITEMS), KeyItem(2, "Delta", True)],
         "bpq": [KeyItem(i, "Impulse" if i > 5 else "Identity", i == 4) for i in ITEMS],
         "als18": [KeyItem(i, "Mood/Shift" if i < 4 else "Anger", None) for i in ITEMS],
         "beq": [KeyItem(i, "Strong" if i < 5 else "Weak", i in (1, 6)) for i in ITEMS],
@@ -169,6 +170,9 @@ _VALUE = {
     "i_panas_sf_{i}": ("l_discount = 0.05", "max(l_quantity) * 1"),
     "tas20_{i}": ("l_discount = 0.07", "max(l_tax) * 50"),
     "ders_{i}": ("l_discount = 0.03", "max(l_tax) * 60"),
+    # columns without a question number: an order and a free text
+    "ders_order": ("l_discount = 0.04", "max(l_quantity) * 1"),
+    "tas20_3_TEXT": ("l_discount = 0.06", "max(l_tax) * 50"),
     "bpq_q{i}": ("l_discount = 0.02", "min(CASE l_linestatus WHEN 'F' THEN 1.0 ELSE 2.0 END)"),
 }
 _LATER = {
@@ -188,7 +192,7 @@ def _cells(spec):
     cells = []
     for name, (where, value) in spec.items():
         fun, inner, factor = re.fullmatch(r"(\w+)\((.+)\)( \* [0-9.]+)?", value).groups()
-        for i in ITEMS:
+        for i in ITEMS if "{i}" in name else [1]:
             test = f"{where} AND l_linenumber = {i}"
             text = f"{fun}(CASE WHEN {test} THEN {inner} END){factor or ''}"
             cells.append((name.format(i=i), text))
@@ -278,6 +282,8 @@ def _round_scores():
         for label, keys in _groups(scale).items():
             columns = [_mirrored(f"{scale}_{k.item}", k, 6) for k in keys]
             scores[f"{scale}_{label}"] = _scale_sql(columns, patch)
+        # an item without a key entry has no direction, so its answer is unknown
+        scores[f"{scale}_NA"] = _scale_sql(["NULL::DOUBLE"], patch)
     return scores
 
 

@@ -1,6 +1,12 @@
 """Column-level building blocks: everything here is a plain Column expression."""
 
-from .columns import columns_between, columns_containing, columns_starting, rename_by_pattern
+from .columns import (
+    columns_between,
+    columns_containing,
+    columns_starting,
+    item_number,
+    rename_by_pattern,
+)
 from .nulls import (
     all_or_null,
     nan_to_null,
@@ -27,7 +33,7 @@ from .scalars import (
 
 __all__ = [
     "all_or_null", "band_to_unit", "binary_answer", "bounded_logit", "columns_between",
-    "columns_containing", "columns_starting", "nan_to_null", "number_sql", "pick_by_version", "ratio",
+    "columns_containing", "columns_starting", "item_number", "nan_to_null", "number_sql", "pick_by_version", "ratio",
     "recode", "rename_by_pattern", "response_deficit", "reverse_code", "sentinel_null",
     "slider_to_scale", "subscale_label", "text_or_na", "to_int", "to_number", "unite",
     "zero_hundred_to_scale",

@@ -27,3 +27,8 @@ def rename_by_pattern(df: DataFrame, pattern: str, replacement: str) -> DataFram
     """Rename every column with a regular-expression substitution."""
     renamed = {c: re.sub(pattern, replacement, c) for c in df.columns}
     return df.withColumnsRenamed({old: new for old, new in renamed.items() if old != new})
+
+
+def item_number(text: str) -> int | None:
+    """The question number in a part of a column name; None for order or free-text columns."""
+    return int(text) if re.fullmatch("[0-9]+", text) else None

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions import slider_to_scale
+from cohortspark.functions import item_number, slider_to_scale
 
 
 def col(name: str) -> Column:
@@ -34,6 +34,11 @@ def unpivot(
     return melt(df, ids, [{name: F.lit(v), value: col(v)} for v in values])
 
 
+def _item(text: str) -> Column:
+    """Question number of an item column, NULL where the name has none."""
+    return F.lit(item_number(text)).cast("int")
+
+
 def items_long_likert(df: DataFrame, ids: Sequence[str], prefix: str) -> DataFrame:
     """Columns ``<prefix>_<item>`` to rows ``(item, response)``."""
     head = f"{prefix}_"
@@ -42,7 +47,7 @@ def items_long_likert(df: DataFrame, ids: Sequence[str], prefix: str) -> DataFra
         df,
         ids,
         [
-            {"item": F.lit(int(c[len(head) :])), "response": col(c).cast("double")}
+            {"item": _item(c[len(head) :]), "response": col(c).cast("double")}
             for c in names
         ],
     )
@@ -57,7 +62,7 @@ def items_long_slider(
         ids,
         [
             {
-                "item": F.lit(int(c.split("_")[0])),
+                "item": _item(c.split("_")[0]),
                 "response": slider_to_scale(col(c).cast("double"), points, minimum),
             }
             for c in columns
@@ -79,7 +84,7 @@ def unpivot_pairs(
         by_item.setdefault(item, {})[measure] = c
     rows = []
     for item, found in by_item.items():
-        row = {"item": F.lit(int(item))}
+        row = {"item": _item(item)}
         for m in measures:
             row[m] = (col(found[m]) if m in found else F.lit(None)).cast(cast)
         rows.append(row)
@@ -93,7 +98,7 @@ def unpivot_two_keys(df: DataFrame, ids: Sequence[str], columns: Sequence[str])
         parts = c.split("_")
         rows.append(
             {
-                "item": F.lit(int(parts[0])),
+                "item": _item(parts[0]),
                 "q_type": F.lit(parts[2]),
                 "response": col(c).cast("double"),
             }

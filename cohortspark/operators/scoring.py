@@ -18,6 +18,7 @@ from cohortspark.functions import (
     binary_answer,
     columns_containing,
     columns_starting,
+    item_number,
     ratio,
     reverse_code,
     slider_to_scale,
@@ -93,31 +94,36 @@ def _label(scale: str, subscale: str | None, kind: str | None = None) -> str:
     return "_".join(p for p in (scale, kind, tidy) if p)
 
 
-def _item_columns(df: DataFrame, scale: Scale) -> list[tuple[int, str | None, Column]]:
-    """(item, kind, answer in scale units) for every item column of a scale."""
+def _item_columns(
+    df: DataFrame, scale: Scale
+) -> list[tuple[int | None, str | None, Column]]:
+    """(item, kind, answer in scale units) for every item column of a scale.
+
+    Columns without a question number (orders, free text) are items that no key lists.
+    """
     number = lambda c: col(c).try_cast("double")
     if scale.layout == "binary":
         # the item number follows a five-character prefix
-        return [(int(c[5:]), None, number(c)) for c in columns_starting(df, scale.name)]
+        return [(item_number(c[5:]), None, number(c)) for c in columns_starting(df, scale.name)]
     names = [c for c in columns_containing(df, scale.name) if c not in scale.ignore]
     if scale.layout == "likert":
-        return [(int(c[len(scale.name) + 1 :]), None, number(c)) for c in names]
+        return [(item_number(c[len(scale.name) + 1 :]), None, number(c)) for c in names]
     if scale.layout == "slider":
         return [
-            (int(c.split("_")[0]), None, slider_to_scale(number(c), scale.points, scale.minimum))
+            (item_number(c.split("_")[0]), None, slider_to_scale(number(c), scale.points, scale.minimum))
             for c in names
         ]
     if scale.layout == "two_keys":
         split = [(c.split("_"), c) for c in names]
-        return [(int(s[0]), s[2], zero_hundred_to_scale(number(c))) for s, c in split]
+        return [(item_number(s[0]), s[2], zero_hundred_to_scale(number(c))) for s, c in split]
     first, second = scale.kinds
-    pairs: dict[int, dict[str, Column]] = {}
+    pairs: dict[str, dict[str, Column]] = {}
     for c in names:
         item, kind = c.split("_")[:2]
-        pairs.setdefault(int(item), {})[kind] = to_int(col(c))
+        pairs.setdefault(item, {})[kind] = to_int(col(c))
     absent = F.lit(None).cast("int")
     return [
-        (item, None, pair_response(found.get(first, absent), found.get(second, absent)))
+        (item_number(item), None, pair_response(found.get(first, absent), found.get(second, absent)))
         for item, found in pairs.items()
     ]
 
@@ -140,19 +146,21 @@ def _answers(
     """(subscale label, scored answer) for every item of one scale."""
     found = []
     for item, kind, answer in _item_columns(df, scale):
-        entry = keys.find(scale.name, item)
-        if scale.subscales == "items":
-            label = _label(scale.name, "pos" if item in scale.positive_items else "neg")
-        elif scale.subscales == "none":
-            label = scale.name
-        else:
-            label = _label(scale.name, entry.subscale, kind)
-        flag = F.lit(entry.reverse).cast("boolean")
-        if scale.layout == "binary":
-            answer = binary_answer(answer, flag).cast("double")
-        elif scale.ends_sum is not None:
-            answer = reverse_code(answer, flag, scale.ends_sum)
-        found.append((label, answer))
+        # an item listed under several subscales counts in each of them
+        for entry in keys.entries(scale.name, item):
+            if scale.subscales == "items":
+                label = _label(scale.name, "pos" if item in scale.positive_items else "neg")
+            elif scale.subscales == "none":
+                label = scale.name
+            else:
+                label = _label(scale.name, entry.subscale, kind)
+            flag = F.lit(entry.reverse).cast("boolean")
+            scored = answer
+            if scale.layout == "binary":
+                scored = binary_answer(answer, flag).cast("double")
+            elif scale.ends_sum is not None:
+                scored = reverse_code(answer, flag, scale.ends_sum)
+            found.append((label, scored))
     return found
 
 

@@ -101,7 +101,7 @@ PCA_COLUMNS = (
 class KeyItem:
     """One question of a questionnaire key."""
 
-    item: int
+    item: int | None
     subscale: str | None
     reverse: bool | None = None
 
@@ -115,9 +115,7 @@ class SurveyKeys:
 
     items: Key = field(default_factory=dict)
 
-    def find(self, scale: str, item: int) -> KeyItem:
-        """Key entry of one item; an unlisted item has no subscale and no flag."""
-        for entry in self.items.get(scale, ()):
-            if entry.item == item:
-                return entry
-        return KeyItem(item, None, None)
+    def entries(self, scale: str, item: int | None) -> list[KeyItem]:
+        """All key entries of an item; an unlisted one has no subscale and no flag."""
+        listed = [entry for entry in self.items.get(scale, ()) if entry.item == item]
+        return listed or [KeyItem(item, None, None)]

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from plans import hash_exchanges
 from pyspark.sql import functions as F
 
 from cohortspark.functions import reverse_code
-from cohortspark.operators import scoring, surveys
+from cohortspark.operators import reshape, scoring, surveys
 from cohortspark.plans import scales
 from cohortspark.plans.scales import KeyItem, SurveyKeys
 
@@ -198,3 +199,24 @@ def test_followup_and_binding(frame):
     assert got["one", "a"].gender == "Not reported" and got["one", "a"].als18_total == 3.0
     assert got["two", "z"].als18_total is None and got["two", "z"].als18_total_z is None
     assert got["one", "z"].bpq_total_z == pytest.approx(0.0)
+
+
+def test_repeated_items_count_in_each_subscale_as_in_the_long_form(spark, frame):
+    key = [KeyItem(1, "a"), KeyItem(1, "b"), KeyItem(2, "b")]
+    df = frame("subj_num string, irq_1 double, irq_2 double", ("x", 4.0, 5.0))
+    long = scoring.attach_key(reshape.items_long_likert(df, ["subj_num"], "irq"), key)
+    by_label = {r.subscale: r.score for r in scoring.score_items(long, ["subscale"]).collect()}
+    assert by_label == {"a": 4.0, "b": 9.0}
+    scale = dataclasses.replace(scales.TAS20, name="irq")
+    keys = SurveyKeys({"irq": [dataclasses.replace(k, reverse=False) for k in key]})
+    wide = scoring.score_wide(df, [scale], keys).first()
+    assert (wide.adj__irq_a, wide.adj__irq_b) == (4.0, 9.0)
+
+
+def test_item_columns_without_a_number_are_items_without_a_key_entry(frame):
+    df = frame("subj_num string, tas20_1 double, tas20_order string, tas20_3_TEXT string", ("x", 4.0, "9", "text"))
+    keys = SurveyKeys({"tas20": [KeyItem(1, "x", False)]})
+    row = scoring.score_wide(df, [scales.TAS20], keys).first()
+    assert row.adj__tas20_x == 4.0 and row.adj__tas20_NA is None
+    long = reshape.items_long_likert(df.drop("tas20_3_TEXT"), ["subj_num"], "tas20")
+    assert sorted((r.item for r in long.collect()), key=str) == [1, None]

@@ -92,9 +92,9 @@ def test_blanks_and_na_text_are_missing(spark, tmp_path):
 
 def test_keys(spark, inputs):
     keys = sources.survey_keys(spark, inputs["keys"])
-    assert keys.find("bpq", 4).reverse is True and keys.find("bpq", 5).reverse is False
-    assert keys.find("als18", 1).subscale == "Second/Part" and keys.find("als18", 1).reverse is None
-    assert keys.find("tas20", 99).subscale is None
+    assert keys.entries("bpq", 4)[0].reverse is True and keys.entries("bpq", 5)[0].reverse is False
+    assert keys.entries("als18", 1)[0].subscale == "Second/Part" and keys.entries("als18", 1)[0].reverse is None
+    assert keys.entries("tas20", 99)[0].subscale is None
 
 
 def test_all_stages(spark, done):
