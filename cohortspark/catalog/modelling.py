@@ -81,13 +81,12 @@ def _answers(spark, folder):
 def _user_scores(spark, folder):
     users = table(spark, folder, "events").groupBy(F.col("user_id").alias("subj_num")).agg(
         F.avg("value").alias("mean"), F.count("*").alias("n")
-    ).filter("n > 55")
+    )
     return zscore(users, {"mean": "PC1", "n": "PC2"})
 
 
 @CATALOG.add("""
-WITH u AS (SELECT user_id, avg(value) AS m, count(*) AS n FROM events GROUP BY user_id
-           HAVING count(*) > 55),
+WITH u AS (SELECT user_id, avg(value) AS m, count(*) AS n FROM events GROUP BY user_id),
 s AS (SELECT user_id, (m - avg(m) OVER ()) / stddev_samp(m) OVER () AS p1,
              (n - avg(n) OVER ()) / stddev_samp(n) OVER () AS p2 FROM u)
 SELECT e.event_id, e.user_id AS subj_num, 'view' AS emo_block, 'cont' AS resp_type,
@@ -180,6 +179,26 @@ def ols_two_terms(spark, folder):
     return rounded(fitted.drop("std_error"))
 
 
+@CATALOG.add("""
+WITH m AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mx,
+                  regr_slope(l_extendedprice, l_quantity) AS b,
+                  regr_intercept(l_extendedprice, l_quantity) AS a,
+                  var_pop(l_quantity) * count(*) AS sxx, var_pop(l_extendedprice) * count(*) AS syy,
+                  covar_pop(l_extendedprice, l_quantity) * count(*) AS sxy
+           FROM lineitem GROUP BY ALL),
+s AS (SELECT *, (syy - b * sxy) / (n - 2) AS s2 FROM m)
+SELECT l_returnflag, '(Intercept)' AS term, round(a, 4) AS estimate,
+       round(sqrt(s2 * (1.0::DOUBLE / n + mx * mx / sxx)), 4) AS std_error FROM s
+UNION ALL SELECT l_returnflag, 'l_quantity', round(b, 4), round(sqrt(s2 / sxx), 4) FROM s
+UNION ALL SELECT l_returnflag, 'twice', NULL, NULL FROM s
+""")
+def ols_collinear(spark, folder):
+    lines = table(spark, folder, "lineitem").withColumn("twice", F.col("l_quantity") * 2)
+    return rounded(
+        models.ols_by_group(lines, ["l_returnflag"], "l_extendedprice", ["l_quantity", "twice"])
+    )
+
+
 @CATALOG.add("""
 SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
        round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept
@@ -227,7 +246,7 @@ def glm_binomial(spark, folder):
 @CATALOG.add()
 def glmm_binomial(spark, folder):
     fit = models.glmm_fit(_graded(spark, folder), "quality", ["log_chars"], "source", "log_chars")
-    return rounded(fit.coefficients(), 2)
+    return rounded(fit.coefficients().select("term", "estimate", "std_error"), 2)
 
 
 def _prices(spark, folder):
@@ -244,7 +263,7 @@ def lmm_fixed_effects(spark, folder):
     fit = models.lmm_fit(
         _prices(spark, folder), "price", ["amount", "l_discount"], "l_suppkey", "amount"
     )
-    return rounded(fit.coefficients(), 3)
+    return rounded(fit.coefficients().select("term", "estimate", "std_error"), 3)
 
 
 @CATALOG.add()
@@ -315,4 +334,4 @@ def lmm_slope_model(spark, folder):
         "term string, estimate double",
     )
     found = fit.coefficients().unionByName(spread, allowMissingColumns=True)
-    return rounded(found)
+    return rounded(found.select("term", "estimate", "std_error"))

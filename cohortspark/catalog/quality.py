@@ -108,7 +108,7 @@ def _log(spark, folder, positive, negative):
 
 
 def _stimuli(spark, folder):
-    parts = table(spark, folder, "part").filter("p_partkey < 250")
+    parts = table(spark, folder, "part")
     size = (F.col("p_partkey") % 6).cast("double")
     return rescale_stimuli(
         parts.select(
@@ -167,7 +167,7 @@ def _clean_ctes(tag, positive, negative, name, start):
 _STIMULI_CTE = """
 stimuli AS (SELECT 'g' || (p_partkey // 50 + 1) || '_' || (p_partkey % 50) AS fname,
                    (p_partkey % 6) / 5.0::DOUBLE AS amuse, (5.0::DOUBLE - p_partkey % 6) / 5 AS fear,
-                   (p_partkey % 5) / 4.0::DOUBLE AS bipolar FROM part WHERE p_partkey < 250)"""
+                   (p_partkey % 5) / 4.0::DOUBLE AS bipolar FROM part)"""
 _TRIAL_COLUMNS = """subj_num, trial_num::INT AS trial_num, rt, round(rt / 1000, 4) AS rt_secs,
 round(CASE WHEN r = 0.5 AND timeout = 1 THEN NULL ELSE r END, 4) AS resp, resp_label, timeout,
 cb_order, cb_resp_order, resp_type, prompt_l, prompt_r, list_version, fname_seen, block, emo_block,

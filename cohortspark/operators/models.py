@@ -14,6 +14,7 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
@@ -77,13 +78,36 @@ def subject_slopes(df: DataFrame, subject: Sequence[str], y: str, x: str) -> Dat
     )
 
 
+def _independent_inverse(inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses of a stack of cross-product matrices over their independent terms.
+
+    A term that earlier terms determine is aliased: its row and column are zero, and the
+    mask of known terms leaves it out.
+    """
+    groups, k = inner.shape[:2]
+    inverse, known = np.zeros_like(inner), np.zeros((groups, k), bool)
+    for g in range(groups):
+        for term in range(k):
+            chosen = np.flatnonzero(known[g])
+            own = inner[g, term, term]
+            rest = own
+            if len(chosen):
+                across = inner[g][np.ix_(chosen, [term])][:, 0]
+                rest = own - across @ np.linalg.solve(inner[g][np.ix_(chosen, chosen)], across)
+            known[g, term] = own > 0 and rest > 1e-9 * own
+        chosen = np.ix_(np.flatnonzero(known[g]), np.flatnonzero(known[g]))
+        inverse[g][chosen] = np.linalg.inv(inner[g][chosen])
+    return inverse, known
+
+
 def ols_by_group(
     df: DataFrame, groups: Sequence[str], y: str, terms: Sequence[str]
 ) -> DataFrame:
     """Regressions of every group in one pass: ``groups, term, estimate, std_error``.
 
     Means and covariances are updated stably by Spark; the small systems are solved
-    where their group's row lives.
+    where their group's row lives. A term that earlier terms of its group determine has no
+    estimate, and residual degrees of freedom count independent terms only.
     """
     rows = _complete(design(df, terms), [y, *terms])
     x = [col(t).cast("double") for t in terms]
@@ -108,11 +132,11 @@ def ols_by_group(
             inner = np.empty((len(pdf), k, k))
             for i, j in upper:
                 inner[:, i, j] = inner[:, j, i] = pdf[f"_c{i}_{j}"].to_numpy() * n
-            inverse = np.linalg.pinv(inner, hermitian=True)
+            inverse, known = _independent_inverse(inner)
             slope = np.einsum("gij,gj->gi", inverse, cross)
             centre = pdf["_my"].to_numpy() - np.einsum("gi,gi->g", mean, slope)
             rest = pdf["_vy"].to_numpy() * n - np.einsum("gi,gi->g", cross, slope)
-            free = n - k - 1
+            free = n - known.sum(axis=1) - 1
             scale = np.where(free > 0, np.maximum(rest, 0) / np.where(free > 0, free, 1), np.nan)
             lever = 1 / n + np.einsum("gi,gij,gj->g", mean, inverse, mean)
             spread = np.concatenate(
@@ -120,8 +144,10 @@ def ols_by_group(
             )
             out = pdf[list(groups)].loc[pdf.index.repeat(k + 1)].reset_index(drop=True)
             out["term"] = names * len(pdf)
-            out["estimate"] = np.concatenate([centre[:, None], slope], axis=1).ravel()
-            out["std_error"] = np.sqrt(scale[:, None] * spread).ravel()
+            used = np.concatenate([np.ones((len(pdf), 1), bool), known], axis=1)
+            estimate = np.concatenate([centre[:, None], slope], axis=1)
+            out["estimate"] = np.where(used, estimate, np.nan).ravel()
+            out["std_error"] = np.where(used, np.sqrt(scale[:, None] * spread), np.nan).ravel()
             yield out
 
     fields = [moments.schema[g] for g in groups] + [
@@ -130,8 +156,8 @@ def ols_by_group(
         T.StructField("std_error", T.DoubleType()),
     ]
     solved = moments.mapInPandas(solve, T.StructType(fields))
-    known = F.when(~F.isnan("std_error"), F.col("std_error"))
-    return solved.withColumn("std_error", known)
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    return solved.withColumns({c: known(c) for c in ("estimate", "std_error")})
 
 
 def model_lookup(coefficients: DataFrame, **where: str) -> DataFrame:
@@ -179,12 +205,16 @@ class MixedFit:
     stats: DataFrame
 
     def coefficients(self) -> DataFrame:
-        """``term, estimate, std_error`` of the fixed effects."""
+        """``term, estimate, std_error, converged, iterations`` of the fixed effects.
+
+        A fit that stopped at its iteration limit says so in every row.
+        """
         rows = [
-            (t, float(b), float(s)) for t, b, s in zip(self.terms, self.beta, self.std_error)
+            (t, float(b), float(s), self.converged, self.iterations)
+            for t, b, s in zip(self.terms, self.beta, self.std_error)
         ]
         return self.stats.sparkSession.createDataFrame(
-            rows, "term string, estimate double, std_error double"
+            rows, "term string, estimate double, std_error double, converged boolean, iterations int"
         )
 
     def random_effects(self) -> DataFrame:
@@ -367,7 +397,8 @@ def lmm_fit(
     one = F.lit(1.0)
     stats = cut_lineage(_cross_products(rows, subject, x, col(y).cast("double"), one, one))
     p, at = len(x), 1 + list(terms).index(slope)
-    totals = _totals(stats, p)
+    held = stats.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
+    totals = _totals(held, p)
     precision = np.full(p, 1.0 / prior_sd**2)
     xx, xy, yy, n = totals
     start = np.linalg.lstsq(xx, xy, rcond=None)[0]
@@ -377,11 +408,12 @@ def lmm_fit(
     while not done and step < max_iterations:
         step += 1
         new_beta, new_cov, new_sigma2, error = _update(
-            stats, totals, p, at, covariance, sigma2, precision, fixed_scale=False
+            held, totals, p, at, covariance, sigma2, precision, fixed_scale=False
         )
         new = (new_beta, new_cov, new_sigma2)
         done = _change((beta, covariance, sigma2), new, new_sigma2) < tolerance
         beta, covariance, sigma2 = new_beta, new_cov, new_sigma2
+    held.unpersist()
     return MixedFit(
         (INTERCEPT, *terms), beta, error, covariance, sigma2, step, done, at, subject, stats
     )
@@ -432,13 +464,15 @@ def glmm_fit(
         stats = cut_lineage(
             _cross_products(current, subject, x, F.col("z"), F.col("w"), F.col("trials"))
         )
-        totals = _totals(stats, p)
+        held = stats.persist(StorageLevel.MEMORY_AND_DISK)
+        totals = _totals(held, p)
         before = (beta, covariance)
         for _ in range(inner):
             precision = 2.0 / (prior_scale**2 + beta**2)
             beta, covariance, _scale, error = _update(
-                stats, totals, p, at, covariance, 1.0, precision, fixed_scale=True
+                held, totals, p, at, covariance, 1.0, precision, fixed_scale=True
             )
+        held.unpersist()
         effects = _random_effects(stats, subject, p, at, beta, covariance, 1.0)
         done = _change(before, (beta, covariance), 1.0) < tolerance
     return MixedFit(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,9 +66,15 @@ class Study:
 
 
 def inputs_changed(spark: SparkSession, study: Study) -> DataFrame:
-    """Input files that differ from the manifest of the last run."""
+    """Input files that are new, differ or are gone since the manifest of the last run, if any."""
     current = input_manifest(spark, study.inputs())
-    return changed_inputs(current, read_stage(spark, study.output, "manifest"))
+    try:
+        previous = read_stage(spark, study.output, "manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        previous = None
+    return changed_inputs(current, previous)
 
 
 def questionnaires(spark: SparkSession, study: Study) -> DataFrame:

@@ -11,7 +11,7 @@ FOLDER = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 SQL = oracle_sql()
 # Arrow transfers are limited to the small solves of the regressions.
 PYTHON_ALLOWED = {
-    "ols_by_group", "ols_two_terms", "model_lookup", "lmm_fixed_effects", "lmm_random_effects",
+    "ols_by_group", "ols_two_terms", "ols_collinear", "model_lookup", "lmm_fixed_effects", "lmm_random_effects",
     "glmm_binomial",
 }
 ITERATIVE = {"lmm_fixed_effects", "lmm_random_effects", "glmm_binomial", "glm_binomial",

@@ -1,3 +1,4 @@
+import dataclasses
 import csv
 
 import pytest
@@ -129,24 +130,48 @@ def test_all_stages(spark, done):
 def test_manifest_finds_changes(spark, done):
     study, _ = done
     assert plans.inputs_changed(spark, study).count() == 0
+    fresh = dataclasses.replace(study, output=f"{study.output}/elsewhere")
+    assert {r.change for r in plans.inputs_changed(spark, fresh).collect()} == {"new"}
     with open(study.stimuli, "a", encoding="utf-8") as f:
         f.write("99,new.gif,1,1,1\n")
     changed = plans.inputs_changed(spark, study).collect()
     assert [r.path.rsplit("/", 1)[1] for r in changed] == ["info.csv"]
 
 
-def test_large_files_are_summarised_by_line(spark, tmp_path):
-    (tmp_path / "big.csv").write_text("a\n" * 500)
-    (tmp_path / "small.csv").write_text("a\n")
+def manifest_changes(spark, path, previous):
+    return {
+        r.path.rsplit("/", 1)[1]: r.change
+        for r in sources.changed_inputs(sources.input_manifest(spark, path), previous).collect()
+    }
+
+
+def test_manifest_sees_order_lines_new_and_deleted_files(spark, tmp_path):
+    lines = [f"line {n % 400}\n" for n in range(3000)]
+    for name in ("same", "order", "edit", "gone"):
+        (tmp_path / f"{name}.csv").write_text("".join(lines))
+    (tmp_path / "empty.csv").write_text("")
     path = str(tmp_path)
-    first = sources.input_manifest(spark, path, whole_file_bytes=100)
-    kept = first.collect()
-    digests = {r.path.rsplit("/", 1)[1]: r.digest for r in kept}
-    assert digests["big.csv"].startswith("500-") and len(digests["small.csv"]) == 64
-    previous = spark.createDataFrame(kept, first.schema)
-    (tmp_path / "big.csv").write_text("a\n" * 499 + "b\n")
-    again = sources.changed_inputs(sources.input_manifest(spark, path, whole_file_bytes=100), previous)
-    assert [r.path.rsplit("/", 1)[1] for r in again.collect()] == ["big.csv"]
+    assert set(manifest_changes(spark, path, None).values()) == {"new"}
+    first = sources.input_manifest(spark, path)
+    previous = spark.createDataFrame(first.collect(), first.schema)
+    assert manifest_changes(spark, path, previous) == {}
+    (tmp_path / "order.csv").write_text("".join([*lines[:700], lines[701], lines[700], *lines[702:]]))
+    (tmp_path / "edit.csv").write_text("".join([*lines[:-1], "line x99\n"]))
+    (tmp_path / "gone.csv").unlink()
+    (tmp_path / "fresh.csv").write_text("a\n")
+    assert manifest_changes(spark, path, previous) == {
+        "order.csv": "changed", "edit.csv": "changed", "gone.csv": "deleted", "fresh.csv": "new"
+    }
+
+
+def test_manifest_does_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("".join(f"row {n}\n" for n in range(2000)))
+    whole = sources.input_manifest(spark, str(tmp_path)).first().digest
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert sources.input_manifest(spark, str(tmp_path)).first().digest == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_csv_sink(spark, tmp_path):
