@@ -27,7 +27,8 @@ HEADLINE = (
     "combine_trials", "complete_blocks", "timeout_rules", "rt_quantile", "slider_profile",
     "qc_profile", "qc_keep", "qc_roster", "complete_cases", "model_frame", "design_matrix",
     "ols_by_group", "subject_slopes", "pca_variance", "pca_scores", "glm_binomial",
-    "lmm_fixed_effects",
+    "lmm_fixed_effects", "lmm_random_effects", "lmm_slope_model", "glmm_binomial", "bind_rounds",
+    "pca_input", "ols_collinear",
 )
 
 

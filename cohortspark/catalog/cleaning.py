@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import (
     band_to_unit,
     columns_between,
+    ordinal,
     pick_by_version,
     recode,
     sentinel_null,
@@ -15,7 +16,7 @@ from cohortspark.functions import (
     unite,
     zero_hundred_to_scale,
 )
-from cohortspark.operators.joins import apply_aliases, union_tagged
+from cohortspark.operators.joins import apply_aliases, stack, union_tagged
 from cohortspark.operators.pca import complete_cases
 from cohortspark.operators.reshape import split_column
 from cohortspark.operators.stats import row_mean, row_total, with_missing_counts, zscore
@@ -49,7 +50,7 @@ SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL FROM supplier
 """)
 def union_sources(spark, folder):
     customers, suppliers = _parties(spark, folder)
-    return customers.unionByName(suppliers, allowMissingColumns=True)
+    return stack([customers, suppliers])
 
 
 @CATALOG.add("""
@@ -182,14 +183,12 @@ FROM orders
 """)
 def recode_values(spark, folder):
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")
-    levels = {"1-URGENT": 1, "2-HIGH": 2, "5-LOW": 3}
-    ordinal = F.create_map(*[F.lit(x) for pair in levels.items() for x in pair])
     known = F.nullif(status, F.lit("P"))
     return table(spark, folder, "orders").select(
         "o_orderkey",
         recode(status, {"O": "open", "F": "final"}).alias("status"),
         F.when(status == "O", True).when(status == "F", False).alias("is_open"),
-        F.try_element_at(ordinal, F.col("o_orderpriority")).alias("priority_level"),
+        ordinal(F.col("o_orderpriority"), ("1-URGENT", "2-HIGH", "5-LOW")).alias("priority_level"),
         F.when(price > 300000, "high").when(price > 100000, "mid").otherwise("low").alias("band"),
         F.when(known == "O", "yes").when(known.isNull(), "unknown").otherwise("no").alias(
             "open_text"

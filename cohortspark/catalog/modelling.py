@@ -9,7 +9,7 @@ from cohortspark.operators.stats import zscore
 
 from .registry import CATALOG, rounded, table
 
-DIMENSIONS = [f"d{i}" for i in range(12)]
+DIMENSIONS = [f"d{i}" for i in range(64)]
 
 
 def _vectors(spark, folder):
@@ -18,16 +18,47 @@ def _vectors(spark, folder):
     )
 
 
-@CATALOG.add()
+@CATALOG.add("""
+WITH v AS (SELECT embedding AS e FROM embeddings)
+SELECT a, b, round(corr(e[a + 1], e[b + 1]), 4) AS correlation
+FROM v, unnest(range(0, 64)) AS s(a), unnest(range(0, 64)) AS t(b) GROUP BY a, b
+""")
 def pca_variance(spark, folder):
+    """The components put together again: they are right if they give the correlations."""
     vectors = _vectors(spark, folder)
-    return rounded(fit_pca(vectors, DIMENSIONS).variance(vectors))
+    fit = fit_pca(vectors, DIMENSIONS)
+    loadings = fit.loadings(vectors)
+    spread = loadings.join(fit.variance(vectors).select("component", "sdev"), "component").select(
+        "component", F.substring("variable", 2, 9).cast("long").alias("at"),
+        (F.col("loading") * F.col("sdev")).alias("part"),
+    )
+    left = spread.select("component", F.col("at").alias("a"), F.col("part").alias("_left"))
+    right = spread.select("component", F.col("at").alias("b"), F.col("part").alias("_right"))
+    products = left.join(right, "component").groupBy("a", "b")
+    total = F.round(F.sum(F.col("_left") * F.col("_right")), 4) + F.lit(0.0)
+    return products.agg(total.alias("correlation"))
 
 
-@CATALOG.add()
+@CATALOG.add("""
+SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS covariance
+FROM unnest(range(1, 65)) AS s(a), unnest(range(1, 65)) AS t(b) WHERE a <= b
+""")
 def pca_scores_(spark, folder):
+    """Covariances of the scores of all vectors: unit variance, and no correlation."""
     vectors = _vectors(spark, folder)
-    return rounded(pca_scores(vectors, fit_pca(vectors, DIMENSIONS), ["vec_id"]))
+    scores = pca_scores(vectors, fit_pca(vectors, DIMENSIONS), ["vec_id"])
+    every = F.array(*[
+        F.struct(F.lit(k).cast("long").alias("k"), F.col(f"PC{k}").alias("v")) for k in range(1, 65)
+    ])
+    pairs = (
+        scores.select(every.alias("s"))
+        .select("s", F.inline("s")).withColumnsRenamed({"k": "a", "v": "_left"})
+        .select("a", "_left", F.inline(F.filter("s", lambda x: x["k"] >= F.col("a"))))
+        .withColumnsRenamed({"k": "b", "v": "_right"})
+    )
+    # scores are centred, so products over n - 1 are covariances
+    covariance = F.round(F.covar_samp("_left", "_right"), 4) + F.lit(0.0)
+    return pairs.groupBy("a", "b").agg(covariance.alias("covariance"))
 
 
 PAIR = ["amount", "reduced"]
@@ -243,35 +274,158 @@ def glm_binomial(spark, folder):
     return rounded(models.glm_binomial(_graded(spark, folder), "quality", ["log_chars"]))
 
 
-@CATALOG.add()
-def glmm_binomial(spark, folder):
-    fit = models.glmm_fit(_graded(spark, folder), "quality", ["log_chars"], "source", "log_chars")
-    return rounded(fit.coefficients().select("term", "estimate", "std_error"), 2)
+# Both mixed-model oracles write out the equations of the fit: per group C is the inverse of
+# Z'WZ / s2 + inverse(D), q(a, b) = a'Cb for columns a = (a0, a1), b of Z'W[X y].
+def _q(a, b):
+    (a0, a1), (b0, b1) = a, b
+    return f"(c00 * {a0} * {b0} + c01 * ({a0} * {b1} + {a1} * {b0}) + c11 * {a1} * {b1})"
 
 
-def _prices(spark, folder):
-    return table(spark, folder, "lineitem").select(
-        "l_suppkey",
-        (F.col("l_extendedprice") / 10000).alias("price"),
-        (F.col("l_quantity") / 10).alias("amount"),
-        F.col("l_discount"),
-    )
+_SPREAD = """
+  m11 / (m00 * m11 - m01 * m01) AS c00, -m01 / (m00 * m11 - m01 * m01) AS c01,
+  m00 / (m00 * m11 - m01 * m01) AS c11"""
+_INVERSE_D = """
+  sxx_n / s2 + d11 / (d00 * d11 - d01 * d01) AS m00, sxx_x / s2 - d01 / (d00 * d11 - d01 * d01) AS m01,
+  sxx_xx / s2 + d00 / (d00 * d11 - d01 * d01) AS m11"""
+_SIDES = (("n", "sx"), ("sx", "sxx"), ("sw", "sxw"))
+_RIGHT = ("sy", "sxy")
+_TWO_TERMS_SQL = f"""
+WITH RECURSIVE g AS (
+  SELECT label, count(*)::DOUBLE AS n, sum(x) AS sx, sum(w) AS sw, sum(x * x) AS sxx, sum(x * w) AS sxw,
+         sum(w * w) AS sww, sum(y) AS sy, sum(x * y) AS sxy, sum(w * y) AS swy, sum(y * y) AS syy
+  FROM (SELECT l_partkey AS label, l_quantity / 10 AS x, l_discount * 10 AS w,
+               l_extendedprice * (1 - l_discount) / 10000 + (l_partkey % 7) / 3.0::DOUBLE
+               + (l_partkey % 5) / 4.0::DOUBLE * l_quantity / 10 AS y FROM lineitem)
+  GROUP BY label),
+f AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS k0, 0.0::DOUBLE AS k1, 0.0::DOUBLE AS k2, 1.0::DOUBLE AS d00,
+         0.0::DOUBLE AS d01, 1.0::DOUBLE AS d11, 1.0::DOUBLE AS s2, 0.0::DOUBLE AS e0,
+         0.0::DOUBLE AS e1, 0.0::DOUBLE AS e2
+  UNION ALL
+  SELECT step + 1, max(k0), max(k1), max(k2), avg(r0 * r0 + c00), avg(r0 * r1 + c01),
+         avg(r1 * r1 + c11),
+         sum(syy - 2 * (k0 * sy + k1 * sxy + k2 * swy) + k0 * k0 * n + k1 * k1 * sxx + k2 * k2 * sww
+             + 2 * (k0 * k1 * sx + k0 * k2 * sw + k1 * k2 * sxw) - 2 * (r0 * u0 + r1 * u1)
+             + n * r0 * r0 + 2 * sx * r0 * r1 + sxx * r1 * r1 + n * c00 + 2 * sx * c01 + sxx * c11)
+         / sum(n), max(v0), max(v1), max(v2)
+  FROM (SELECT *, (c00 * u0 + c01 * u1) / s2 AS r0, (c01 * u0 + c11 * u1) / s2 AS r1 FROM (
+    SELECT *, sy - n * k0 - sx * k1 - sw * k2 AS u0, sxy - sx * k0 - sxx * k1 - sxw * k2 AS u1 FROM (
+      SELECT *, (i00 * h0 + i01 * h1 + i02 * h2) / det AS k0, (i01 * h0 + i11 * h1 + i12 * h2) / det AS k1,
+             (i02 * h0 + i12 * h1 + i22 * h2) / det AS k2, sqrt(i00 / det) AS v0, sqrt(i11 / det) AS v1,
+             sqrt(i22 / det) AS v2 FROM (
+        SELECT *, a00 * i00 + a01 * i01 + a02 * i02 AS det FROM (
+          SELECT *, a11 * a22 - a12 * a12 AS i00, a02 * a12 - a01 * a22 AS i01, a01 * a12 - a02 * a11 AS i02,
+                 a00 * a22 - a02 * a02 AS i11, a01 * a02 - a00 * a12 AS i12, a00 * a11 - a01 * a01 AS i22
+          FROM (
+            SELECT *, 0.01 + sum(n / s2 - {_q(_SIDES[0], _SIDES[0])} / s2 / s2) OVER () AS a00,
+                   sum(sx / s2 - {_q(_SIDES[0], _SIDES[1])} / s2 / s2) OVER () AS a01,
+                   sum(sw / s2 - {_q(_SIDES[0], _SIDES[2])} / s2 / s2) OVER () AS a02,
+                   0.01 + sum(sxx / s2 - {_q(_SIDES[1], _SIDES[1])} / s2 / s2) OVER () AS a11,
+                   sum(sxw / s2 - {_q(_SIDES[1], _SIDES[2])} / s2 / s2) OVER () AS a12,
+                   0.01 + sum(sww / s2 - {_q(_SIDES[2], _SIDES[2])} / s2 / s2) OVER () AS a22,
+                   sum(sy / s2 - {_q(_SIDES[0], _RIGHT)} / s2 / s2) OVER () AS h0,
+                   sum(sxy / s2 - {_q(_SIDES[1], _RIGHT)} / s2 / s2) OVER () AS h1,
+                   sum(swy / s2 - {_q(_SIDES[2], _RIGHT)} / s2 / s2) OVER () AS h2
+            FROM (SELECT *, {_SPREAD} FROM (
+              SELECT *, {_INVERSE_D.replace('sxx_n', 'n').replace('sxx_xx', 'sxx').replace('sxx_x', 'sx')}
+              FROM (SELECT g.*, f.step, f.d00, f.d01, f.d11, f.s2 FROM f CROSS JOIN g WHERE step < 1000)
+            ))))))))
+  GROUP BY step),
+done AS (SELECT * FROM f WHERE step = 1000)
+"""
 
 
-@CATALOG.add()
+@CATALOG.add(_TWO_TERMS_SQL + """
+SELECT '(Intercept)' AS term, round(k0, 3) AS estimate, round(e0, 3) AS std_error FROM done
+UNION ALL SELECT 'amount', round(k1, 3), round(e1, 3) FROM done
+UNION ALL SELECT 'discount', round(k2, 3), round(e2, 3) FROM done
+""")
 def lmm_fixed_effects(spark, folder):
     fit = models.lmm_fit(
-        _prices(spark, folder), "price", ["amount", "l_discount"], "l_suppkey", "amount"
+        _prices(spark, folder), "price", ["amount", "discount"], "l_partkey", "amount", tolerance=1e-7
     )
     return rounded(fit.coefficients().select("term", "estimate", "std_error"), 3)
 
 
-@CATALOG.add()
+@CATALOG.add(_TWO_TERMS_SQL + f"""
+SELECT label AS l_partkey, round((c00 * u0 + c01 * u1) / s2, 2) AS b_intercept,
+       round((c01 * u0 + c11 * u1) / s2, 2) AS b_slope
+FROM (SELECT *, {_SPREAD}, sy - n * k0 - sx * k1 - sw * k2 AS u0, sxy - sx * k0 - sxx * k1 - sxw * k2 AS u1
+      FROM (SELECT *, {_INVERSE_D.replace('sxx_n', 'n').replace('sxx_xx', 'sxx').replace('sxx_x', 'sx')}
+            FROM done CROSS JOIN g))
+""")
 def lmm_random_effects(spark, folder):
     fit = models.lmm_fit(
-        _prices(spark, folder), "price", ["amount", "l_discount"], "l_suppkey", "amount"
+        _prices(spark, folder), "price", ["amount", "discount"], "l_partkey", "amount", tolerance=1e-10
     )
-    return rounded(fit.random_effects(), 3)
+    return rounded(fit.random_effects(), 2)
+
+
+def _prices(spark, folder):
+    """Discounted prices with a level and a slope of its own per part."""
+    part = F.col("l_partkey")
+    level, slope = (part % 7) / F.lit(3.0), (part % 5) / F.lit(4.0)
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount")) / 10000
+    price = price + level + slope * F.col("l_quantity") / 10
+    return table(spark, folder, "lineitem").select(
+        "l_partkey",
+        price.alias("price"),
+        (F.col("l_quantity") / 10).alias("amount"),
+        (F.col("l_discount") * 10).alias("discount"),
+    )
+
+
+_GLMM_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT l_suppkey AS label, l_discount * 10 AS x, count(*)::DOUBLE AS n,
+         count_if(l_quantity + 3 * (l_suppkey % 7) + (l_suppkey % 5) * l_discount * 40 > 40)::DOUBLE AS h
+  FROM lineitem GROUP BY ALL),
+f AS (
+  SELECT 0 AS step, label, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS k0, 0.0::DOUBLE AS k1,
+         1.0::DOUBLE AS d00, 0.0::DOUBLE AS d01, 1.0::DOUBLE AS d11, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1
+  FROM (SELECT DISTINCT label FROM c)
+  UNION ALL
+  SELECT step + 1, label, r0, r1, k0, k1, avg(r0 * r0 + c00) OVER (), avg(r0 * r1 + c01) OVER (),
+         avg(r1 * r1 + c11) OVER (), v0, v1
+  FROM (SELECT *, c00 * u0 + c01 * u1 AS r0, c01 * u0 + c11 * u1 AS r1 FROM (
+    SELECT *, sy - n * k0 - sx * k1 AS u0, sxy - sx * k0 - sxx * k1 AS u1 FROM (
+      SELECT *, (h0 * a11 - h1 * a01) / det AS k0, (h1 * a00 - h0 * a01) / det AS k1,
+             sqrt(a11 / det) AS v0, sqrt(a00 / det) AS v1 FROM (
+        SELECT *, a00 * a11 - a01 * a01 AS det FROM (
+          SELECT * EXCLUDE (k0, k1),
+                 2 / (6.25 + k0 * k0) + sum(n - {_q(("n", "sx"), ("n", "sx"))}) OVER () AS a00,
+                 sum(sx - {_q(("n", "sx"), ("sx", "sxx"))}) OVER () AS a01,
+                 2 / (6.25 + k1 * k1) + sum(sxx - {_q(("sx", "sxx"), ("sx", "sxx"))}) OVER () AS a11,
+                 sum(sy - {_q(("n", "sx"), _RIGHT)}) OVER () AS h0,
+                 sum(sxy - {_q(("sx", "sxx"), _RIGHT)}) OVER () AS h1
+          FROM (SELECT *, {_SPREAD} FROM (
+            SELECT *, n + d11 / (d00 * d11 - d01 * d01) AS m00, sx - d01 / (d00 * d11 - d01 * d01) AS m01,
+                   sxx + d00 / (d00 * d11 - d01 * d01) AS m11
+            FROM (SELECT step, label, k0, k1, d00, d01, d11, sum(w) AS n, sum(w * x) AS sx,
+                         sum(w * x * x) AS sxx, sum(w * z) AS sy, sum(w * x * z) AS sxy
+                  FROM (SELECT *, eta + (h - n * mu) / w AS z FROM (
+                    SELECT *, n * mu * (1 - mu) AS w FROM (
+                      SELECT *, 1 / (1 + exp(-eta)) AS mu FROM (
+                        SELECT f.*, x, n, h, least(greatest(k0 + k1 * x + b0 + b1 * x, -15), 15) AS eta
+                        FROM f JOIN c USING (label) WHERE step < 200))))
+                  GROUP BY step, label, k0, k1, d00, d01, d11)))))))))
+"""
+
+
+@CATALOG.add(_GLMM_SQL + """
+SELECT '(Intercept)' AS term, round(max(k0), 3) AS estimate, round(max(e0), 3) AS std_error FROM f
+WHERE step = 200
+UNION ALL SELECT 'discount', round(max(k1), 3), round(max(e1), 3) FROM f WHERE step = 200
+""")
+def glmm_binomial(spark, folder):
+    # each supplier has a level and a slope of its own
+    supplier, discount = F.col("l_suppkey"), F.col("l_discount")
+    reached = F.col("l_quantity") + 3 * (supplier % 7) + (supplier % 5) * discount * 40
+    lines = table(spark, folder, "lineitem").select(
+        "l_suppkey", (discount * 10).alias("discount"), (reached > 40).cast("int").alias("hit")
+    )
+    fit = models.glmm_fit(lines, "hit", ["discount"], "l_suppkey", "discount", tolerance=1e-6)
+    return rounded(fit.coefficients().select("term", "estimate", "std_error"), 3)
 
 
 _LMM_SQL = """

@@ -6,6 +6,7 @@ from cohortspark.functions import response_deficit
 from cohortspark.operators import qc
 from cohortspark.operators.dedup import keep_first
 from cohortspark.operators.ordering import next_value
+from cohortspark.operators.pca import pca_input
 from cohortspark.operators.trials import (
     AMUSEMENT_FEAR,
     POSITIVE_NEGATIVE,
@@ -316,6 +317,8 @@ kept AS (SELECT t.* EXCLUDE (emo_block), n_trials_responded AS n, {_ROUND_Z},
    AND t.block = p.block
   WHERE enough_trials_seen AND enough_resps AND not_too_fast AND slider_not_lazy AND age_valid)
 SELECT * EXCLUDE (n) REPLACE (round(rt, 4) AS rt),
+       CASE emo_block WHEN '0 to +' THEN 1 WHEN '0 to -' THEN 2 WHEN '+ to -' THEN 3 END
+         AS emo_block_level,
        round(CASE WHEN emo_block = '+ to -' THEN -0.1::DOUBLE * (n - 54)
                   WHEN emo_block IS NOT NULL THEN -0.1::DOUBLE * (n - 43) END, 4)
          AS n_trials_responded FROM kept""")
@@ -330,6 +333,21 @@ def qc_roster(spark, folder):
     return rounded(qc.qc_roster(_profile(spark, folder)))
 
 
+@CATALOG.add(f"""WITH {_PROFILE_CTE},
+scores AS (SELECT subj_num, expt_type, round(avg(resp), 6) AS mean_resp,
+                  round(stddev_samp(rt), 6) AS spread_rt FROM trials GROUP BY subj_num, expt_type)
+SELECT DISTINCT subj_num, expt_type, mean_resp, spread_rt FROM scores
+WHERE mean_resp IS NOT NULL AND spread_rt IS NOT NULL AND subj_num IN (
+  SELECT subj_num FROM profile
+  WHERE enough_trials_seen AND enough_resps AND not_too_fast AND slider_not_lazy AND age_valid)""")
+def pca_input_(spark, folder):
+    scores = _trials(spark, folder).groupBy("subj_num", "expt_type").agg(
+        F.round(F.avg("resp"), 6).alias("mean_resp"), F.round(F.stddev_samp("rt"), 6).alias("spread_rt")
+    )
+    twice = scores.unionByName(scores)  # a participant may have several equal score rows
+    return pca_input(twice, _profile(spark, folder), ["mean_resp", "spread_rt"])
+
+
 @CATALOG.add(f"WITH {_TRIALS_CTE}, {_PARTS_CTE} SELECT * FROM seen")
 def complete_blocks(spark, folder):
     return qc.complete_blocks(_trials(spark, folder), ["subj_num"], "block", RULES.block_sizes)

@@ -195,8 +195,8 @@ FROM (SELECT DISTINCT n_nationkey, n_name FROM nation) n
 CROSS JOIN (SELECT DISTINCT r_name FROM region) r
 """)
 def expand_grid_(spark, folder):
-    names = table(spark, folder, "region").select(F.collect_set("r_name")).scalar()
-    return expand_grid(table(spark, folder, "nation"), ["n_nationkey", "n_name"], "r_name", names)
+    regions = table(spark, folder, "region")
+    return expand_grid(table(spark, folder, "nation"), ["n_nationkey", "n_name"], "r_name", regions)
 
 
 @CATALOG.add("""

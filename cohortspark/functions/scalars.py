@@ -39,6 +39,15 @@ def binary_answer(code: Column, reverse: Column) -> Column:
     return F.when(reverse, ~plain).when(~reverse, plain)
 
 
+def ordinal(label: Column, levels: Sequence[str]) -> Column:
+    """Place of a label in a list of levels, from 1; NULL for any other label.
+
+    Beside its label this is an ordered factor: comparisons and sorting go by the ordinal.
+    """
+    place = F.array_position(F.array(*[F.lit(level) for level in levels]), label)
+    return F.nullif(place, F.lit(0)).cast("int")
+
+
 def recode(x: Column, mapping: Mapping) -> Column:
     """Replace known values, keep the others."""
     result = x

@@ -75,7 +75,11 @@ def apply_aliases(
     return joined.withColumn(column, F.coalesce("_target", column)).drop("_alias", "_target")
 
 
-def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
-    """Stack by column name, fill absent columns with NULL, record the source in ``tag``."""
-    frames = [part.withColumn(tag, F.lit(name)) for name, part in parts.items()]
+def stack(frames: Sequence[DataFrame]) -> DataFrame:
+    """Stack by column name and fill absent columns with NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
+    """Stack by column name and record the source in ``tag``."""
+    return stack([part.withColumn(tag, F.lit(name)) for name, part in parts.items()])

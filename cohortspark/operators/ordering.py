@@ -18,30 +18,30 @@ def next_value(
 ) -> DataFrame:
     """``value`` of the following row of the same key, NULL on the last one.
 
-    ``chunk`` is a column that never decreases along the order and holds a bounded
-    number of rows (a file split, a range of ordinals). Windows run per key and
-    chunk, so a single key with a third of all rows still spreads over many tasks.
-    The first row of each chunk is copied behind the preceding chunk of its key,
-    where the window finds it, and the copies are removed afterwards.
+    ``chunk`` is a column that never decreases along the order, is never missing, and holds
+    a bounded number of rows (a file split, a range of ordinals). Windows run per key and
+    chunk, so a single key with a third of all rows still spreads over many tasks. The last
+    row of a chunk takes the first value of the key's next chunk. Rows are dealt out once:
+    the same exchange serves the windows, the first rows of the chunks and the join.
     """
-    # a plain ordinal keeps the aggregate hash-based
+    place = {}
+    for n, key in enumerate(keys):
+        # never missing, so that windows and join agree on one hash partitioning
+        place[f"_k{n}"] = F.coalesce(F.col(key).cast("string"), F.lit(""))
+        place[f"_m{n}"] = F.col(key).isNull()
+    spots = [*place, "_chunk"]
+    rows = df.withColumns({**place, "_chunk": F.col(chunk)}).repartition(*spots)
+    within = Window.partitionBy(*spots).orderBy(*order_by)
+    seen = rows.withColumn("_held", F.lead(F.struct(F.col(value).alias("v"))).over(within))
+
+    # whole rows, so that both branches read the same columns and share the exchange
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     order = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-    heads = (
-        df.groupBy(*keys, chunk)
-        .agg(F.min_by(value, order).alias("v"))
-        .withColumn("_held", F.struct("v"))
-    )
-    along = Window.partitionBy(*keys).orderBy(chunk)
-    copies = (
-        heads.withColumn("_before", F.lag(chunk).over(along))
-        .filter(F.col("_before").isNotNull())
-        .select(*keys, F.col("_before").alias(chunk), "_held", F.lit(1).alias("_copy"))
-    )
-    rows = df.withColumns({"_held": F.struct(F.col(value).alias("v")), "_copy": F.lit(0)})
-    within = Window.partitionBy(*keys, chunk).orderBy("_copy", *order_by)
-    return (
-        rows.unionByName(copies, allowMissingColumns=True)
-        .withColumn(into, F.lead("_held").over(within).getField("v"))
-        .filter("_copy = 0")
-        .drop("_held", "_copy")
+    heads = rows.groupBy(*spots).agg(F.min_by(whole, order).alias("_first"))
+    along = Window.partitionBy(*place).orderBy("_chunk")
+    following = heads.select(
+        *spots, F.lead(F.struct(F.col("_first").getField(value).alias("v"))).over(along).alias("_next")
     )
+    joined = seen.join(following, spots, "left")
+    found = F.coalesce("_held", "_next").getField("v")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], found.alias(into))

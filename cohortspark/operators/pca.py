@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import semi_keep
 from .qc import passing
@@ -37,11 +36,11 @@ def pca_input(
 class Components:
     """A fitted PCA; ``rotation`` has a column per component, largest loading positive."""
 
-    model: PipelineModel
     columns: tuple[str, ...]
+    centre: np.ndarray
+    spread: np.ndarray
     rotation: np.ndarray
     sdev: np.ndarray
-    signs: np.ndarray
 
     def loadings(self, df: DataFrame) -> DataFrame:
         """``component, variable, loading`` rows."""
@@ -64,39 +63,77 @@ class Components:
             rows, "component string, sdev double, proportion double"
         )
 
+    def scaling(self, df: DataFrame) -> DataFrame:
+        """``variable, centre, spread`` rows, which with the loadings are the whole model."""
+        rows = list(zip(self.columns, map(float, self.centre), map(float, self.spread), strict=True))
+        return df.sparkSession.createDataFrame(rows, "variable string, centre double, spread double")
+
+
+def _matrix(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
+    return pdf[list(columns)].to_numpy(dtype=np.float64)
+
 
 def fit_pca(df: DataFrame, columns: Sequence[str]) -> Components:
-    """All components of the centred, unit-variance columns."""
-    spreads = df.agg(*[F.stddev_samp(f"`{c}`").alias(c) for c in columns]).first()
-    flat = [c for c in columns if not spreads[c]]
+    """All components of the centred, unit-variance columns.
+
+    One aggregate gives means and spreads, one pass sums the products of the standardised
+    columns; tasks send a matrix of the size of the model, and the small symmetric
+    system is solved on the driver.
+    """
+    names, size = list(columns), len(columns)
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
+    moments = numbers.agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(names)],
+        *[F.stddev_samp(f"`{c}`").alias(f"s{i}") for i, c in enumerate(names)],
+    ).first()
+    flat = [c for i, c in enumerate(names) if not moments[f"s{i}"]]
     if flat:
         raise ValueError(f"columns without variation: {', '.join(flat)}")
-    stages = [
-        VectorAssembler(inputCols=list(columns), outputCol="_x"),
-        StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
-        PCA(k=len(columns), inputCol="_z", outputCol="_pc"),
-    ]
-    model = Pipeline(stages=stages).fit(df)
-    rotation = model.stages[-1].pc.toArray()
-    share = np.clip(model.stages[-1].explainedVariance.toArray(), 0, None)
+    centre = np.array([moments[f"m{i}"] for i in range(size)])
+    spread = np.array([moments[f"s{i}"] for i in range(size)])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for pdf in batches:
+            z = (_matrix(pdf, names) - centre) / spread
+            total += z.T @ z
+        yield pd.DataFrame({"pos": np.arange(size * size), "value": total.ravel()})
+
+    parts = numbers.mapInPandas(products, "pos int, value double")
+    correlation = np.zeros(size * size)
+    for row in parts.groupBy("pos").agg(F.sum("value").alias("value")).collect():
+        correlation[row["pos"]] = row["value"] / (moments["_n"] - 1)
+    values, vectors = np.linalg.eigh(correlation.reshape(size, size))
+    order = np.argsort(values)[::-1]
+    rotation = vectors[:, order]
     largest = np.abs(rotation).argmax(axis=0)
-    signs = np.where(rotation[largest, np.arange(rotation.shape[1])] < 0, -1.0, 1.0)
-    return Components(
-        model, tuple(columns), rotation * signs, np.sqrt(share * len(columns)), signs
-    )
+    signs = np.where(rotation[largest, np.arange(size)] < 0, -1.0, 1.0)
+    sdev = np.sqrt(np.clip(values[order], 0, None))
+    return Components(tuple(names), centre, spread, rotation * signs, sdev)
 
 
 def pca_scores(df: DataFrame, fit: Components, ids: Sequence[str]) -> DataFrame:
-    """Ids and unit-variance scores ``PC1..PCk``.
+    """Ids and unit-variance scores ``PC1..PCk``; a component without variance has none.
 
     Scores of centred data have mean zero and the component's SD, so dividing by
     ``sdev`` standardises them without another pass.
     """
-    scored = fit.model.transform(df).withColumn("_s", vector_to_array("_pc"))
-    return scored.select(
-        *ids,
-        *[
-            F.try_divide(F.col("_s")[k] * float(fit.signs[k]), F.lit(float(s))).alias(f"PC{k + 1}")
-            for k, s in enumerate(fit.sdev)
-        ],
-    )
+    names = [f"PC{k + 1}" for k in range(len(fit.sdev))]
+    empty = fit.sdev < 1e-7
+    weights = fit.rotation / np.where(empty, np.nan, fit.sdev)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scores = (_matrix(pdf, fit.columns) - fit.centre) / fit.spread @ weights
+            out = pd.DataFrame(scores, columns=names, index=pdf.index)
+            for n, c in reversed(list(enumerate(ids))):
+                out.insert(0, c, pdf[f"_id{n}"])
+            yield out
+
+    columns = [F.col(f"`{c}`").cast("double").alias(c) for c in fit.columns]
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_id{n}") for n, c in enumerate(ids)], *columns)
+    fields = [T.StructField(c, df.schema[c].dataType) for c in ids]
+    fields += [T.StructField(c, T.DoubleType()) for c in names]
+    scored = rows.mapInPandas(project, T.StructType(fields))
+    return scored.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names})

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions import all_or_null, recode, response_deficit
+from cohortspark.functions import all_or_null, ordinal, recode, response_deficit
 
 from .joins import left_join
 from .stats import group_quantile, zscore
@@ -225,7 +225,8 @@ def passing(profile: DataFrame, flags: Sequence[str] = FLAGS) -> DataFrame:
 
 
 def qc_keep(trials: DataFrame, profile: DataFrame) -> DataFrame:
-    """Trials of passing participants with the contrast label and response metrics.
+    """Trials of passing participants with the contrast as an ordered factor (its label and
+    ``emo_block_level``) and response metrics.
 
     ``profile`` has one passing row per participant, experiment and block.
     """
@@ -241,6 +242,7 @@ def qc_keep(trials: DataFrame, profile: DataFrame) -> DataFrame:
     kept = trials.join(renamed, same, "inner").drop(*[f"_{k}" for k in keys])
     label = recode(F.col("emo_block"), CONTRASTS)
     kept = kept.withColumn("emo_block", F.when(label.isin(*CONTRAST_LEVELS), label))
+    kept = kept.withColumn("emo_block_level", ordinal(F.col("emo_block"), CONTRAST_LEVELS))
     deficit = response_deficit(
         F.col("n_trials_responded"), F.col("emo_block"), WIDE_CONTRAST, WIDE_TRIALS, NARROW_TRIALS
     )

@@ -166,9 +166,21 @@ def split_column(df: DataFrame, column: str, into: tuple[str, str]) -> DataFrame
     )
 
 
-def expand_grid(df: DataFrame, nested: Sequence[str], factor: str, levels: Column) -> DataFrame:
+def expand_grid(
+    df: DataFrame, nested: Sequence[str], factor: str, levels: Column | DataFrame
+) -> DataFrame:
     """Observed combinations of ``nested``, each with every level of a design factor.
 
-    ``levels`` is an array column: literals, or a scalar subquery over a factor table.
+    ``levels`` is an array of literals, or a table with a column ``factor`` whose distinct
+    values count. A table is copied once per salt and joined on the salt of a combination, so
+    neither side is gathered in one place.
     """
-    return df.select(*nested).distinct().withColumn(factor, F.explode(levels))
+    observed = df.select(*nested).distinct()
+    if not isinstance(levels, DataFrame):
+        return observed.withColumn(factor, F.explode(levels))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*[col(c) for c in nested]), F.lit(salts))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    copies = levels.select(factor).distinct().withColumn("_salt", every)
+    joined = observed.withColumn("_salt", salt).join(copies, "_salt")
+    return joined.select(*[col(c) for c in nested], factor)

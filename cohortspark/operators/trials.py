@@ -154,7 +154,7 @@ def clean_trials(log: DataFrame, experiment: Experiment, stimuli: DataFrame) ->
     ).drop(*COUNTERBALANCE, *STIMULUS_LISTS)
 
     # submit rows carry the slider's timeout and leave only afterwards
-    rows = slider_timeouts(rows, ["source", "subj_num"], ["row_ord"], "split_start")
+    rows = slider_timeouts(rows, ["file_rank", "subj_num"], ["row_ord"], "split_start")
     rows = rows.withColumns(
         {
             "block": F.lower(unite(F.col("resp_type"), F.col("prompt_l"), F.col("prompt_r"))),

@@ -136,7 +136,7 @@ def components(spark: SparkSession, study: Study) -> DataFrame:
         pca_input(people, roster, study.pca_columns), study.output, "qs_goodsubs"
     )
     fit = fit_pca(table, study.pca_columns)
-    fit.model.write().overwrite().save(f"{study.output}/qs_pca_model")
+    write_stage(fit.scaling(table), study.output, "qs_pca_scaling")
     write_stage(fit.loadings(table), study.output, "qs_pca_loadings")
     write_stage(fit.variance(table), study.output, "qs_pca_variance")
     scores = pca_scores(table, fit, ["subj_num", "expt_type"])

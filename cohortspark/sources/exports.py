@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions import number_sql, to_int
+from cohortspark.operators.joins import stack
 from cohortspark.plans.scales import KeyItem, SurveyKeys
 
 
@@ -56,18 +58,30 @@ def _read_text_columns(
     return read.select(*kept, *[c.alias(n) for n, c in ordinal_columns().items()])
 
 
+def _place(path: str) -> str:
+    """Host and plain path of a file, whatever its scheme and escapes."""
+    parts = urlsplit(path)
+    return f"{parts.netloc}{unquote(parts.path)}"
+
+
 def _with_file_order(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Replace ``file_path`` by ``source`` (file stem) and ``file_rank`` (place in ``paths``)."""
+    """Replace ``file_path`` by ``source`` (file stem) and ``file_rank`` (place in ``paths``).
+
+    Files are told apart by their whole path, so equal names in several folders are fine.
+    """
     spark = rows.sparkSession
-    ranks = {_plain_stem(p): rank for rank, p in enumerate(paths)}
+    ranks = {_place(p): rank for rank, p in enumerate(paths)}
     listed = spark.read.format("binaryFile").load(list(paths)).select("_metadata.file_path")
-    places = []
-    for row in listed.collect():
-        stem = _plain_stem(unquote(row[0]))
-        places.append((row[0], stem, ranks[stem]))
-    # broadcast: the table has one row per path in the caller's list
-    table = spark.createDataFrame(places, "_path string, source string, file_rank int")
-    placed = rows.join(F.broadcast(table), F.col("file_path") == F.col("_path"), "left")
+    known = []
+    for (path,) in listed.collect():
+        place = _place(path)
+        if place not in ranks:  # listed by a relative path
+            place = next(p for p in ranks if place.endswith(f"/{p.removeprefix('./')}"))
+        known.append((path, _plain_stem(place), ranks[place]))
+    # from pandas, so that Catalyst knows its size and chooses the join by it
+    frame = pd.DataFrame(known, columns=["_path", "source", "file_rank"])
+    table = spark.createDataFrame(frame, "_path string, source string, file_rank int")
+    placed = rows.join(table, F.col("file_path") == F.col("_path"), "left")
     return placed.drop("file_path", "_path")
 
 
@@ -82,15 +96,13 @@ def read_trials(
     Files of one layout share a scan. ``integers`` lists columns whose type differs
     between files.
     """
-    sources = [_plain_stem(p) for p in paths]
-    if len(set(sources)) != len(sources):
-        raise ValueError("trial files need distinct names")
+    if len(set(paths)) != len(paths):
+        raise ValueError("a trial file is listed twice")
     parts = [
         _read_text_columns(spark, names, group, multi_line)
         for names, group in _headers(spark, paths).items()
     ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    stacked = _with_file_order(stacked, paths)
+    stacked = _with_file_order(stack(parts), paths)
     return stacked.withColumns({c: to_int(F.col(f"`{c}`")) for c in integers})
 
 

@@ -109,6 +109,22 @@ def test_next_value_on_slider_rows(frame):
     assert [r["next"] for r in out.orderBy("o").collect()] == [1, 0]
 
 
+def test_next_value_reads_its_input_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(500).selectExpr("id % 5 AS k", "id AS o", "id / 40 AS c", "id * 2 AS v").write.parquet(path)
+    out = next_value(spark.read.parquet(path).filter("v <> 8"), ["k"], ["o"], "v", "n", "c")
+    text = final_plan(out).split("== Initial Plan ==")[0]
+    assert text.count("ReusedExchange") == 1 and text.count("Scan parquet") == 1
+    assert {(r.o, r.n) for r in out.filter("k = 4").collect()} >= {(9, 28), (494, 998), (499, None)}
+
+
+def test_grid_of_a_factor_table(frame, values):
+    df = frame("b string, s int", ("x", 1), ("x", 1), ("y", None))
+    kinds = frame("kind string, other int", ("cat", 1), ("cont", 2), ("cat", 3))
+    grid = reshape.expand_grid(df, ["b", "s"], "kind", kinds)
+    assert values(grid) == [("x", 1, "cat"), ("x", 1, "cont"), ("y", None, "cat"), ("y", None, "cont")]
+
+
 @pytest.mark.parametrize("width", [1, 3, 10, 1000])
 def test_next_value_crosses_chunks(spark, width):
     rng = random.Random(width)

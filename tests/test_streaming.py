@@ -1,6 +1,8 @@
 """Row-local operators accept an unbounded frame; nothing of their own keeps state."""
 
-from cohortspark import streaming as st
+from cohortspark.functions import sentinel_null
+from cohortspark.operators.reshape import items_long_likert, score_type_long
+from cohortspark.operators.scoring import score_wide
 from cohortspark.plans import scales
 from cohortspark.plans.scales import KeyItem, SurveyKeys
 
@@ -10,9 +12,9 @@ def test_score_a_stream_of_respondents(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("a", 5.0, -99.0), ("b", 1.0, 2.0)], schema).write.parquet(source)
     keys = SurveyKeys({"tas20": [KeyItem(1, "x", True), KeyItem(2, "x", False)]})
-    stream = st.sentinel_null(spark.readStream.schema(schema).parquet(source))
-    scored = st.score_type_long(st.score_wide(stream, [scales.TAS20], keys))
-    items = st.items_long_likert(stream, ["subj_num"], "tas20")
+    stream = sentinel_null(spark.readStream.schema(schema).parquet(source))
+    scored = score_type_long(score_wide(stream, [scales.TAS20], keys))
+    items = items_long_likert(stream, ["subj_num"], "tas20")
     results = {}
     for name, frame in (("scored", scored), ("items", items)):
         query = frame.writeStream.format("memory").queryName(name).outputMode("append").start()
