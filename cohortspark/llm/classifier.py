@@ -27,7 +27,7 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 40, 256, 3e-3, 1e-4, 42
 #: Rows of one part of the context matrix on its way to the driver.
 PART = 512
 #: Tokens whose vectors are gathered at once.
-GATHER = 1 << 15
+GATHER = 1 << 13
 
 
 def index_entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +89,15 @@ class WordVectors:
         contexts = contexts / np.maximum(counts, 1)[:, None] - mean  # what all words share says nothing
         length = np.linalg.norm(contexts, axis=1, keepdims=True)
         weight = POOLING / (POOLING + counts / seen)
-        return cls((contexts / np.where(length > 0, length, 1) * weight[:, None]).astype(np.float32))
+        return cls((contexts / np.where(length > 0, length, 1) * weight[:, None]))
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
-        """Mean vector of the words of each text; zero for a text without words."""
-        total = np.zeros((len(texts), DIMENSIONS))
+        """Mean and spread of a text's word vectors, and mean size of the step between neighbours.
+
+        The steps tell repeated words from prose, which a mean cannot. All are zero for a text
+        without words.
+        """
+        sums = np.zeros((3, len(texts), DIMENSIONS))
         count = np.zeros(len(texts))
         for numbers, parts in groups(texts):
             hashes, piece = token_hashes(parts)
@@ -101,10 +105,17 @@ class WordVectors:
             owner = np.asarray(numbers)[piece]
             count += np.bincount(owner, minlength=len(texts))
             for at in range(0, len(bucket), GATHER):
-                who = owner[at : at + GATHER]
+                own = slice(at, at + GATHER)
+                who = owner[own]
                 first = np.flatnonzero(np.diff(who, prepend=-1))
-                total[who[first]] += np.add.reduceat(self.vectors[bucket[at : at + GATHER]], first, axis=0)
-        return total / np.maximum(count, 1)[:, None]
+                vectors = self.vectors[bucket[own]]
+                before = np.maximum(np.arange(at, at + len(who)) - 1, 0)
+                steps = np.abs(vectors - self.vectors[bucket[before]])
+                steps[owner[before] != who] = 0
+                for n, part in enumerate((vectors, vectors**2, steps)):
+                    sums[n][who[first]] += np.add.reduceat(part, first, axis=0)
+        mean, square, step = sums / np.maximum(count, 1)[:, None]
+        return np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), step], axis=1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,7 +185,7 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     def loss(t: float) -> float:
         return float(np.mean(np.logaddexp(0, logits / t) - labels * logits / t))
 
-    return min(np.exp(np.linspace(np.log(0.25), np.log(8), 141)), key=loss)
+    return min(np.exp(np.linspace(np.log(0.5), np.log(8), 121)), key=loss)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,7 +209,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, words: WordVectors) -> tup
             pooled = words.pool(piece.column("text").to_pylist())
             return record_batch({
                 "doc_id": piece.column("doc_id"), "quality": piece.column("quality"),
-                "vector": pa.array([v.tobytes() for v in pooled], pa.binary()),
+                "vector": pa.array([v.astype("<f4").tobytes() for v in pooled], pa.binary()),
             })
 
         return work
@@ -208,8 +219,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, words: WordVectors) -> tup
     vectors = map_slices(labelled, setup, "doc_id long, quality int, vector binary")
     ranked = vectors.orderBy(F.xxhash64("doc_id", "vector"), "doc_id", "vector").limit(MAX_TRAIN_ROWS).collect()
     if not ranked:
-        return np.zeros((0, DIMENSIONS)), np.zeros(0)
-    return np.array([np.frombuffer(r.vector) for r in ranked]), np.array([float(r.quality) for r in ranked])
+        return np.zeros((0, 3 * DIMENSIONS)), np.zeros(0)
+    return np.array([np.frombuffer(r.vector, "<f4") for r in ranked], np.float64), np.array([float(r.quality) for r in ranked])
 
 
 def score_quality(

@@ -37,7 +37,10 @@ def test_contexts_and_pooling_as_plain_loops(spark):
     pooled = words.pool(texts)
     for text, vector in zip(texts, pooled, strict=True):
         bucket = (token_hashes([text])[0] >> np.uint64(64 - cl.BUCKET_BITS)).astype(int)
-        plain = words.vectors[bucket].mean(axis=0) if len(bucket) else np.zeros(cl.DIMENSIONS)
+        own = words.vectors[bucket]
+        steps = np.abs(own[1:] - own[:-1]).sum(axis=0) / max(1, len(own))
+        none = np.zeros(3 * cl.DIMENSIONS)
+        plain = np.concatenate([own.mean(axis=0), own.std(axis=0), steps]) if len(bucket) else none
         assert np.allclose(vector, plain, atol=1e-6)
 
 
@@ -69,7 +72,7 @@ def test_held_out_rows_are_judged_well_and_never_learnt(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
     apart = [r for r in out if r.held_out and r.doc_id in labels]
-    assert np.mean([r.predicted == labels[r.doc_id] for r in apart]) > 0.93
+    assert np.mean([r.predicted == labels[r.doc_id] for r in apart]) > 0.95
     good = [r.score for r in apart if labels[r.doc_id] == 1]
     bad = [r.score for r in apart if labels[r.doc_id] == 0]
     assert np.mean(np.array(good)[:, None] > np.array(bad)[None, :]) > 0.95
