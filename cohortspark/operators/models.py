@@ -40,14 +40,15 @@ INTERCEPT = "(Intercept)"
 def model_frame(
     trials: DataFrame,
     scores: DataFrame,
-    emo_block: str,
+    emo_block: str | Sequence[str],
     resp_type: str,
     on: Sequence[str] = ("subj_num",),
     components: Sequence[str] = ("PC1", "PC2"),
 ) -> DataFrame:
-    """Answered trials of one contrast and response type with component scores."""
+    """Answered trials of one contrast, or of several, and a response type with component scores."""
+    blocks = (emo_block,) if isinstance(emo_block, str) else tuple(emo_block)
     wanted = trials.filter(
-        (F.col("emo_block") == emo_block)
+        F.col("emo_block").isin(*blocks)
         & (F.col("resp_type") == resp_type)
         & F.col("resp").isNotNull()
     )
@@ -230,14 +231,14 @@ def _upper(p: int) -> list[tuple[int, int]]:
 
 
 def _cross_products(
-    rows: DataFrame, subject: str, x: Sequence[Column], y: Column, weight: Column, n: Column
+    rows: DataFrame, by: Sequence[str], x: Sequence[Column], y: Column, weight: Column, n: Column
 ) -> DataFrame:
     """Weighted cross products per participant, one flat row each."""
     p = len(x)
     sums = {f"xx{i}_{j}": F.sum(weight * x[i] * x[j]) for i, j in _upper(p)}
     sums |= {f"xy{i}": F.sum(weight * c * y) for i, c in enumerate(x)}
     sums |= {"yy": F.sum(weight * y * y), "n": F.sum(n)}
-    return rows.groupBy(subject).agg(*[s.alias(name) for name, s in sums.items()])
+    return rows.groupBy(*by).agg(*[s.alias(name) for name, s in sums.items()])
 
 
 def _unpacker(p: int, slope: int):
@@ -392,11 +393,28 @@ def lmm_fit(
     Normal priors of SD ``prior_sd`` on the fixed effects; point estimates by ECME on
     participant cross products. ``slope`` must be one of ``terms``.
     """
+    stats = cut_lineage(lmm_stats(df, y, terms, [subject]))
+    return lmm_solve(stats, terms, subject, slope, prior_sd, tolerance, max_iterations)
+
+
+def lmm_stats(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Cross products of the design and the outcome, one row per combination of ``by``."""
     rows = _complete(design(df, terms), [y, *terms])
     x = [F.lit(1.0), *[col(t).cast("double") for t in terms]]
-    one = F.lit(1.0)
-    stats = cut_lineage(_cross_products(rows, subject, x, col(y).cast("double"), one, one))
-    p, at = len(x), 1 + list(terms).index(slope)
+    return _cross_products(rows, by, x, col(y).cast("double"), F.lit(1.0), F.lit(1.0))
+
+
+def lmm_solve(
+    stats: DataFrame,
+    terms: Sequence[str],
+    subject: str,
+    slope: str,
+    prior_sd: float = NORMAL_SD,
+    tolerance: float = 1e-5,
+    max_iterations: int = 200,
+) -> MixedFit:
+    """The fit of :func:`lmm_fit` from stored :func:`lmm_stats`, one row per participant."""
+    p, at = 1 + len(terms), 1 + list(terms).index(slope)
     held = stats.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
     totals = _totals(held, p)
     precision = np.full(p, 1.0 / prior_sd**2)
@@ -436,12 +454,30 @@ def glmm_fit(
     and the weighted linear mixed model is updated. Equal design rows of a participant
     are counted first. Cauchy priors enter as coefficient weights.
     """
+    cells = cut_lineage(glmm_cells(df, y, terms, [subject]))
+    return glmm_solve(cells, terms, subject, slope, prior_scale, tolerance, max_iterations, inner)
+
+
+def glmm_cells(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Trials and hits of every design row (``t0, t1, ...``) per combination of ``by``."""
     rows = _complete(design(df, terms), [y, *terms])
-    names = [f"t{i}" for i in range(len(terms))]
-    cells = rows.groupBy(
-        subject, *[col(t).cast("double").alias(a) for a, t in zip(names, terms)]
+    return rows.groupBy(
+        *by, *[col(t).cast("double").alias(f"t{i}") for i, t in enumerate(terms)]
     ).agg(F.count("*").cast("double").alias("trials"), F.sum(col(y).cast("double")).alias("hits"))
-    cells = cut_lineage(cells)
+
+
+def glmm_solve(
+    cells: DataFrame,
+    terms: Sequence[str],
+    subject: str,
+    slope: str,
+    prior_scale: float = CAUCHY_SCALE,
+    tolerance: float = 1e-3,
+    max_iterations: int = 50,
+    inner: int = 3,
+) -> MixedFit:
+    """The fit of :func:`glmm_fit` from stored :func:`glmm_cells`."""
+    names = [f"t{i}" for i in range(len(terms))]
     x = [F.lit(1.0), *[F.col(a) for a in names]]
     p, at = len(x), 1 + list(terms).index(slope)
     beta, covariance = np.zeros(p), np.eye(2)
@@ -462,7 +498,7 @@ def glmm_fit(
             "z", F.col("eta") + (F.col("hits") - F.col("trials") * F.col("mu")) / F.col("w")
         )
         stats = cut_lineage(
-            _cross_products(current, subject, x, F.col("z"), F.col("w"), F.col("trials"))
+            _cross_products(current, [subject], x, F.col("z"), F.col("w"), F.col("trials"))
         )
         held = stats.persist(StorageLevel.MEMORY_AND_DISK)
         totals = _totals(held, p)
@@ -488,11 +524,27 @@ def fit_cell(
     on: Sequence[str] = ("subj_num",),
 ) -> MixedFit:
     """The model of one contrast and response type."""
-    frame = model_frame(trials, scores, emo_block, resp_type, on)
+    return _fit_blocks(trials, scores, (emo_block,), resp_type, on)[emo_block]
+
+
+def _fit_blocks(
+    trials: DataFrame, scores: DataFrame, blocks: Sequence[str], resp_type: str, on: Sequence[str]
+) -> dict[str, MixedFit]:
+    """Models of several contrasts from one pass over the trials of a response type."""
+    frame = model_frame(trials, scores, tuple(blocks), resp_type, on)
+    by = ["emo_block", "subj_num"]
     if resp_type == "cat":
-        return glmm_fit(frame, "resp", CAT_TERMS, "subj_num", "stim_level")
-    frame = frame.withColumn("resp_qlogis", bounded_logit(F.col("resp")))
-    return lmm_fit(frame, "resp_qlogis", CONT_TERMS, "subj_num", "stim_level")
+        stored, solve, terms = glmm_cells(frame, "resp", CAT_TERMS, by), glmm_solve, CAT_TERMS
+    else:
+        logit = frame.withColumn("resp_qlogis", bounded_logit(F.col("resp")))
+        stored, solve, terms = lmm_stats(logit, "resp_qlogis", CONT_TERMS, by), lmm_solve, CONT_TERMS
+    stored = cut_lineage(stored)
+    return {
+        block: solve(
+            stored.filter(F.col("emo_block") == block).drop("emo_block"), terms, "subj_num", "stim_level"
+        )
+        for block in blocks
+    }
 
 
 def fit_grid(
@@ -502,11 +554,13 @@ def fit_grid(
     types: Sequence[str] = ("cat", "cont"),
     on: Sequence[str] = ("subj_num",),
 ) -> DataFrame:
-    """All models of the grid: ``emo_block, resp_type, term, estimate, std_error``."""
+    """All models of the grid: ``emo_block, resp_type`` and their coefficients.
+
+    The trials of a response type are reduced once for all contrasts.
+    """
     tables = []
-    for block in blocks:
-        for kind in types:
-            fit = fit_cell(trials, scores, block, kind, on)
+    for kind in types:
+        for block, fit in _fit_blocks(trials, scores, blocks, kind, on).items():
             tables.append(
                 fit.coefficients().select(
                     F.lit(block).alias("emo_block"), F.lit(kind).alias("resp_type"), "*"

@@ -52,6 +52,8 @@ class Study:
     experiments: Sequence[Experiment] = (AMUSEMENT_FEAR, POSITIVE_NEGATIVE)
     aliases: str | None = None
     extra_header_rows: int = 2
+    # off: survey answers hold no line breaks, and exports may be split
+    multi_line: bool = True
     totals_exclude: str | None = None
     followup_match: str = "prefix"
     rules: Rules = field(default_factory=Rules)
@@ -80,20 +82,23 @@ def inputs_changed(spark: SparkSession, study: Study) -> DataFrame:
 def questionnaires(spark: SparkSession, study: Study) -> DataFrame:
     """Scores of all participants; stage ``qs_allsubs``."""
     keys = survey_keys(spark, study.keys)
-    position = [F.col("row_ord")]
+    position = [F.col("split_start"), F.col("row_ord")]
     aliases = spark.read.csv(study.aliases, header=True) if study.aliases else None
     in_round = [s.name for s in ROUND_SCALES]
     in_followup = [s.name for s in FOLLOWUP_SCALES]
     rounds = {}
     for name, (numeric, labels) in study.rounds.items():
-        codes = read_survey(spark, numeric, study.extra_header_rows, in_round)
-        texts = read_survey(spark, labels, study.extra_header_rows)
+        rows = study.extra_header_rows
+        codes = read_survey(spark, numeric, rows, in_round, study.multi_line)
+        texts = read_survey(spark, labels, rows, multi_line=study.multi_line)
         # an export lists the newest response first
         table = survey_round(
             codes, texts, keys, position, aliases=aliases, exclude=study.totals_exclude
         ).withColumn("age", F.col("age").try_cast("double"))
         rounds[name] = write_stage(table, study.output, f"qs_{name}")
-    later = read_survey(spark, study.followup, study.extra_header_rows, in_followup)
+    later = read_survey(
+        spark, study.followup, study.extra_header_rows, in_followup, study.multi_line
+    )
     started = F.coalesce(
         F.col("StartDate").try_cast("timestamp"), F.to_timestamp(F.lit("9999-12-31"))
     )

@@ -8,6 +8,7 @@ text and are parsed where they are used.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote, urlsplit
 
@@ -41,10 +42,11 @@ def ordinal_columns() -> dict[str, Column]:
 
 
 def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line; only first lines are read."""
+    """Files grouped by their header line; only first lines are read, several files at a time."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        names = spark.read.csv(path, **CSV).columns
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        headers = list(pool.map(lambda path: spark.read.csv(path, **CSV).columns, paths))
+    for path, names in zip(paths, headers, strict=True):
         groups.setdefault(tuple(names), []).append(path)
     return groups
 
@@ -119,18 +121,24 @@ def discover(spark: SparkSession, folder: str, suffix: str = "first") -> DataFra
 
 
 def read_survey(
-    spark: SparkSession, path: str, extra_header_rows: int = 2, numbers: Sequence[str] = ()
+    spark: SparkSession,
+    path: str,
+    extra_header_rows: int = 2,
+    numbers: Sequence[str] = (),
+    multi_line: bool = True,
 ) -> DataFrame:
     """Survey export as text columns plus ordinal columns.
 
-    Answers may contain line breaks, so a file is one task; exports are one file per
-    survey. ``extra_header_rows`` descriptive rows follow the header. Columns whose
-    name contains one of ``numbers`` are parsed as doubles.
+    ``extra_header_rows`` descriptive rows follow the header. Columns whose name contains
+    one of ``numbers`` are parsed as doubles. Answers may contain line breaks, so a file is
+    one task unless ``multi_line`` is off, which lets Spark split a file without such breaks.
     """
-    names = spark.read.csv(path, multiLine=True, **CSV).columns
-    body = _read_text_columns(spark, names, [path], multi_line=True).drop("file_path")
-    # a single unsplit file is one partition, so its row ids start at zero
-    body = body.filter(F.col("row_ord") >= extra_header_rows)
+    names = spark.read.csv(path, multiLine=multi_line, **CSV).columns
+    body = _read_text_columns(spark, names, [path], multi_line).drop("file_path")
+    # row ids are consecutive inside the first split, wherever they start
+    head = F.col("split_start") == 0
+    first = body.filter(head).agg(F.min("row_ord")).scalar()
+    body = body.filter(~head | (F.col("row_ord") >= first + extra_header_rows))
     parsed = [n for n in names if any(part in n for part in numbers)]
     return body.withColumns({n: F.expr(number_sql(n)) for n in parsed}) if parsed else body
 

@@ -172,3 +172,25 @@ def test_pca_input(frame, values):
     flags = "enough_trials_seen boolean, enough_resps boolean, not_too_fast boolean, slider_not_lazy boolean, age_valid boolean"
     profile = frame(f"subj_num string, {flags}", *[(s, True, True, True, True, s != "c") for s in "abcd"])
     assert values(pca.pca_input(scores, profile, ["x", "y"])) == [("a", "e", 1.0, 2.0)]
+
+
+def test_a_fit_at_its_limit_says_so(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, float(x), float(s % 4 + x * (1 + s % 3) + rng.normal())) for s in range(20) for x in range(6)]
+    df = spark.createDataFrame(rows, "s int, x double, y double")
+    cut = models.lmm_fit(df, "y", ["x"], "s", "x", max_iterations=2)
+    assert not cut.converged
+    assert {(r.converged, r.iterations) for r in cut.coefficients().collect()} == {(False, 2)}
+    assert models.lmm_fit(df, "y", ["x"], "s", "x").coefficients().first().converged
+
+
+def test_aliased_terms_have_no_estimate(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=40)
+    pdf = pd.DataFrame({"g": 1, "x": x, "z": 2 * x, "y": x + rng.normal(size=40)})
+    full = {r.term: r for r in models.ols_by_group(spark.createDataFrame(pdf), ["g"], "y", ["x", "z"]).collect()}
+    alone = {r.term: r for r in models.ols_by_group(spark.createDataFrame(pdf), ["g"], "y", ["x"]).collect()}
+    assert full["z"].estimate is None and full["z"].std_error is None
+    for term in ("(Intercept)", "x"):
+        assert full[term].estimate == pytest.approx(alone[term].estimate)
+        assert full[term].std_error == pytest.approx(alone[term].std_error)

@@ -177,3 +177,18 @@ def test_manifest_does_not_depend_on_splits(spark, tmp_path):
 def test_csv_sink(spark, tmp_path):
     sources.write_csv(spark.range(3), str(tmp_path), "ids")
     assert spark.read.csv(str(tmp_path / "ids"), header=True).count() == 3
+
+
+def test_split_survey_export_reads_as_a_whole_one(spark, tmp_path):
+    path = tmp_path / "survey.csv"
+    rows = [f"s{n},{n % 5}" for n in range(400)]
+    path.write_text("\n".join(["id,q_1", "what,ever", "more,words", *rows]) + "\n")
+    whole = sources.read_survey(spark, str(path), 2, ["q_"]).select("id", "q_1").collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        split = sources.read_survey(spark, str(path), 2, ["q_"], multi_line=False)
+        assert split.rdd.getNumPartitions() > 2
+        found = split.orderBy("split_start", "row_ord").select("id", "q_1").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == whole and len(found) == 400
