@@ -43,7 +43,7 @@ def split_words(text: str) -> list[str]:
 
 
 #: Distinct words, and arcs, that a task remembers. Results do not depend on it.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -10,7 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, map_slices, record_batch, slices, tree_merge
+from .common import (
+    id_and_bytes,
+    map_slices,
+    pack_array,
+    record_batch,
+    slices,
+    tree_merge,
+    unpack_array,
+)
 from .tokens import groups, mix, token_hashes
 
 #: Words share vectors by hash bucket, so the model has a fixed size.
@@ -63,7 +71,7 @@ def context_matrix(docs: DataFrame) -> np.ndarray:
             for _, parts in groups(piece.column("text").to_pylist()):
                 add_contexts(total, parts)
         if total.any():
-            rows = [total[n : n + PART].tobytes() for n in range(0, shape[0], PART)]
+            rows = [pack_array(total[n : n + PART]) for n in range(0, shape[0], PART)]
             yield record_batch({
                 "key": pa.array(range(len(rows)), pa.int32()), "payload": pa.array(rows, pa.binary())
             })
@@ -71,7 +79,9 @@ def context_matrix(docs: DataFrame) -> np.ndarray:
     parts = docs.select("text").mapInArrow(run, "key int, payload binary")
     total = np.zeros(shape, np.int64)
     for row in tree_merge(parts, np.add, "int64").collect():
-        total[row.key * PART : (row.key + 1) * PART] = np.frombuffer(row.payload, np.int64).reshape(-1, shape[1])
+        total[row.key * PART : (row.key + 1) * PART] = unpack_array(row.payload, "int64").reshape(
+            -1, shape[1]
+        )
     return total
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -94,26 +95,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pack_array(values: np.ndarray) -> bytes:
+    """Bytes of an array; counts and filters are mostly small numbers, which pack well."""
+    return zlib.compress(values.tobytes(), 1)
+
+
+def unpack_array(payload: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(payload), dtype=dtype)
+
+
 def tree_merge(
     df: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str
 ) -> DataFrame:
     """Merge arrays of one key over all tasks: ``key int, payload binary`` -> one row a key.
 
-    Two levels, each streaming through its arrays with one accumulator, so that memory is
-    the size of one array at any number of tasks.
+    Payloads are packed by ``pack_array``. Two levels, each streaming through its arrays with
+    one accumulator, so that memory is the size of one array at any number of tasks.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, key = None, None
         for batch in batches:
-            for key, payload in zip(
-                batch.column("key").to_pylist(), batch.column("payload").to_pylist(), strict=True
-            ):
-                part = np.frombuffer(payload, dtype=dtype)
-                total = part.copy() if total is None else merge(total, part)
+            for key, payload in zip(batch.column("key"), batch.column("payload"), strict=True):
+                part = unpack_array(payload.as_py(), dtype)
+                total = part if total is None else merge(total, part)
         if total is not None:
             yield record_batch(
-                {"key": pa.array([key], pa.int32()), "payload": pa.array([total.tobytes()], pa.binary())}
+                {"key": pa.array([key.as_py()], pa.int32()), "payload": pa.array([pack_array(total)], pa.binary())}
             )
 
     fold.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, id_and_bytes, record_batch, slices, tree_merge
+from .common import column, id_and_bytes, pack_array, record_batch, slices, tree_merge, unpack_array
 from .substrings import window_hashes
 from .tokens import mix
 
@@ -20,9 +20,9 @@ from .tokens import mix
 WINDOW = 8
 #: Items of fewer words are too short to be told from ordinary text.
 SHORTEST = 5
-#: Bits of the fixed-size filter of benchmark windows: 4 MB at any size of the benchmark.
-FILTER_BITS = 25
-MEMO = 500_000
+#: Bits of the fixed-size filter of benchmark windows: 2 MB at any size of the benchmark.
+FILTER_BITS = 24
+MEMO = 200_000
 
 PUNCTUATION = b".,;:!?\"'()[]{}<>"
 SENTENCE_END = (b".", b"!", b"?", b":")
@@ -153,13 +153,18 @@ def window_filter(windows: DataFrame) -> np.ndarray:
         for batch in batches:
             bits[filter_place(batch.column("hash").to_numpy(zero_copy_only=False))] = True
         if bits.any():
-            packed = np.packbits(bits).tobytes()
+            packed = pack_array(np.packbits(bits))
             yield record_batch({"key": pa.array([0], pa.int32()), "payload": pa.array([packed], pa.binary())})
 
     parts = windows.select("hash").mapInArrow(run, "key int, payload binary")
     rows = tree_merge(parts, np.bitwise_or, "uint8").collect()
-    packed = np.frombuffer(rows[0].payload, np.uint8) if rows else np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    return packed
+    return unpack_array(rows[0].payload, "uint8") if rows else np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+
+
+def in_filter(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold."""
+    place = filter_place(hashes)
+    return (packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def filter_place(hashes: np.ndarray) -> np.ndarray:
@@ -170,13 +175,12 @@ def document_windows(docs: DataFrame, packed: np.ndarray, lengths: list[int]) ->
     """``doc_id, row_key, hash, doc_at, doc_slots`` of windows that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed).view(bool)
         for piece in slices(batches):
             texts = Templates(piece.column("text").to_pylist())
             rows, owners = [], []
             for length in lengths:
                 at, hashes = texts.windows(length)
-                hit = known[filter_place(hashes)]
+                hit = in_filter(packed, hashes)
                 at, hashes = at[hit], hashes[hit].astype(np.int64)
                 owner = texts.owner(at)
                 owners += owner.tolist()
@@ -194,6 +198,7 @@ def document_windows(docs: DataFrame, packed: np.ndarray, lengths: list[int]) ->
                     "doc_at": pa.array([r[1] for r in rows], pa.int32()),
                     "doc_slots": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                 })
+        SHAPES.clear()  # the worker process lives on
 
     schema = "doc_id long, row_key long, hash long, doc_at int, doc_slots array<long>"
     return docs.mapInArrow(run, schema)

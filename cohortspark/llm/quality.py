@@ -7,7 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, map_rows, map_slices, record_batch, slices, tree_merge
+from .common import (
+    id_and_bytes,
+    map_rows,
+    map_slices,
+    pack_array,
+    record_batch,
+    slices,
+    tree_merge,
+    unpack_array,
+)
 from .tokens import groups, mix, token_hashes
 
 #: Buckets of one n-gram order; the model is one row of counts per corpus.
@@ -41,12 +50,12 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(ngram_buckets(parts)[0], minlength=BUCKETS)
         if total.any():
             yield record_batch(
-                {"key": pa.array([0], pa.int32()), "payload": pa.array([total.tobytes()], pa.binary())}
+                {"key": pa.array([0], pa.int32()), "payload": pa.array([pack_array(total)], pa.binary())}
             )
 
     parts = docs.select("text").mapInArrow(run, "key int, payload binary")
     rows = tree_merge(parts, np.add, "int64").collect()
-    return np.frombuffer(rows[0].payload, np.int64) if rows else np.zeros(BUCKETS, np.int64)
+    return unpack_array(rows[0].payload, "int64") if rows else np.zeros(BUCKETS, np.int64)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

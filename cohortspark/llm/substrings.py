@@ -20,7 +20,7 @@ WINDOW = 20
 START = 10
 #: Share of wrong candidates that short keys may let through below the last level: 2 ** -6.
 SPARE_BITS = 6
-MEMO = 500_000
+MEMO = 300_000
 _CHAINS = (
     (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)),
     (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)),
@@ -265,6 +265,7 @@ def dedup_substrings(
                 "n_words": pa.array(np.diff(block.starts)),
                 "n_removed": pa.array([int(p.sum()) for p in parts], pa.int64()),
             })
+        WORDS.clear()  # the worker process lives on
 
     schema = "doc_id long, text string, n_words long, n_removed long"
     return known.select("payload", "answers").mapInArrow(run, schema)
