@@ -119,7 +119,11 @@ def item_length(words: int, window: int) -> int:
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """``hash, length, item, item_at, item_slots``: one item, the least, for each window."""
+    """``hash, length, item, item_at, item_slots`` of all windows of all items.
+
+    A window without placeholders needs no other window to be judged, so the least item
+    stands for it. Items of one text count once, as the least of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -128,7 +132,7 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
             for item, text in zip(ids, piece.column("text").to_pylist(), strict=True):
                 one = Templates([text])
                 length = item_length(len(one.hash), window)
-                if length and item is not None:
+                if length:
                     at, hashes = one.windows(length)
                     rows += [
                         (h, length, item, a, one.slots(a, length))
@@ -140,9 +144,12 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
                 n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)
             })
 
-    every = items.mapInArrow(run, "hash long, length int, item long, item_at int, item_slots array<long>")
+    distinct = items.filter("doc_id is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    every = distinct.mapInArrow(run, "hash long, length int, item long, item_at int, item_slots array<long>")
+    slotted = F.size("item_slots") > 0
     least = F.min(F.struct("item", "item_at", "length", "item_slots")).alias("least")
-    return every.groupBy("hash").agg(least).select("hash", "least.*")
+    keys = [F.when(slotted, F.col(n)).alias(f"own_{n}") for n in ("item", "item_at")]
+    return every.groupBy("hash", *keys).agg(least).select("hash", "least.*")
 
 
 def window_filter(windows: DataFrame) -> np.ndarray:
@@ -216,7 +223,8 @@ def contaminated(
 
     Windows that meet form alignments of a document and an item. An alignment counts if
     its placeholders are consistent: each value of the item stands for one value of the
-    document throughout.
+    document throughout. A window without placeholders counts by itself. Each window of a
+    document names the least item of those whose alignments count.
     """
     items = id_and_bytes(benchmark, item_col, item_text_col)
     asked = benchmark_windows(items, window)
@@ -225,18 +233,24 @@ def contaminated(
     texts = id_and_bytes(docs, id_col, text_col).withColumn("row_key", F.xxhash64(F.col("text").cast("string")))
     met = document_windows(texts, window_filter(asked), lengths).join(asked, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("doc_slots").alias("doc"))
-    aligned = met.withColumn("shift", F.col("doc_at") - F.col("item_at")).withColumn("pairs", pairs)
+    aligned = (
+        met.withColumn("shift", F.col("doc_at") - F.col("item_at"))
+        .withColumn("plain", F.size("item_slots") == 0)
+        .withColumn("pairs", pairs)
+    )
     # one window per position of an item on an alignment, so the lists are bounded by the item
     checked = (
-        aligned.groupBy("doc_id", "row_key", "item", "shift")
+        aligned.groupBy("doc_id", "row_key", "item", "shift", "plain")
         .agg(
-            F.count_distinct("doc_at").alias("n_windows"),
+            F.collect_set(F.struct("doc_at", "length")).alias("windows"),
             F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
         )
         .filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
     )
-    return checked.groupBy("doc_id", "row_key").agg(
-        F.sum("n_windows").alias("n_windows"), F.sort_array(F.collect_set("item")).alias("items")
+    held = checked.select("doc_id", "row_key", "item", F.explode("windows").alias("window"))
+    named = held.groupBy("doc_id", "row_key", "window").agg(F.min("item").alias("item"))
+    return named.groupBy("doc_id", "row_key").agg(
+        F.count("*").alias("n_windows"), F.sort_array(F.collect_set("item")).alias("items")
     )
 
 
@@ -248,8 +262,8 @@ def find_leaks(
 
     Template windows of the benchmark are hash-joined with those of the documents; a filter of
     fixed size keeps other windows from travelling. Items of fewer than ``SHORTEST`` words
-    or without an id are not looked for; windows that several items share count for
-    the least of them. A null text counts as empty and is clean; a null id stays null;
+    or without an id are not looked for. Every item that has a window is tested; a window
+    that several items pass counts for the least of them. A null text counts as empty and is clean; a null id stays null;
     repeated rows get the same verdict; other columns are not read; an empty table on
     either side gives no leaks. A template matches by 64 hash bits.
     """

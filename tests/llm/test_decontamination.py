@@ -68,3 +68,14 @@ def test_whole_table_against_plain_search(spark):
     result = LLM.queries["op6_decontamination"](spark, FOLDER).collect()
     assert len(result) == len(texts) and want
     assert {r.doc_id for r in result if r.contaminated} == want
+
+
+def test_every_item_of_a_window_is_tested(docs, items):
+    first = "a shop sold 5 pens and then sold 5 books to them"
+    second = "a shop sold 3 pens and then sold 9 books to them"
+    twice = "they gave 4 red pens to us all and they gave 4 red pens to us all but 6 more"
+    rows = [(1, "once " + second + " ok"), (2, first), (3, second.replace("3", "8")), (4, first.replace("5 books", "6 books"))]
+    out = flags(de.find_leaks(docs(*rows), items((1, first), (2, second), (3, second))))
+    assert out == [(1, True, [2]), (2, True, [1]), (3, True, [2]), (4, True, [2])]
+    out = flags(de.find_leaks(docs((1, twice[len("they gave 4 red pens to us all and ") :])), items((1, twice))))
+    assert out == [(1, True, [1])]
