@@ -25,7 +25,8 @@ FILTER_BITS = 24
 MEMO = 200_000
 
 PUNCTUATION = b".,;:!?\"'()[]{}<>"
-SENTENCE_END = (b".", b"!", b"?", b":")
+# an end mark and the quotes and brackets that close after it
+SENTENCE_END = re.compile(rb"[.!?:](?:[\"')\]}>]|\xe2\x80[\x99\x9d]|\xc2\xbb)*$")
 NUMBER = re.compile(rb"[+-]?(?:[$]|\xe2\x82\xac|\xc2\xa3)?[0-9][0-9.,:/]*%?")
 NAME = re.compile(rb"(?:[A-Z]|\xc3[\x80-\x9e])(?:[a-z'-]|[\x80-\xff])+")
 # Number words and units that a template replaces.
@@ -41,8 +42,11 @@ UNITS = frozenset(
     b"month months year years dollar dollars cent cents euro euros percent mph degrees".split()
 )
 LITERAL, IS_NUMBER, IS_UNIT, IS_NAME = range(4)
+#: Forms of a window by its first word: as it is, as a name, as a name that opens a sentence.
+AS_IS, AS_NAME, AS_OPENING_NAME = range(3)
 # Hashes that stand for the placeholders of the three types.
 _SLOT = mix(np.array([1, 2, 3], np.uint64))
+_AFTER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordShapes(dict):
@@ -57,7 +61,7 @@ class WordShapes(dict):
             kind = IS_UNIT
         else:
             kind = IS_NAME if NAME.fullmatch(bare) else LITERAL
-        shape = xxhash.xxh3_64_intdigest(low or word) & ~7 | kind | 4 * word.endswith(SENTENCE_END)
+        shape = xxhash.xxh3_64_intdigest(low or word) & ~7 | kind | 4 * bool(SENTENCE_END.search(word))
         if len(self) >= MEMO:
             self.clear()
         self[word] = shape
@@ -72,7 +76,8 @@ class Templates:
     """Canonical words of some texts, one after the other.
 
     Numbers, units and names become typed placeholders. A capitalised word is a name unless
-    it starts the text or a sentence.
+    it starts the text or a sentence. What precedes a window differs between an item and its
+    copy, so a window whose first word may be a name has two forms, with and without one.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -85,7 +90,9 @@ class Templates:
         opens = np.zeros(total + 1, bool)
         opens[self.starts] = True
         opens[1:] |= (shape & np.uint64(4)) > 0
-        kind[(kind == IS_NAME) & opens[:-1]] = LITERAL
+        self.named = kind == IS_NAME
+        self.opening = self.named & opens[:-1]
+        kind[self.opening] = LITERAL
         self.kind = kind
         self.value = shape >> np.uint64(3)
         hashes = mix(self.value)
@@ -95,19 +102,31 @@ class Templates:
         self.left = np.repeat(self.starts[1:], sizes) - np.arange(total)
         self.literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of windows inside one text that are mostly literal words."""
-        if len(self.hash) < length:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        hashes = mix(window_hashes(self.hash, length, 0) + np.uint64(length))
-        literal = self.literals[length:] - self.literals[:-length]
-        at = np.flatnonzero((self.left[: len(hashes)] >= length) & (2 * literal >= length))
-        return at, hashes[at]
-
-    def slots(self, at: int, length: int) -> list[int]:
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, hashes and forms of windows inside one text that are mostly literal words."""
+        count = max(0, len(self.hash) - length + 1)
+        at = np.flatnonzero(self.left[:count] >= length)
+        after = window_hashes(self.hash, length - 1, 0)[at + 1] if length > 1 else np.zeros(len(at), np.uint64)
+        literal = self.literals[at + length] - self.literals[at + 1]
+        named = self.named[at]
+        as_is = np.where(named, mix(self.value[at]), self.hash[at])
+        found = []
+        for form, first, plain in (
+            (AS_IS, as_is, named | (self.kind[at] == LITERAL)),
+            (AS_NAME, np.full(len(at), _SLOT[IS_NAME - 1]), np.zeros(len(at), bool)),
+        ):
+            hashes = mix(mix(first) + after * _AFTER + np.uint64(length))
+            use = (2 * (literal + plain) >= length) & (named | (form == AS_IS))
+            forms = form + ((form == AS_NAME) & self.opening[at[use]])
+            found.append((at[use], hashes[use], forms))
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+    def slots(self, at: int, length: int, form: int) -> list[int]:
         """Values of the placeholders of a window, in order."""
         part = slice(at, at + length)
-        return self.value[part][self.kind[part] != LITERAL].astype(np.int64).tolist()
+        chosen = self.kind[part] != LITERAL
+        chosen[0] = form != AS_IS or (chosen[0] and not self.named[at])
+        return self.value[part][chosen].astype(np.int64).tolist()
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
@@ -119,7 +138,7 @@ def item_length(words: int, window: int) -> int:
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """``hash, length, item, item_at, item_slots`` of all windows of all items.
+    """``hash, length, item, item_at, item_form, item_slots`` of all windows of all items.
 
     A window without placeholders needs no other window to be judged, so the least item
     stands for it. Items of one text count once, as the least of them.
@@ -133,21 +152,22 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
                 one = Templates([text])
                 length = item_length(len(one.hash), window)
                 if length:
-                    at, hashes = one.windows(length)
+                    at, hashes, forms = one.windows(length)
                     rows += [
-                        (h, length, item, a, one.slots(a, length))
-                        for a, h in zip(at.tolist(), hashes.astype(np.int64).tolist(), strict=True)
+                        (h, length, item, a, f, one.slots(a, length, f))
+                        for a, h, f in zip(at.tolist(), hashes.astype(np.int64).tolist(), forms.tolist(), strict=True)
                     ]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            names = ("hash", "length", "item", "item_at", "item_slots")
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            names = ("hash", "length", "item", "item_at", "item_form", "item_slots")
             yield record_batch({
                 n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)
             })
 
     distinct = items.filter("doc_id is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    every = distinct.mapInArrow(run, "hash long, length int, item long, item_at int, item_slots array<long>")
+    schema = "hash long, length int, item long, item_at int, item_form int, item_slots array<long>"
+    every = distinct.mapInArrow(run, schema)
     slotted = F.size("item_slots") > 0
-    least = F.min(F.struct("item", "item_at", "length", "item_slots")).alias("least")
+    least = F.min(F.struct("item", "item_at", "length", "item_form", "item_slots")).alias("least")
     keys = [F.when(slotted, F.col(n)).alias(f"own_{n}") for n in ("item", "item_at")]
     return every.groupBy("hash", *keys).agg(least).select("hash", "least.*")
 
@@ -179,22 +199,22 @@ def filter_place(hashes: np.ndarray) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, packed: np.ndarray, lengths: list[int]) -> DataFrame:
-    """``doc_id, row_key, hash, doc_at, doc_slots`` of windows that the filter lets through."""
+    """``doc_id, row_key, hash, doc_at, doc_form, doc_slots`` of windows that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
             texts = Templates(piece.column("text").to_pylist())
             rows, owners = [], []
             for length in lengths:
-                at, hashes = texts.windows(length)
+                at, hashes, forms = texts.windows(length)
                 hit = in_filter(packed, hashes)
-                at, hashes = at[hit], hashes[hit].astype(np.int64)
+                at, hashes, forms = at[hit], hashes[hit].astype(np.int64), forms[hit]
                 owner = texts.owner(at)
                 owners += owner.tolist()
                 places = (at - texts.starts[owner]).tolist()
                 rows += [
-                    (h, place, texts.slots(a, length))
-                    for a, h, place in zip(at.tolist(), hashes.tolist(), places, strict=True)
+                    (h, place, f, texts.slots(a, length, f))
+                    for a, h, place, f in zip(at.tolist(), hashes.tolist(), places, forms.tolist(), strict=True)
                 ]
             if rows:
                 owners = pa.array(owners, pa.int64())
@@ -203,11 +223,12 @@ def document_windows(docs: DataFrame, packed: np.ndarray, lengths: list[int]) ->
                     "row_key": piece.column("row_key").take(owners),
                     "hash": pa.array([r[0] for r in rows], pa.int64()),
                     "doc_at": pa.array([r[1] for r in rows], pa.int32()),
-                    "doc_slots": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                    "doc_form": pa.array([r[2] for r in rows], pa.int32()),
+                    "doc_slots": pa.array([r[3] for r in rows], pa.list_(pa.int64())),
                 })
         SHAPES.clear()  # the worker process lives on
 
-    schema = "doc_id long, row_key long, hash long, doc_at int, doc_slots array<long>"
+    schema = "doc_id long, row_key long, hash long, doc_at int, doc_form int, doc_slots array<long>"
     return docs.mapInArrow(run, schema)
 
 
@@ -223,8 +244,9 @@ def contaminated(
 
     Windows that meet form alignments of a document and an item. An alignment counts if
     its placeholders are consistent: each value of the item stands for one value of the
-    document throughout. A window without placeholders counts by itself. Each window of a
-    document names the least item of those whose alignments count.
+    document throughout. A window without placeholders counts by itself, and one whose
+    opening word may be a name is judged apart from the others, for that word may be none.
+    Each window of a document names the least item of those whose alignments count.
     """
     items = id_and_bytes(benchmark, item_col, item_text_col)
     asked = benchmark_windows(items, window)
@@ -234,13 +256,16 @@ def contaminated(
     met = document_windows(texts, window_filter(asked), lengths).join(asked, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("doc_slots").alias("doc"))
     aligned = (
-        met.withColumn("shift", F.col("doc_at") - F.col("item_at"))
+        # an equal opening word has matched as it is
+        met.withColumn("opening", F.greatest("item_form", "doc_form") == AS_OPENING_NAME)
+        .filter(~F.col("opening") | (F.get("item_slots", F.lit(0)) != F.get("doc_slots", F.lit(0))))
+        .withColumn("shift", F.col("doc_at") - F.col("item_at"))
         .withColumn("plain", F.size("item_slots") == 0)
         .withColumn("pairs", pairs)
     )
     # one window per position of an item on an alignment, so the lists are bounded by the item
     checked = (
-        aligned.groupBy("doc_id", "row_key", "item", "shift", "plain")
+        aligned.groupBy("doc_id", "row_key", "item", "shift", "plain", "opening")
         .agg(
             F.collect_set(F.struct("doc_at", "length")).alias("windows"),
             F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),

@@ -79,3 +79,22 @@ def test_every_item_of_a_window_is_tested(docs, items):
     assert out == [(1, True, [2]), (2, True, [1]), (3, True, [2]), (4, True, [2])]
     out = flags(de.find_leaks(docs((1, twice[len("they gave 4 red pens to us all and ") :])), items((1, twice))))
     assert out == [(1, True, [1])]
+
+
+def test_opening_words_match_after_anything(docs, items):
+    year, apples = "What year did Rome fall to invaders?", "Alice has 12 red apples today, right?"
+    rows = [(1, "Question 3\n" + year), (2, "So, " + year), (3, 'He said "no." ' + year), (4, year.lower()[:4] + year[4:]),
+            (5, apples.replace("Alice", "Bob")), (6, "then " + apples.replace("Alice", "Bob")), (7, apples),
+            (8, "What did Rome do this year to please invaders?")]
+    out = flags(de.find_leaks(docs(*rows), items((1, year), (2, apples))))
+    assert out == [(1, True, [1]), (2, True, [1]), (3, True, [1]), (4, True, [1]),
+                   (5, True, [2]), (6, True, [2]), (7, True, [2]), (8, False, [])]
+    again = "This one was 5 feet. This one was told to stay at home for all of it."
+    out = flags(de.find_leaks(docs((1, again.replace("This", "That", 1))), items((1, again))))
+    assert out == [(1, True, [1])]
+
+
+def test_marks_inside_closing_quotes_end_a_sentence():
+    one = de.Templates(['She said "go." Then (why?) Bob left.” Soon Ann ran.'.encode()])
+    kinds = dict(zip(one.words[0], one.kind.tolist(), strict=True))
+    assert kinds[b"Then"] == kinds[b"Bob"] == kinds[b"Soon"] == de.LITERAL and kinds[b"Ann"] == de.IS_NAME
