@@ -27,6 +27,12 @@ MEMO = 200_000
 PUNCTUATION = b".,;:!?\"'()[]{}<>"
 # an end mark and the quotes and brackets that close after it
 SENTENCE_END = re.compile(rb"[.!?:](?:[\"')\]}>]|\xe2\x80[\x99\x9d]|\xc2\xbb)*$")
+# characters of scripts that put no spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han
+SPACELESS = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\U00020000-\U0003ffff]"
+)
+SPACELESS_LEAD = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
 NUMBER = re.compile(rb"[+-]?(?:[$]|\xe2\x82\xac|\xc2\xa3)?[0-9][0-9.,:/]*%?")
 NAME = re.compile(rb"(?:[A-Z]|\xc3[\x80-\x9e])(?:[a-z'-]|[\x80-\xff])+")
 # Number words and units that a template replaces.
@@ -46,9 +52,18 @@ LITERAL, IS_NUMBER, IS_UNIT, IS_NAME = range(4)
 AS_IS, AS_NAME, AS_OPENING_NAME = range(3)
 # Hashes that stand for the placeholders of the three types.
 _SLOT = mix(np.array([1, 2, 3], np.uint64))
+_EXACT = np.uint64(0xD6E8FEB86659FD93)
 _AFTER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def split_words(text: bytes) -> tuple[list[bytes], int]:
+    """Words of a text, and how many of them are single characters of unspaced scripts."""
+    if not SPACELESS_LEAD.search(text):
+        return text.split(), 0
+    spaced, count = SPACELESS.subn(r" \g<0> ", text.decode("utf-8", "surrogateescape"))
+    return (spaced.encode("utf-8", "surrogateescape") if count else text).split(), count
+
+
 class WordShapes(dict):
     """Memo from word to (hash of the bare word, type, ends a sentence) in one integer."""
 
@@ -78,10 +93,14 @@ class Templates:
     Numbers, units and names become typed placeholders. A capitalised word is a name unless
     it starts the text or a sentence. What precedes a window differs between an item and its
     copy, so a window whose first word may be a name has two forms, with and without one.
+    Windows of few literal words keep the words themselves. A character of an unspaced
+    script is a word.
     """
 
     def __init__(self, texts: list[bytes]):
-        self.words = [t.split() for t in texts]
+        split = [split_words(t) for t in texts]
+        self.words = [words for words, _ in split]
+        self.spaceless = [count for _, count in split]
         sizes = np.array([len(w) for w in self.words], np.int64)
         total = int(sizes.sum())
         shape = np.fromiter(map(SHAPES.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
@@ -103,7 +122,11 @@ class Templates:
         self.literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions, hashes and forms of windows inside one text that are mostly literal words."""
+        """Positions, hashes and forms of the windows inside one text.
+
+        Windows that are not mostly literal words would match too much as templates and are
+        hashed by their words.
+        """
         count = max(0, len(self.hash) - length + 1)
         at = np.flatnonzero(self.left[:count] >= length)
         after = window_hashes(self.hash, length - 1, 0)[at + 1] if length > 1 else np.zeros(len(at), np.uint64)
@@ -116,7 +139,14 @@ class Templates:
             (AS_NAME, np.full(len(at), _SLOT[IS_NAME - 1]), np.zeros(len(at), bool)),
         ):
             hashes = mix(mix(first) + after * _AFTER + np.uint64(length))
-            use = (2 * (literal + plain) >= length) & (named | (form == AS_IS))
+            use = 2 * (literal + plain) >= length
+            if form == AS_IS:
+                if not use.all():
+                    exact = window_hashes(mix(self.value), length, 1)[at] + np.uint64(length)
+                    hashes = np.where(use, hashes, mix(exact ^ _EXACT))
+                use[:] = True
+            else:
+                use &= named
             forms = form + ((form == AS_NAME) & self.opening[at[use]])
             found.append((at[use], hashes[use], forms))
         return tuple(np.concatenate(part) for part in zip(*found, strict=True))
@@ -132,9 +162,13 @@ class Templates:
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
-def item_length(words: int, window: int) -> int:
-    """Length of the windows of an item, 0 if it is too short."""
-    return min(words, window) if words >= SHORTEST else 0
+def item_length(words: int, spaceless: int, window: int) -> int:
+    """Length of the windows of an item, 0 if it is too short.
+
+    In unspaced scripts two characters count for a word.
+    """
+    scale = 2 if 2 * spaceless > words else 1
+    return min(words, scale * window) if words >= scale * SHORTEST else 0
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
@@ -150,7 +184,7 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
             rows = []
             for item, text in zip(ids, piece.column("text").to_pylist(), strict=True):
                 one = Templates([text])
-                length = item_length(len(one.hash), window)
+                length = item_length(len(one.hash), one.spaceless[0], window)
                 if length:
                     at, hashes, forms = one.windows(length)
                     rows += [
@@ -250,7 +284,7 @@ def contaminated(
     """
     items = id_and_bytes(benchmark, item_col, item_text_col)
     asked = benchmark_windows(items, window)
-    # at most ``window`` different lengths
+    # at most twice ``window`` different lengths
     lengths = sorted(r.length for r in asked.select("length").distinct().collect())
     texts = id_and_bytes(docs, id_col, text_col).withColumn("row_key", F.xxhash64(F.col("text").cast("string")))
     met = document_windows(texts, window_filter(asked), lengths).join(asked, "hash")
@@ -286,7 +320,9 @@ def find_leaks(
     """``doc_id, contaminated boolean, n_windows long, items array<long>`` of every row.
 
     Template windows of the benchmark are hash-joined with those of the documents; a filter of
-    fixed size keeps other windows from travelling. Items of fewer than ``SHORTEST`` words
+    fixed size keeps other windows from travelling. Windows with few literal words are joined
+    by the words themselves, and characters of unspaced scripts are words, two of which
+    count as one in all lengths. Items of fewer than ``SHORTEST`` words
     or without an id are not looked for. Every item that has a window is tested; a window
     that several items pass counts for the least of them. A null text counts as empty and is clean; a null id stays null;
     repeated rows get the same verdict; other columns are not read; an empty table on

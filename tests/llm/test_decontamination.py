@@ -98,3 +98,15 @@ def test_marks_inside_closing_quotes_end_a_sentence():
     one = de.Templates(['She said "go." Then (why?) Bob left.” Soon Ann ran.'.encode()])
     kinds = dict(zip(one.words[0], one.kind.tolist(), strict=True))
     assert kinds[b"Then"] == kinds[b"Bob"] == kinds[b"Soon"] == de.LITERAL and kinds[b"Ann"] == de.IS_NAME
+
+
+def test_verbatim_copies_of_slots_and_unspaced_text(docs, items):
+    bench = [(1, "Convert 5 miles to 8 km"), (2, "7 12 19 31 50 81"), (3, "Ann Bob Carol Dan Eve Finn Gus Hal Ida Jon"),
+             (4, "小明有五个苹果他又买了三个苹果现在他一共有几个苹果呢"), (5, "ประเทศไทยมีเมืองหลวงชื่อว่าอะไร")]
+    rows = [(i, f"Row 3:\n{t} and so on") for i, t in bench]
+    rows += [(11, "Convert 6 miles to 9 km"), (12, "7 12 19 31 50 82"), (13, "see Carol Dan Eve Finn Gus Hal Ida Jon go"),
+             (14, "老师说" + bench[3][1][:16] + "，完"), (15, "小明有五个苹果而老师没有买了三个"), (16, "苹果")]
+    out = {i: (c, x) for i, c, x in flags(de.find_leaks(docs(*rows), items(*bench)))}
+    assert all(out[i] == (True, [i]) for i, _ in bench)
+    assert [out[i] for i in (11, 12, 13, 14, 15, 16)] == [
+        (False, []), (False, []), (True, [3]), (True, [4]), (False, []), (False, [])]
