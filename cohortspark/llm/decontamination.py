@@ -151,12 +151,15 @@ class Templates:
             found.append((at[use], hashes[use], forms))
         return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
+    def is_slot(self, at: int, length: int, form: int) -> np.ndarray:
+        """Which words of a window are placeholders."""
+        chosen = self.kind[at : at + length] != LITERAL
+        chosen[0] = form != AS_IS or (chosen[0] and not self.named[at])
+        return chosen
+
     def slots(self, at: int, length: int, form: int) -> list[int]:
         """Values of the placeholders of a window, in order."""
-        part = slice(at, at + length)
-        chosen = self.kind[part] != LITERAL
-        chosen[0] = form != AS_IS or (chosen[0] and not self.named[at])
-        return self.value[part][chosen].astype(np.int64).tolist()
+        return self.value[at : at + length][self.is_slot(at, length, form)].astype(np.int64).tolist()
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
@@ -172,7 +175,10 @@ def item_length(words: int, spaceless: int, window: int) -> int:
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """``hash, length, item, item_at, item_form, item_slots`` of all windows of all items.
+    """All windows of all items.
+
+    Columns ``hash, length, item, words, item_at, item_form, item_slots, literal_at``: ``words``
+    is the length of the item, ``literal_at`` the places of literal words in it.
 
     A window without placeholders needs no other window to be judged, so the least item
     stands for it. Items of one text count once, as the least of them.
@@ -188,20 +194,26 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
                 if length:
                     at, hashes, forms = one.windows(length)
                     rows += [
-                        (h, length, item, a, f, one.slots(a, length, f))
+                        (h, length, item, len(one.hash), a, f, one.slots(a, length, f),
+                         (a + np.flatnonzero(~one.is_slot(a, length, f))).tolist())
                         for a, h, f in zip(at.tolist(), hashes.astype(np.int64).tolist(), forms.tolist(), strict=True)
                     ]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            names = ("hash", "length", "item", "item_at", "item_form", "item_slots")
+            places, values = pa.list_(pa.int32()), pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), values, places)
+            names = ("hash", "length", "item", "words", "item_at", "item_form", "item_slots", "literal_at")
             yield record_batch({
                 n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)
             })
 
     distinct = items.filter("doc_id is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    schema = "hash long, length int, item long, item_at int, item_form int, item_slots array<long>"
+    schema = (
+        "hash long, length int, item long, words int, item_at int, item_form int, "
+        "item_slots array<long>, literal_at array<int>"
+    )
     every = distinct.mapInArrow(run, schema)
     slotted = F.size("item_slots") > 0
-    least = F.min(F.struct("item", "item_at", "length", "item_form", "item_slots")).alias("least")
+    rest = ("item", "item_at", "length", "words", "item_form", "item_slots", "literal_at")
+    least = F.min(F.struct(*rest)).alias("least")
     keys = [F.when(slotted, F.col(n)).alias(f"own_{n}") for n in ("item", "item_at")]
     return every.groupBy("hash", *keys).agg(least).select("hash", "least.*")
 
@@ -278,8 +290,9 @@ def contaminated(
 
     Windows that meet form alignments of a document and an item. An alignment counts if
     its placeholders are consistent: each value of the item stands for one value of the
-    document throughout. A window without placeholders counts by itself, and one whose
-    opening word may be a name is judged apart from the others, for that word may be none.
+    document throughout, and a window of it has the item's own values, or as many literal
+    words agree as a window has words, or the whole item does; its opening word is judged
+    apart, as it may or may not be a name. A window without placeholders counts by itself.
     Each window of a document names the least item of those whose alignments count.
     """
     items = id_and_bytes(benchmark, item_col, item_text_col)
@@ -297,14 +310,21 @@ def contaminated(
         .withColumn("plain", F.size("item_slots") == 0)
         .withColumn("pairs", pairs)
     )
+    covered = F.sequence("item_at", F.col("item_at") + F.col("length") - 1)
     # one window per position of an item on an alignment, so the lists are bounded by the item
     checked = (
         aligned.groupBy("doc_id", "row_key", "item", "shift", "plain", "opening")
         .agg(
             F.collect_set(F.struct("doc_at", "length")).alias("windows"),
             F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+            F.max(F.col("item_slots") == F.col("doc_slots")).alias("own_values"),
+            F.size(F.array_distinct(F.flatten(F.collect_set("literal_at")))).alias("literals"),
+            # but for the opening word of the item
+            F.size(F.array_remove(F.array_distinct(F.flatten(F.collect_set(covered))), 0)).alias("covered"),
+            F.max("words").alias("words"),
         )
         .filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
+        .filter(F.col("own_values") | (F.col("literals") >= window) | (F.col("covered") >= F.col("words") - 1))
     )
     held = checked.select("doc_id", "row_key", "item", F.explode("windows").alias("window"))
     named = held.groupBy("doc_id", "row_key", "window").agg(F.min("item").alias("item"))
@@ -322,7 +342,9 @@ def find_leaks(
     Template windows of the benchmark are hash-joined with those of the documents; a filter of
     fixed size keeps other windows from travelling. Windows with few literal words are joined
     by the words themselves, and characters of unspaced scripts are words, two of which
-    count as one in all lengths. Items of fewer than ``SHORTEST`` words
+    count as one in all lengths. Windows that match with other numbers, units or names
+    only count if ``window`` literal words of an alignment agree, or the item as a whole.
+    Items of fewer than ``SHORTEST`` words
     or without an id are not looked for. Every item that has a window is tested; a window
     that several items pass counts for the least of them. A null text counts as empty and is clean; a null id stays null;
     repeated rows get the same verdict; other columns are not read; an empty table on

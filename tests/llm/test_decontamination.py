@@ -110,3 +110,15 @@ def test_verbatim_copies_of_slots_and_unspaced_text(docs, items):
     assert all(out[i] == (True, [i]) for i, _ in bench)
     assert [out[i] for i in (11, 12, 13, 14, 15, 16)] == [
         (False, []), (False, []), (True, [3]), (True, [4]), (False, []), (False, [])]
+
+
+def test_a_common_frame_alone_is_no_leak(docs, items):
+    born = "the painter was born in Paris on 4 May 1900 and soon left his parents for a life at sea"
+    short, leading = "was born in Rome on 7 June 1905", "Alice has 12 red apples today and 3 pears"
+    rows = [(1, "she was born in London on 7 March 1950 they say"), (2, "she was born in Paris on 4 May 1900 they say"),
+            (3, born.replace("Paris", "Oslo").replace("1900", "1901")), (4, "he was born in Bonn on 9 July 1950"),
+            (5, leading.replace("Alice", "Bob").replace("12", "14").replace("3", "5"))]
+    out = flags(de.find_leaks(docs(*rows), items((1, born))))
+    assert [c for _, c, _ in out] == [False, True, True, False, False]
+    out = flags(de.find_leaks(docs(*rows), items((2, short), (3, leading))))
+    assert out[3] == (4, True, [2]) and out[4] == (5, True, [3])
