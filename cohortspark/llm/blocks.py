@@ -108,8 +108,10 @@ def ask(blocks: DataFrame, make: Callable[..., Iterator[tuple[int, bytes]]]) ->
     return blocks.drop("weight").mapInArrow(run, "shard int, block long, keys binary")
 
 
-def answer(asked: DataFrame, reply: Callable[[list[bytes], list[int]], list[np.ndarray]], name: str) -> DataFrame:
-    """Stored ``block, shard, bits, hits``: a byte array per block from ``reply(keys, blocks)``.
+def answer(
+    asked: DataFrame, reply: Callable[[list[bytes], list[int]], list[np.ndarray]], name: str | None
+) -> DataFrame:
+    """``block, shard, bits, hits``: a byte array per block from ``reply(keys, blocks)``, stored if named.
 
     A shard holds the distinct keys of its blocks; their number per shard follows the
     number of shuffle partitions, not how often a key occurs.
@@ -127,7 +129,7 @@ def answer(asked: DataFrame, reply: Callable[[list[bytes], list[int]], list[np.n
 
     run.__annotations__ = {"table": pa.Table, "return": pa.Table}
     replies = asked.groupBy("shard").applyInArrow(run, "block long, shard int, bits binary, hits int")
-    return stage(replies, name)
+    return stage(replies, name) if name else replies
 
 
 def with_answers(blocks: DataFrame, levels: list[DataFrame]) -> DataFrame:

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from math import ceil, log2
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (
-    id_and_bytes,
-    map_rows,
-    map_slices,
-    pack_array,
-    record_batch,
-    slices,
-    tree_merge,
-    unpack_array,
-)
+from . import blocks as bk
+from .common import id_and_text, pack_array, record_batch, slices, stage, tree_merge, unpack_array
 from .tokens import groups, mix, token_hashes
 
-#: Buckets of one n-gram order; the model is one row of counts per corpus.
+#: Least bucket bits of one n-gram order; there are more as the distinct bigrams grow.
 BUCKET_BITS = 14
 BUCKETS = 2 << BUCKET_BITS
+#: Distinct bigrams a bucket. Fewer n-grams a bucket tell less about words that no trusted
+#: document has, more make junk look like prose.
+BUCKET_LOAD = 4
+#: Bits of the registers that estimate the number of distinct bigrams.
+REGISTER_BITS = 14
 #: Pseudo-count of every bucket.
 SMOOTHING = 1.0
 #: Documents below this log-likelihood ratio per n-gram are rejected.
@@ -30,32 +30,20 @@ MIN_WORDS, MAX_REPEATED_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
 
 
-def ngram_buckets(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every unigram and bigram, lower-cased, and the piece each belongs to."""
+def ngram_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of unigrams and of bigrams, lower-cased, and the pieces they belong to."""
     one, piece = token_hashes(parts)
-    shift = np.uint64(64 - BUCKET_BITS)
     inside = piece[:-1] == piece[1:]
     two = mix(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:])[inside]
-    buckets = np.concatenate([one >> shift, (two >> shift) + np.uint64(1 << BUCKET_BITS)])
-    return buckets.astype(np.int64), np.concatenate([piece, piece[:-1][inside]])
-
-
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """N-gram counts of all rows, in buckets: fixed size whatever the corpus."""
+    return one, two, piece, piece[:-1][inside]
 
-    def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for piece in slices(batches):
-            for _, parts in groups(piece.column("text").to_pylist()):
-                total += np.bincount(ngram_buckets(parts)[0], minlength=BUCKETS)
-        if total.any():
-            yield record_batch(
-                {"key": pa.array([0], pa.int32()), "payload": pa.array([pack_array(total)], pa.binary())}
-            )
 
-    parts = docs.select("text").mapInArrow(run, "key int, payload binary")
-    rows = tree_merge(parts, np.add, "int64").collect()
-    return unpack_array(rows[0].payload, "int64") if rows else np.zeros(BUCKETS, np.int64)
+def ngram_buckets(parts: list[bytes], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every unigram and bigram and the piece each belongs to."""
+    one, two, *pieces = ngram_hashes(parts)
+    shift = np.uint64(64 - bits)
+    buckets = np.concatenate([one >> shift, (two >> shift) + np.uint64(1 << bits)])
+    return buckets.astype(np.int64), np.concatenate(pieces)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -69,12 +57,128 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log ratio of the two smoothed multinomials; zero where nothing is trusted."""
-    if not target.any():
-        return np.zeros(BUCKETS)
-    share = lambda c: (c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS)
-    return np.log(share(target)) - np.log(share(raw))
+def block_facts(stored: DataFrame, id_place: int, place: int) -> DataFrame:
+    """Stored ``block, ids, grams, registers``: ids and n-gram counts of the rows of a block.
+
+    The registers estimate the number of distinct bigrams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, 1):
+            table = bk.unpack(piece.column("payload")[0].as_py())
+            registers = np.zeros(1 << REGISTER_BITS, np.int8)
+            grams = np.zeros(table.num_rows, np.int64)
+            for numbers, parts in groups(bk.texts_of(table, place)):
+                _, two, *pieces = ngram_hashes(parts)
+                grams += np.bincount(np.asarray(numbers)[np.concatenate(pieces)], minlength=len(grams))
+                # place of the first set bit above those that choose the register
+                rest = (two >> np.uint64(REGISTER_BITS)).astype(np.float64)
+                rank = (65 - REGISTER_BITS - np.frexp(rest)[1]).astype(np.int8)
+                np.maximum.at(registers, (two & np.uint64(len(registers) - 1)).astype(np.int64), rank)
+            ids = table.column(id_place).cast(pa.int64()).to_pylist()
+            yield record_batch({
+                "block": piece.column("block"),
+                "ids": pa.array([ids], pa.list_(pa.int64())),
+                "grams": pa.array([grams.tolist()], pa.list_(pa.int64())),
+                "registers": pa.array([pack_array(registers)], pa.binary()),
+            })
+
+    schema = "block long, ids array<long>, grams array<long>, registers binary"
+    return stage(stored.select("block", "payload").mapInArrow(run, schema), "quality-facts")
+
+
+def distinct_bigrams(facts: DataFrame) -> int:
+    """Distinct bigrams of all blocks, estimated by registers of a fixed size."""
+    parts = facts.select(F.lit(0).alias("key"), F.col("registers").alias("payload"))
+    rows = tree_merge(parts, np.maximum, "int8").collect()
+    if not rows:
+        return 0
+    registers = unpack_array(rows[0].payload, "int8").astype(float)
+    size, free = len(registers), int((registers == 0).sum())
+    distinct = 0.7213 / (1 + 1.079 / size) * size * size / np.exp2(-registers).sum()
+    return int(size * np.log(size / free) if free and distinct <= 2.5 * size else distinct)
+
+
+def trusted_rows(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored ``block, answers, grams``: places of the trusted rows of a block, and their n-grams."""
+    rows = facts.select("block", F.posexplode(F.arrays_zip("ids", "grams")).alias("place", "row"))
+    known = rows.select("block", "place", F.col("row.ids").alias("doc_id"), F.col("row.grams").alias("grams"))
+    # labels grow with the documents: one plan at every size
+    met = known.filter("doc_id is not null").join(trusted_ids(labels).hint("merge"), "doc_id")
+    listed = met.groupBy("block").agg(F.collect_list("place").alias("answers"), F.sum("grams").alias("grams"))
+    return stage(listed, "quality-trusted")
+
+
+def pack_counts(*parts: np.ndarray) -> bytes:
+    """Integers, mostly small, packed by the places of their bytes."""
+    return pack_array(np.concatenate(parts).astype(np.int64).view(np.uint8).reshape(-1, 8).T.copy())
+
+
+def unpack_counts(payload: bytes, parts: int) -> np.ndarray:
+    planes = unpack_array(payload, "uint8").reshape(8, -1)
+    return planes.T.copy().view(np.int64).reshape(parts, -1)
+
+
+def bucket_bits(distinct: int) -> int:
+    """Bucket bits of one n-gram order for a number of distinct bigrams."""
+    return max(BUCKET_BITS, ceil(log2(max(1, distinct) / BUCKET_LOAD)))
+
+
+def block_counts(
+    table: pa.Table, place: int, bits: int, trusted: list[int]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets of a block in order, and their counts in all and in trusted texts."""
+    marked = np.zeros(table.num_rows)
+    marked[np.array(trusted, np.int64)] = 1
+    found = []
+    for numbers, parts in groups(bk.texts_of(table, place)):
+        buckets, piece = ngram_buckets(parts, bits)
+        keys, inverse = np.unique(buckets, return_inverse=True)
+        weights = marked[np.asarray(numbers)[piece]]
+        found.append((keys, np.bincount(inverse), np.bincount(inverse, weights)))
+    every = [np.concatenate(part) for part in zip(*found, strict=True)]
+    keys, inverse = np.unique(every[0], return_inverse=True)
+    raw, target = (np.bincount(inverse, part).astype(np.int64) for part in every[1:])
+    return keys, raw, target
+
+
+def with_counts(stored: DataFrame, id_place: int, place: int, labels: DataFrame) -> tuple[DataFrame, int, float]:
+    """Blocks ``payload, answers``, the bucket bits and the part of a log ratio that all share.
+
+    Answers are the counts of the block's buckets in all and in trusted texts. Counts lie in
+    shards, to which blocks send theirs, so no task and no driver holds all of them.
+    """
+    facts = block_facts(stored, id_place, place)
+    trusted = trusted_rows(facts, labels)
+    bits = bucket_bits(distinct_bigrams(facts))
+    total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + b)
+    all_raw = facts.agg(F.sum(total)).first()[0]
+    all_target = trusted.agg(F.sum("grams")).first()[0]
+    if not all_target:
+        return stored.select("payload").withColumn("answers", F.lit(None).cast("array<struct<bits:binary>>")), bits, 0.0
+    shards = bk.shards(stored)
+    smooth = SMOOTHING * (2 << bits)
+
+    def make(payload: bytes, marked: list[int]) -> Iterator[tuple[int, bytes]]:
+        counts = block_counts(bk.unpack(payload), place, bits, marked)
+        for shard, keys, *parts in bk.split_by_shard(counts[0] * shards // (2 << bits), *counts):
+            yield shard, pack_counts(np.diff(keys, prepend=keys[:1] * 0), *parts)
+
+    def reply(asked: list[bytes], _: list[int]) -> list[np.ndarray]:
+        parts = [unpack_counts(a, 3) for a in asked]
+        _, inverse = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        ends = np.cumsum([p.shape[1] for p in parts])[:-1]
+        raw, target = (
+            np.split(np.bincount(inverse, np.concatenate([p[n] for p in parts]))[inverse], ends) for n in (1, 2)
+        )
+        return [np.frombuffer(pack_counts(r, t), np.uint8) for r, t in zip(raw, target, strict=True)]
+
+    stored = stored.drop("weight")
+    flagged = stored.join(trusted.select("block", "answers").hint("merge"), "block", "left")
+    # not stored, so that one plan deals out the blocks once for both joins
+    replies = bk.answer(bk.ask(flagged, make), reply, None)
+    offset = np.log(all_raw + smooth) - np.log(all_target + smooth)
+    return bk.with_answers(stored, [replies]).select("payload", "answers"), bits, float(offset)
 
 
 def repeated_words(words: list[bytes], size: int = REPEAT_WINDOW) -> int:
@@ -106,21 +210,13 @@ def base_measures(text: bytes) -> tuple[int, int, int, int, int]:
     )
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Bucket log ratios from all documents and all trusted documents."""
-    texts = id_and_bytes(docs, id_col, text_col)
-    # labels grow with the documents: one plan at every size
-    trusted = texts.join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")
-    return log_ratios(bucket_counts(trusted), bucket_counts(texts))
-
-
-def mean_ratios(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
+def mean_ratios(texts: list[bytes], keys: np.ndarray, ratios: np.ndarray, bits: int) -> np.ndarray:
     """Log ratio per n-gram of each text, 0 for a text without any."""
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
     for numbers, parts in groups(texts):
-        buckets, piece = ngram_buckets(parts)
+        buckets, piece = ngram_buckets(parts, bits)
         owner = np.asarray(numbers)[piece]
-        total += np.bincount(owner, ratios[buckets], minlength=len(texts))
+        total += np.bincount(owner, ratios[np.searchsorted(keys, buckets)], minlength=len(texts))
         count += np.bincount(owner, minlength=len(texts))
     return total / np.maximum(count, 1)
 
@@ -128,13 +224,40 @@ def mean_ratios(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
 def judge(texts: list[bytes], ratios: np.ndarray) -> list[tuple]:
     """Base measures, base verdict, log ratio and verdict of each text."""
     rows = []
-    for text, ratio in zip(texts, mean_ratios(texts, ratios).tolist(), strict=True):
+    for text, ratio in zip(texts, ratios.tolist(), strict=True):
         base = base_measures(text)
         failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEATED_PERCENT * base[0]
         rows.append((*base, failed, ratio, not failed and ratio >= THRESHOLD))
     return rows
 
 
+def judged(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, schema: str,
+    build: Callable[[pa.Table, list[tuple]], pa.Table],
+) -> DataFrame:
+    """What ``build`` makes of each block of ``docs`` and the verdicts on its rows."""
+    id_place, place = docs.columns.index(id_col), docs.columns.index(text_col)
+    own_id, width = F.col(f"c{id_place}").cast("long"), len(docs.columns)
+    plain = docs.toDF(*(f"c{n}" for n in range(width))).withColumn("id", own_id)
+    answered, bits, offset = with_counts(bk.to_blocks(plain, "quality"), width, place, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, 1):
+            row = piece.to_pylist()[0]
+            table = bk.unpack(row["payload"])
+            texts = bk.texts_of(table, place)
+            if row["answers"]:
+                keys = block_counts(table, place, bits, [])[0]
+                raw, target = np.concatenate([unpack_counts(a["bits"], 2) for a in row["answers"]], axis=1)
+                ratios = np.log(target + SMOOTHING) - np.log(raw + SMOOTHING) + offset
+                means = mean_ratios(texts, keys, ratios, bits)
+            else:
+                means = np.zeros(len(texts))
+            yield from build(table.select(table.column_names[:-1]), judge(texts, means)).to_batches(max_chunksize=256)
+
+    return answered.mapInArrow(run, schema)
+
+
 MEASURES = (
     ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"),
     ("n_repeat_words", "long"), ("base_failed", "boolean"), ("ratio", "double"), ("kept", "boolean"),
@@ -154,32 +277,23 @@ def quality_rules(
     columns are not read; without trusted rows every ratio is 0 and the base rule alone
     decides; an empty table gives an empty table.
     """
-    ratios = fit_ratios(docs, labels, id_col, text_col)
-
-    def setup():
-        def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-            rows = judge(piece.column("text").to_pylist(), ratios)
-            columns = {"doc_id": piece.column("doc_id")}
-            for n, (name, kind) in enumerate(MEASURES):
-                columns[name] = pa.array([r[n] for r in rows], ARROW[kind])
-            return record_batch(columns)
-
-        return work
+    def build(table: pa.Table, rows: list[tuple]) -> pa.Table:
+        columns = {"doc_id": table.column(0)}
+        for n, (name, kind) in enumerate(MEASURES):
+            columns[name] = pa.array([r[n] for r in rows], ARROW[kind])
+        return pa.table(columns)
 
     schema = "doc_id long, " + ", ".join(f"{n} {k}" for n, k in MEASURES)
-    return map_slices(id_and_bytes(docs, id_col, text_col), setup, schema)
+    return judged(id_and_text(docs, id_col, text_col), labels, "doc_id", "text", schema, build)
 
 
 def keep_good(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the rules keep; nulls as above."""
-    ratios = fit_ratios(docs, labels, id_col, text_col)
-    place = docs.columns.index(text_col)
+    schema = ", ".join(f"c{n} {f.dataType.simpleString()}" for n, f in enumerate(docs.schema))
 
-    def run(batches):
-        for piece in slices(batches):
-            texts = [(t or "").encode("utf-8") for t in piece.column(place).to_pylist()]
-            yield piece.filter(pa.array([row[-1] for row in judge(texts, ratios)], pa.bool_()))
+    def build(table: pa.Table, rows: list[tuple]) -> pa.Table:
+        return table.filter(pa.array([row[-1] for row in rows], pa.bool_()))
 
-    return map_rows(docs, run)
+    return judged(docs, labels, id_col, text_col, schema, build).toDF(*docs.columns)

@@ -95,3 +95,15 @@ def test_edges(spark, docs, tables):
     odd = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
     assert [r.doc_id for r in quality.trusted_ids(odd).collect()] == [2]
     assert quality.quality_rules(docs(*rows).limit(0), labels).count() == 0
+
+
+def test_buckets_follow_the_distinct_bigrams(spark):
+    """Junk is told from prose at a larger scale too."""
+    assert quality.bucket_bits(0) == quality.bucket_bits(60_000) == 14 and quality.bucket_bits(2_000_000) == 19
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    documents, labels = read("documents"), read("labels")
+    ratio = {r.doc_id: r.ratio for r in quality.quality_rules(documents, labels).collect() if r.n_words >= 30}
+    quality_of = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in ratio}
+    junk = [ratio[i] >= quality.THRESHOLD for i, q in quality_of.items() if q == 0]
+    other = [ratio[i] >= quality.THRESHOLD for i in ratio if quality_of.get(i, 1) == 1]
+    assert sum(junk) / len(junk) < 0.02 and sum(other) / len(other) > 0.9
