@@ -91,14 +91,15 @@ def local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def colliding(
-    variant: np.ndarray, owner: np.ndarray, left: np.ndarray, free: int
+    variant: np.ndarray, owner: np.ndarray, left: np.ndarray, free: int, odd: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of owners with a common variant below one prefix.
 
     ``variant`` is fixed above its lowest ``free`` bits, where ``left`` more bits may flip.
     Too many variants are split by their next bit, so memory stays bounded for any number
     of fingerprints. Neighbours in the order of the variants are paired, which links each
-    group of a common variant without all its pairs.
+    group of a common variant without all its pairs. For an ``odd`` radius the balls are
+    unequal: an owner with a flip to spare is near all others, and is paired with them.
     """
     if len(np.unique(owner)) < 2:
         return
@@ -112,14 +113,25 @@ def colliding(
         lefts = np.concatenate([left, left[more] - 1])
         high = (every & bit) != 0
         for side in (high, ~high):
-            yield from colliding(every[side], owners[side], lefts[side], free - 1)
+            yield from colliding(every[side], owners[side], lefts[side], free - 1, odd)
         return
-    every, owners = [], []
+    every, owners, outer = [], [], []
     for n, mask in masks.items():
         of = left == n
         every.append((variant[of][:, None] ^ mask[None, :]).ravel())
         owners.append(np.repeat(owner[of], len(mask)))
+        outer.append(np.tile(np.bitwise_count(mask) == n, int(of.sum())))
     values, who = np.concatenate(every), np.concatenate(owners)
+    if odd:
+        far = np.concatenate(outer)
+        order = np.lexsort((far, values))
+        values, who, far = values[order], who[order], far[order]
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        first = np.repeat(starts, np.diff(np.append(starts, len(values))))
+        same = np.flatnonzero(~far[first] & (first != np.arange(len(values))))
+        if len(same):
+            yield who[first[same]], who[same]
+        return
     order = np.argsort(values)
     values, who = values[order], who[order]
     same = np.flatnonzero(values[1:] == values[:-1])
@@ -132,7 +144,7 @@ def bucket_links(variants: np.ndarray, fps: np.ndarray, left: np.ndarray, free:
     distinct, owner = np.unique(fps, return_inverse=True)
     found: list[np.ndarray] = []
     size = len(distinct)
-    for a, b in colliding(variants, owner, left, free):
+    for a, b in colliding(variants, owner, left, free, max_bits & 1):
         near = np.bitwise_count(distinct[a] ^ distinct[b]) <= max_bits
         code = np.minimum(a, b)[near] * size + np.maximum(a, b)[near]
         found.append(np.unique(code[(a != b)[near]]))
@@ -155,7 +167,8 @@ def ball_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links ``a, b`` that connect all distinct fingerprints at ``max_bits`` or fewer bits.
 
     Every fingerprint emits all variants within half the radius; two are near exactly when
-    they meet in a variant. A variant travels as the fingerprint and its own highest bits,
+    they meet in a variant, within the lesser half of one and the greater of the other if
+    the radius is odd. A variant travels as the fingerprint and its own highest bits,
     which choose the bucket; the flips of the lower bits are made there. The number of
     highest bits follows the number of fingerprints, so buckets keep their size.
     """

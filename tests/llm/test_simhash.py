@@ -91,3 +91,19 @@ def test_edges(spark, docs):
     assert kept.columns == docs(*rows).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "9", "None"]
     assert simhash.near_duplicates(docs(*rows).limit(0)).count() == 0
+
+
+def test_odd_radius_links_around_others_of_a_variant(spark):
+    """1 and 9 are near; in each variant that they share, one that is near only one lies between."""
+    for base in (0, 1 << 40, 5 << 33):
+        fps = [base ^ v for v in (1, 3, 8, 9)]
+        links = simhash.ball_links(spark.createDataFrame([(v,) for v in fps], "fp long"), 1)
+        roots = {r.node: r.root for r in components(links).collect()}
+        assert len({roots.get(v, v) for v in fps}) == 1
+    values = np.arange(1, 1 << 9, 2)[np.random.default_rng(3).permutation(256)[:90]].tolist()
+    for bits in (1, 3):
+        links = simhash.ball_links(spark.createDataFrame([(v,) for v in values], "fp long"), bits)
+        roots = {r.node: r.root for r in components(links).collect()}
+        want = plain_components(values, bits)
+        groups = lambda keys: sorted(sorted(v for v, k in zip(values, keys, strict=True) if k == g) for g in set(keys))
+        assert groups([roots.get(v, v) for v in values]) == groups(want)
