@@ -20,14 +20,24 @@ from .common import record_batch, slices, stage
 
 #: Size of the documents of a block, before compression.
 BLOCK_BYTES = 4 << 20
+#: Documents for which one key shard is made; their keys in a task take about as much.
+SHARD_BYTES = 32 << 20
 #: Sorts documents without an id after all others.
 NO_ID = np.iinfo(np.int64).max
 ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def shards(df: DataFrame) -> int:
-    """Number of key shards: the shuffle partitions that the session is sized for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def weight_of(stored: DataFrame) -> int:
+    """Size of the documents of all blocks in bytes."""
+    return stored.agg(F.sum("weight")).first()[0] or 0
+
+
+def shards(stored: DataFrame, weight: int) -> int:
+    """Number of key shards: one for each ``SHARD_BYTES`` of documents, so shards keep their size.
+
+    At least the shuffle partitions that the session is sized for.
+    """
+    return max(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight // SHARD_BYTES))
 
 
 def pack(parts: list[pa.RecordBatch]) -> bytes:
@@ -113,8 +123,8 @@ def answer(
 ) -> DataFrame:
     """``block, shard, bits, hits``: a byte array per block from ``reply(keys, blocks)``, stored if named.
 
-    A shard holds the distinct keys of its blocks; their number per shard follows the
-    number of shuffle partitions, not how often a key occurs.
+    A shard holds the distinct keys of its blocks; the number of shards follows the size of
+    the blocks, and a key that all documents share comes once per block.
     """
 
     def run(table: pa.Table) -> pa.Table:

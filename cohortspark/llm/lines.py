@@ -148,7 +148,7 @@ def reply(keys: list[bytes], _: list[int]) -> list[np.ndarray]:
 
 def _answered(docs: DataFrame, id_place: int, text_place: int, least: int) -> tuple[DataFrame, int]:
     stored = bk.to_blocks(docs, "lines")
-    shards = bk.shards(docs)
+    shards = bk.shards(stored, bk.weight_of(stored))
 
     def make(payload: bytes, _: list) -> Iterator[tuple[int, bytes]]:
         return BlockLines(bk.unpack(payload), id_place, text_place, shards, least).asked()

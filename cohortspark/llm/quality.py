@@ -156,7 +156,7 @@ def with_counts(stored: DataFrame, id_place: int, place: int, labels: DataFrame)
     all_target = trusted.agg(F.sum("grams")).first()[0]
     if not all_target:
         return stored.select("payload").withColumn("answers", F.lit(None).cast("array<struct<bits:binary>>")), bits, 0.0
-    shards = bk.shards(stored)
+    shards = bk.shards(stored, bk.weight_of(stored))
     smooth = SMOOTHING * (2 << bits)
 
     def make(payload: bytes, marked: list[int]) -> Iterator[tuple[int, bytes]]:

@@ -227,8 +227,8 @@ def dedup_substrings(
     lengths = levels(start, window)
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     stored = bk.to_blocks(rows, "windows")
-    shards = bk.shards(docs)
-    weight = stored.agg(F.sum("weight")).first()[0] or 0
+    weight = bk.weight_of(stored)
+    shards = bk.shards(stored, weight)
     bits = min(48, max(16, int(weight // 4 // shards).bit_length() + SPARE_BITS))
 
     answers: list[DataFrame] = []

@@ -76,3 +76,16 @@ def test_query_agrees_with_sql_and_plain_python(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     want = {(i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, d in plain(rows)}
     assert {tuple(r) for r in LLM.queries[name](spark, FOLDER).collect()} == want
+
+
+def test_shards_follow_the_size_of_the_blocks(spark, docs, monkeypatch):
+    from cohortspark.llm import blocks, substrings
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(i, f"a line that all of them have in common\nand line {i % 7} of some\nand own line {i}") for i in range(60)]
+    made = lambda: [sorted(map(str, f(docs(*rows)).collect())) for f in (lines.keep_lines, substrings.dedup_substrings)]
+    want = made()
+    monkeypatch.setattr(blocks, "SHARD_BYTES", 50)
+    stored = blocks.to_blocks(docs(*rows), "sizes")
+    assert blocks.shards(stored, blocks.weight_of(stored)) > 2 * least and blocks.shards(stored, 0) == least
+    assert made() == want
