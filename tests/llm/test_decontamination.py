@@ -122,3 +122,9 @@ def test_a_common_frame_alone_is_no_leak(docs, items):
     assert [c for _, c, _ in out] == [False, True, True, False, False]
     out = flags(de.find_leaks(docs(*rows), items((2, short), (3, leading))))
     assert out[3] == (4, True, [2]) and out[4] == (5, True, [3])
+
+
+def test_a_conflict_leaves_windows_without_placeholders(docs, items):
+    text = "When Alice went out " + "the cat sat down by a warm old stove and slept until noon " + "so Alice came back"
+    out = flags(de.find_leaks(docs((1, text.replace("so Alice", "so Zed"))), items((1, text))))
+    assert out == [(1, True, [1])]
