@@ -94,7 +94,12 @@ def test_edges(spark, docs):
 
 
 def test_odd_radius_links_around_others_of_a_variant(spark):
-    """1 and 9 are near; in each variant that they share, one that is near only one lies between."""
+    """Others lie between near fingerprints in the variants that they share."""
+    for fps in ([0, 4, 6, 8, 9, 10], [2, 3, 6, 7, 11, 12, 26, 27, 28, 30]):
+        own = np.array(fps, np.uint64)
+        a, b = simhash.bucket_links(own, own, np.ones(len(own), np.int64), 64, 1)
+        places = np.searchsorted(own, a), np.searchsorted(own, b)
+        assert not simhash.local_roots(len(own), *places).any()
     for base in (0, 1 << 40, 5 << 33):
         fps = [base ^ v for v in (1, 3, 8, 9)]
         links = simhash.ball_links(spark.createDataFrame([(v,) for v in fps], "fp long"), 1)
