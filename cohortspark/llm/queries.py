@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Catalog, table
 
-from . import bpe, classifier, decontamination, lines, pii, quality, secrets, sharding, simhash, substrings
+from . import (
+    bpe, classifier, clusters, decontamination, lines, pii, quality, secrets, sharding, simhash, spelling, substrings,
+    token_counts,
+)
 
 LLM = Catalog()
 
@@ -190,3 +193,99 @@ def op6_decontamination(spark, folder: str) -> DataFrame:
 def op2_quality_classifier(spark, folder: str) -> DataFrame:
     """Calibrated quality score of every document."""
     return classifier.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _cluster_sql() -> str:
+    """The rounds one after the other, every distance taken."""
+    gap = "list_sum(list_transform(list_zip(v.c, k.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    steps = []
+    for n in range(clusters.ROUNDS + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT rid, vec_id, v.c, k.k, CAST({gap} AS BIGINT) AS d FROM v, k{n} k
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k.k) = 1
+)""")
+        if n < clusters.ROUNDS:
+            steps.append(f"""m{n} AS (
+  SELECT k, list(m ORDER BY i) AS c FROM (
+    SELECT k, i, CAST(floor(CAST(sum(c[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+    FROM a{n}, range(1, {clusters.COMPONENTS + 1}) r(i) GROUP BY k, i
+  ) GROUP BY k
+), k{n + 1} AS MATERIALIZED (SELECT k.k, coalesce(m.c, k.c) AS c FROM k{n} k LEFT JOIN m{n} m USING (k))""")
+    last = clusters.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor({clusters.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE len(embedding) = {clusters.COMPONENTS}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), k0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || vec_id), c) - 1 AS k, c FROM v
+  QUALIFY k < {clusters.CLUSTERS}
+), {", ".join(steps)}
+SELECT a.vec_id, CAST(a.k AS INT) AS cluster, a.d AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.c, ',')) AS centroid_sha256
+FROM a{last} a JOIN k{last} k ON a.k = k.k"""
+
+
+@LLM.add(_cluster_sql())
+def op11_centroid_clusters(spark, folder: str) -> DataFrame:
+    """Cluster and squared distance of every vector after five exact rounds."""
+    return clusters.with_inertia(*clusters.cluster_vectors(table(spark, folder, "embeddings")))
+
+
+@LLM.add()
+def op13_token_counts(spark, folder: str) -> DataFrame:
+    """Tokens of every document and the prefix that fits the token limit."""
+    return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@LLM.add(r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS codes FROM (
+    SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, n) AS c
+    FROM range(256) r(n)
+  )
+), run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM run WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(
+    flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x:
+      CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END)),
+    lambda c, b: xor(c // 256, codes[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS h
+  FROM counted, crc
+), slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT))
+    || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n
+  FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) AS head, substr(word, i + 1) AS tail
+  FROM words, unnest(range(1, length(word) + 1)) t(i)
+), link AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT w.word, c.word, c.n FROM words w JOIN cut c ON w.word = c.head || c.tail
+  UNION SELECT c.word, w.word, w.n FROM words w JOIN cut c ON w.word = c.head || c.tail
+), near AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS best, max(m) AS best_n FROM link GROUP BY word
+), formed AS MATERIALIZED (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form,
+    CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)
+), walk AS (
+  SELECT word, form AS at FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.at WHERE f.form IS NOT NULL
+), last AS (
+  SELECT w.word, w.at AS root FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NULL
+)
+SELECT f.word, f.form, coalesce(l.root, f.word) AS root, f.n, f.n_near, f.form_n
+FROM formed f LEFT JOIN last l USING (word)""")
+def op12_spelling_variants(spark, folder: str) -> DataFrame:
+    """Frequent words, their near words and the form and root that each is a variant of."""
+    return spelling.spelling_groups(spelling.word_counts(table(spark, folder, "documents")))
