@@ -9,6 +9,7 @@ from array import array
 from collections.abc import Sequence
 from functools import lru_cache
 from operator import sub
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from .common import column, id_and_text, map_slices, record_batch
 
 #: Tokens above which a text is over the limit.
 TOKEN_LIMIT = 2048
-#: Distinct words that a task remembers. Results do not depend on it.
+#: Distinct words, starts of words and seams that a Python worker remembers. Results do not depend on it.
 MEMO = 250_000
+#: Starts of words up to this length are remembered: words that begin alike share their counts.
+HEAD_BYTES = 16
 
 # The mark of a word's end and the pre-splitting pattern of the public vocabulary.
 WORD_END = "</w>"
@@ -69,10 +72,13 @@ class PrefixCounter:
     def __init__(self, vocab: dict[str, int], merges: Sequence, special: Sequence[str]):
         letters = byte_letters()
         size = max(vocab.values()) + 1
+        self.digest = crc32(repr((list(vocab.items()), list(merges), list(special))).encode())
         self.special = sorted(special, key=len, reverse=True)
         self.left, self.right, self.born = [-1] * size, [-1] * size, [0] * size
         self.rank: dict[tuple[int, int], int] = {}
         self.seams: dict[int, bool] = {}
+        # last token, token count and whole-word count of the starts of words
+        self.heads: dict[bytes | None, tuple[int, int, int]] = {}
         # tokens of a label inside and at the end of a word, -1 for none, also for what ends labels
         self.known: dict[bytes, tuple[int, int]] = {}
         names = [letter + mark for letter in letters for mark in ("", WORD_END)]
@@ -92,7 +98,7 @@ class PrefixCounter:
                 self.known.setdefault(label[n:], NO_TOKEN)
 
     def __getstate__(self):
-        return {**self.__dict__, "seams": {}}
+        return {**self.__dict__, "seams": {}, "heads": {}}
 
     def stays_split(self, u: int, v: int) -> bool:
         """Whether ``u`` and ``v`` side by side are left apart by every merge.
@@ -120,31 +126,42 @@ class PrefixCounter:
             found = self.seams[key] = self.stays_split(u, v)
         return found
 
+    def follow(self, found: list[tuple[int, tuple[int, int]]], kind: int, last: list[int]) -> tuple[int, int]:
+        """Start and id of the one token of a kind, longest first, that can follow what is before it."""
+        for start, tokens in reversed(found):
+            token = tokens[kind]
+            if token >= 0 and (not start or self.seam(last[start], token)):
+                return start, token
+        raise ValueError("the vocabulary has no token for a byte")
+
     def whole_words(self, word: str) -> list[int]:
         """Tokens of each prefix of a pre-split word, taken as a word: one entry a code point."""
         data = word.encode("utf-8")
-        size, known = len(data), self.known
+        size, known, heads = len(data), self.known, self.heads
         last, count, whole = [-1], [0], []
-
-        def after(found: list[tuple[int, tuple[int, int]]], kind: int) -> tuple[int, int]:
-            """Start and id of the one token of a kind, longest first, that can follow."""
-            for start, tokens in reversed(found):
-                token = tokens[kind]
-                if token >= 0 and (start == 0 or self.seam(last[start], token)):
-                    return start, token
-            raise ValueError(f"the vocabulary has no token to end {word!r} with")
-
         for end in range(1, size + 1):
-            found, start = [], end
-            while start and (tokens := known.get(data[start - 1 : end])):
-                start -= 1
-                found.append((start, tokens))
-            if end == size or data[end] & 0xC0 != 0x80:
-                whole.append(count[after(found, 1)[0]] + 1)
-            if end < size:
-                start, token = after(found, 0)
-                last.append(token)
-                count.append(count[start] + 1)
+            head = data[:end] if end <= HEAD_BYTES else None
+            state = heads.get(head)
+            if state is None:
+                found, start = [], end
+                while start and (tokens := known.get(data[start - 1 : end])):
+                    start -= 1
+                    found.append((start, tokens))
+                token = inside = ended = 0
+                if end == size or data[end] & 0xC0 != 0x80:
+                    ended = count[self.follow(found, 1, last)[0]] + 1
+                if end < size:
+                    start, token = self.follow(found, 0, last)
+                    inside = count[start] + 1
+                state = token, inside, ended
+                if head is not None and end < size:
+                    if len(heads) >= MEMO:
+                        heads.clear()
+                    heads[head] = state
+            last.append(state[0])
+            count.append(state[1])
+            if state[2]:
+                whole.append(state[2])
         return whole
 
     def steps(self, word: str) -> bytes:
@@ -205,6 +222,17 @@ class TextCounter(dict):
         return np.concatenate(done)
 
 
+_worker: dict[int, TextCounter] = {}
+
+
+def worker_counter(words: PrefixCounter) -> TextCounter:
+    """The counter of this Python worker: the tasks it runs one after the other share its memos."""
+    if words.digest not in _worker:
+        _worker.clear()
+        _worker[words.digest] = TextCounter(words)
+    return _worker[words.digest]
+
+
 @lru_cache(maxsize=2)
 def load_counter(path: str) -> PrefixCounter:
     """Counter of a vocabulary file (its size is that of the vocabulary)."""
@@ -246,7 +274,7 @@ def prefix_counts(
     words = load_counter(tokenizer_path)
 
     def setup():
-        counter = TextCounter(words)
+        counter = worker_counter(words)
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             texts = piece.column("text").to_pylist()
