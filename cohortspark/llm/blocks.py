@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, slices, stage
+from .common import record_batch, slices, stage, stage_buckets
 
 #: Size of the documents of a block, before compression.
 BLOCK_BYTES = 4 << 20
@@ -40,9 +40,12 @@ def shards(stored: DataFrame, weight: int) -> int:
     return max(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight // SHARD_BYTES))
 
 
-def pack(parts: list[pa.RecordBatch]) -> bytes:
+def pack(parts: list[pa.RecordBatch], level: int | None = None) -> bytes:
+    options = ZSTD
+    if level is not None:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, parts[0].schema, options=ZSTD) as writer:
+    with pa.ipc.new_stream(sink, parts[0].schema, options=options) as writer:
         for part in parts:
             writer.write_batch(part)
     return sink.getvalue().to_pybytes()
@@ -57,6 +60,19 @@ def to_blocks(df: DataFrame, name: str) -> DataFrame:
 
     Columns are packed as ``c0, c1, ...``; ``weight`` is their size in bytes.
     """
+    return stage(blocks_of(df, BLOCK_BYTES), name)
+
+
+def to_bucketed_blocks(df: DataFrame, name: str, size: int, level: int, buckets: int) -> DataFrame:
+    """As ``to_blocks``, stored in buckets by block: joins on it move the other side only.
+
+    Blocks are of ``size`` bytes and packed at a compression level.
+    """
+    return stage_buckets(blocks_of(df, size, level), name, "block", buckets)
+
+
+def blocks_of(df: DataFrame, block_bytes: int, level: int | None = None) -> DataFrame:
+    """Blocks of about ``block_bytes`` of the rows of ``df``, as they lie in their partitions."""
     plain = df.toDF(*(f"c{n}" for n in range(len(df.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,20 +82,20 @@ def to_blocks(df: DataFrame, name: str) -> DataFrame:
         def block() -> pa.RecordBatch:
             return record_batch({
                 "block": pa.array([first + number], pa.int64()),
-                "payload": pa.array([pack(parts)], pa.binary()),
+                "payload": pa.array([pack(parts, level)], pa.binary()),
                 "weight": pa.array([size], pa.int64()),
             })
 
         for piece in slices(batches, 32):
             parts.append(piece)
             size += piece.nbytes
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield block()
                 parts, size, number = [], 0, number + 1
         if parts:
             yield block()
 
-    return stage(plain.mapInArrow(run, "block long, payload binary, weight long"), name)
+    return plain.mapInArrow(run, "block long, payload binary, weight long")
 
 
 def ids_of(table: pa.Table, place: int) -> np.ndarray:
@@ -142,10 +158,11 @@ def answer(
     return stage(replies, name) if name else replies
 
 
-def with_answers(blocks: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def with_answers(blocks: DataFrame, levels: list[DataFrame], join: str = "merge") -> DataFrame:
     """Blocks beside their answers of all levels, ordered by level and shard.
 
     A block collects as many entries as it sent, so the list is bounded by the block.
+    ``join`` is the hint for the one plan that serves every size.
     """
     every = None
     for n, level in enumerate(levels):
@@ -153,7 +170,7 @@ def with_answers(blocks: DataFrame, levels: list[DataFrame]) -> DataFrame:
         every = tagged if every is None else every.unionByName(tagged)
     entry = F.sort_array(F.collect_list(F.struct("level", "shard", "bits")))
     # answers grow with the blocks: one plan at every size
-    listed = every.groupBy("block").agg(entry.alias("answers")).hint("merge")
+    listed = every.groupBy("block").agg(entry.alias("answers")).hint(join)
     return blocks.join(listed, "block", "left")
 
 

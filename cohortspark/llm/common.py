@@ -95,6 +95,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``stage``, in buckets by the hash of ``key``: a join on it reads them as they lie."""
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd")
+    path = f"{checkpoint_dir(df).rstrip('/')}/{table}"
+    writer.option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    stored = df.sparkSession.table(table)
+    # the files stay; the plan knows their layout without the name
+    df.sparkSession.sql(f"DROP TABLE {table}")
+    return stored
+
+
 def pack_array(values: np.ndarray) -> bytes:
     """Bytes of an array; counts and filters are mostly small numbers, which pack well."""
     return zlib.compress(values.tobytes(), 1)

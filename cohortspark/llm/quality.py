@@ -22,6 +22,9 @@ BUCKETS = 2 << BUCKET_BITS
 BUCKET_LOAD = 4
 #: Bits of the registers that estimate the number of distinct bigrams.
 REGISTER_BITS = 14
+#: Size of a block before compression, and the level of its compression. A large block asks
+#: for fewer buckets in all, since its texts share them.
+BLOCK_BYTES, BLOCK_LEVEL = 12 << 20, 6
 #: Pseudo-count of every bucket.
 SMOOTHING = 1.0
 #: Documents below this log-likelihood ratio per n-gram are rejected.
@@ -174,11 +177,11 @@ def with_counts(stored: DataFrame, id_place: int, place: int, labels: DataFrame)
         return [np.frombuffer(pack_counts(r, t), np.uint8) for r, t in zip(raw, target, strict=True)]
 
     stored = stored.drop("weight")
-    flagged = stored.join(trusted.select("block", "answers").hint("merge"), "block", "left")
-    # not stored, so that one plan deals out the blocks once for both joins
+    # blocks lie in buckets, so both joins bring what is small to them
+    flagged = stored.join(trusted.select("block", "answers").hint("shuffle_hash"), "block", "left")
     replies = bk.answer(bk.ask(flagged, make), reply, None)
     offset = np.log(all_raw + smooth) - np.log(all_target + smooth)
-    return bk.with_answers(stored, [replies]).select("payload", "answers"), bits, float(offset)
+    return bk.with_answers(stored, [replies], "shuffle_hash").select("payload", "answers"), bits, float(offset)
 
 
 def repeated_words(words: list[bytes], size: int = REPEAT_WINDOW) -> int:
@@ -239,7 +242,11 @@ def judged(
     id_place, place = docs.columns.index(id_col), docs.columns.index(text_col)
     own_id, width = F.col(f"c{id_place}").cast("long"), len(docs.columns)
     plain = docs.toDF(*(f"c{n}" for n in range(width))).withColumn("id", own_id)
-    answered, bits, offset = with_counts(bk.to_blocks(plain, "quality"), width, place, labels)
+    weight = plain.agg(F.sum(F.octet_length(F.col(f"c{place}").cast("string")).cast("long"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-weight // BLOCK_BYTES))
+    stored = bk.to_bucketed_blocks(plain, "quality", BLOCK_BYTES, BLOCK_LEVEL, buckets)
+    answered, bits, offset = with_counts(stored, width, place, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 1):
