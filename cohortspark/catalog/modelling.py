@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from cohortspark.functions import bounded_logit
-from cohortspark.operators import models
+from cohortspark.operators import models, quadrature
+from cohortspark.operators.formulas import parse_formula, with_factors
+from cohortspark.operators.grids import fit_formulas
 from cohortspark.operators.pca import fit_pca, pca_scores
 from cohortspark.operators.stats import zscore
 
@@ -428,19 +430,21 @@ def glmm_binomial(spark, folder):
     return rounded(fit.coefficients().select("term", "estimate", "std_error"), 3)
 
 
-_LMM_SQL = """
+def _lmm_rounds(fit: str) -> str:
+    """The equations of a Gaussian fit for every value of ``fit``, iterated 200 times."""
+    return f"""
 WITH RECURSIVE g AS (
-  SELECT label, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy,
+  SELECT fit, label, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy,
          sum(x * y) AS sxy, sum(y * y) AS syy
-  FROM (SELECT l_suppkey AS label, l_discount * 10 AS x,
+  FROM (SELECT {fit} AS fit, l_suppkey AS label, l_discount * 10 AS x,
                l_quantity / 10 + (l_suppkey % 7) / 3.0::DOUBLE
                + (l_suppkey % 5) / 4.0::DOUBLE * l_discount * 10 AS y FROM lineitem)
-  GROUP BY label),
+  GROUP BY fit, label),
 f AS (
-  SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.1::DOUBLE AS d00, 0.0::DOUBLE AS d01,
-         0.1::DOUBLE AS d11, 0.1::DOUBLE AS s2, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1
+  SELECT DISTINCT 0 AS step, fit, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.1::DOUBLE AS d00, 0.0::DOUBLE AS d01,
+         0.1::DOUBLE AS d11, 0.1::DOUBLE AS s2, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1 FROM g
   UNION ALL
-  SELECT step + 1, max(k0), max(k1), avg(r0 * r0 + c00), avg(r0 * r1 + c01), avg(r1 * r1 + c11),
+  SELECT step + 1, fit, max(k0), max(k1), avg(r0 * r0 + c00), avg(r0 * r1 + c01), avg(r1 * r1 + c11),
          sum(syy - 2 * (k0 * sy + k1 * sxy) + k0 * k0 * n + 2 * k0 * k1 * sx + k1 * k1 * sxx
              - 2 * (r0 * u0 + r1 * u1) + n * r0 * r0 + 2 * sx * r0 * r1 + sxx * r1 * r1
              + n * c00 + 2 * sx * c01 + sxx * c11) / sum(n), max(v0), max(v1)
@@ -450,11 +454,11 @@ f AS (
         SELECT *, (h0 * a11 - h1 * a01) / det AS k0, (h1 * a00 - h0 * a01) / det AS k1,
                sqrt(a11 / det) AS v0, sqrt(a00 / det) AS v1 FROM (
           SELECT *, a00 * a11 - a01 * a01 AS det FROM (
-            SELECT *, 0.01 + sum((n - p00 * n - p01 * sx) / s2) OVER () AS a00,
-                   sum((sx - p00 * sx - p01 * sxx) / s2) OVER () AS a01,
-                   0.01 + sum((sxx - p10 * sx - p11 * sxx) / s2) OVER () AS a11,
-                   sum((sy - p00 * sy - p01 * sxy) / s2) OVER () AS h0,
-                   sum((sxy - p10 * sy - p11 * sxy) / s2) OVER () AS h1 FROM (
+            SELECT *, 0.01 + sum((n - p00 * n - p01 * sx) / s2) OVER (PARTITION BY fit) AS a00,
+                   sum((sx - p00 * sx - p01 * sxx) / s2) OVER (PARTITION BY fit) AS a01,
+                   0.01 + sum((sxx - p10 * sx - p11 * sxx) / s2) OVER (PARTITION BY fit) AS a11,
+                   sum((sy - p00 * sy - p01 * sxy) / s2) OVER (PARTITION BY fit) AS h0,
+                   sum((sxy - p10 * sy - p11 * sxy) / s2) OVER (PARTITION BY fit) AS h1 FROM (
               SELECT *, (n * c00 + sx * c01) / s2 AS p00, (n * c01 + sx * c11) / s2 AS p01,
                      (sx * c00 + sxx * c01) / s2 AS p10, (sx * c01 + sxx * c11) / s2 AS p11 FROM (
                 SELECT *, m11 / (m00 * m11 - m01 * m01) AS c00,
@@ -463,7 +467,11 @@ f AS (
                   SELECT g.*, f.step, f.s2, n / s2 + d11 / (d00 * d11 - d01 * d01) AS m00,
                          sx / s2 - d01 / (d00 * d11 - d01 * d01) AS m01,
                          sxx / s2 + d00 / (d00 * d11 - d01 * d01) AS m11
-                  FROM f CROSS JOIN g WHERE step < 200)))))))) GROUP BY step)
+                  FROM f JOIN g ON f.fit = g.fit WHERE step < 200)))))))) GROUP BY step, fit)
+"""
+
+
+_LMM_SQL = _lmm_rounds("'all'") + """
 SELECT '(Intercept)' AS term, round(b0, 4) AS estimate, round(e0, 4) AS std_error FROM f
 WHERE step = 200
 UNION ALL SELECT 'x', round(b1, 4), round(e1, 4) FROM f WHERE step = 200
@@ -489,3 +497,109 @@ def lmm_slope_model(spark, folder):
     )
     found = fit.coefficients().unionByName(spread, allowMissingColumns=True)
     return rounded(found.select("term", "estimate", "std_error"))
+
+
+# Newton steps on the marginal likelihood of a random-intercept model, whose integral over the
+# supplier's effect is a sum over a fine grid of u; the information is that of Louis.
+_QUADRATURE_SQL = """
+WITH RECURSIVE c AS (
+  SELECT l_suppkey AS label, l_discount * 10 AS x, count(*)::DOUBLE AS n,
+         count_if(l_quantity + 3 * (l_suppkey % 7) + l_discount * 40 > 40)::DOUBLE AS h
+  FROM lineitem GROUP BY ALL),
+node AS (SELECT (i - 200) / 25.0::DOUBLE AS u FROM range(401) r(i)),
+f AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS k0, 0.0::DOUBLE AS k1, 0.7::DOUBLE AS l, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1
+  UNION ALL
+  SELECT step + 1, k0 + d0 / far, k1 + d1 / far, l + d2 / far, sqrt(i00 / det), sqrt(i11 / det)
+  FROM (SELECT *, greatest(1, 5 * abs(d0), 5 * abs(d1), 5 * abs(d2)) AS far FROM (
+   SELECT *, (i00 * g0 + i01 * g1 + i02 * g2) / det AS d0, (i01 * g0 + i11 * g1 + i12 * g2) / det AS d1,
+          (i02 * g0 + i12 * g1 + i22 * g2) / det AS d2 FROM (
+   SELECT *, a00 * i00 + a01 * i01 + a02 * i02 AS det FROM (
+    SELECT *, a11 * a22 - a12 * a12 AS i00, a02 * a12 - a01 * a22 AS i01, a01 * a12 - a02 * a11 AS i02,
+           a00 * a22 - a02 * a02 AS i11, a01 * a02 - a00 * a12 AS i12, a00 * a11 - a01 * a01 AS i22 FROM (
+      SELECT step, k0, k1, l, sum(m0) - 2 * k0 / (6.25 + k0 * k0) AS g0,
+             sum(m1) - 2 * k1 / (6.25 + k1 * k1) AS g1, sum(m2) AS g2,
+             sum(c00 - v00 + m0 * m0) + 2 * (6.25 - k0 * k0) / (6.25 + k0 * k0) ** 2 AS a00,
+             sum(c01 - v01 + m0 * m1) AS a01, sum(c02 - v02 + m0 * m2) AS a02,
+             sum(c11 - v11 + m1 * m1) + 2 * (6.25 - k1 * k1) / (6.25 + k1 * k1) ** 2 AS a11,
+             sum(c12 - v12 + m1 * m2) AS a12, sum(c22 - v22 + m2 * m2) AS a22 FROM (
+        SELECT step, k0, k1, l, label, sum(q * s0) AS m0, sum(q * s1) AS m1, sum(q * s0 * u) AS m2,
+               sum(q * s0 * s0) AS v00, sum(q * s0 * s1) AS v01, sum(q * s0 * s0 * u) AS v02,
+               sum(q * s1 * s1) AS v11, sum(q * s1 * s0 * u) AS v12, sum(q * s0 * s0 * u * u) AS v22,
+               sum(q * b00) AS c00, sum(q * b01) AS c01, sum(q * b00 * u) AS c02, sum(q * b11) AS c11,
+               sum(q * b01 * u) AS c12, sum(q * b00 * u * u) AS c22 FROM (
+          SELECT *, w / sum(w) OVER (PARTITION BY label) AS q FROM (
+            SELECT *, exp(ll - max(ll) OVER (PARTITION BY label)) AS w FROM (
+              SELECT step, k0, k1, l, label, u, sum(h * eta - n * (greatest(eta, 0) + ln(1 + exp(-abs(eta)))))
+                       - u * u / 2 AS ll,
+                     sum(h - n * p) AS s0, sum((h - n * p) * x) AS s1, sum(n * p * (1 - p)) AS b00,
+                     sum(n * p * (1 - p) * x) AS b01, sum(n * p * (1 - p) * x * x) AS b11 FROM (
+                SELECT *, 1 / (1 + exp(-eta)) AS p FROM (
+                  SELECT f.*, c.*, u, k0 + k1 * x + l * u AS eta FROM f CROSS JOIN c CROSS JOIN node WHERE step < 40))
+              GROUP BY step, k0, k1, l, label, u)))
+        GROUP BY step, k0, k1, l, label)
+      GROUP BY step, k0, k1, l))))))
+SELECT '(Intercept)' AS term, round(k0, 3) AS estimate, round(e0, 3) AS std_error FROM f WHERE step = 40
+UNION ALL SELECT 'discount', round(k1, 3), round(e1, 3) FROM f WHERE step = 40
+UNION ALL SELECT 'variance', round(l * l, 3), NULL FROM f WHERE step = 40
+"""
+
+
+@CATALOG.add(_QUADRATURE_SQL)
+def glmm_quadrature(spark, folder):
+    """Marginal likelihood fit of a binary outcome with a level of its own per supplier."""
+    supplier, discount = F.col("l_suppkey"), F.col("l_discount")
+    reached = F.col("l_quantity") + 3 * (supplier % 7) + discount * 40
+    lines = table(spark, folder, "lineitem").select(
+        "l_suppkey", (discount * 10).alias("discount"), (reached > 40).cast("int").alias("hit")
+    )
+    fit = quadrature.glmm_quadrature(lines, "hit", ["discount"], "l_suppkey")
+    rows = [(t, float(b), float(s)) for t, b, s in zip(fit.terms, fit.beta, fit.std_error, strict=True)]
+    rows.append(("variance", float(fit.covariance[0, 0]), None))
+    return rounded(spark.createDataFrame(rows, "term string, estimate double, std_error double"), 3)
+
+
+_FLAGS = ("A", "N", "R")
+
+
+@CATALOG.add(_lmm_rounds("l_returnflag") + """
+SELECT fit, '(Intercept)' AS term, round(b0, 3) AS estimate, round(e0, 3) AS std_error FROM f WHERE step = 200
+UNION ALL SELECT fit, 'x', round(b1, 3), round(e1, 3) FROM f WHERE step = 200
+""")
+def fit_grid(spark, folder):
+    """One mixed model per return flag, all of them from the same jobs."""
+    supplier, discount = F.col("l_suppkey"), F.col("l_discount")
+    level, slope = (supplier % 7) / F.lit(3.0), (supplier % 5) / F.lit(4.0)
+    lines = table(spark, folder, "lineitem").select(
+        "l_suppkey", F.col("l_returnflag").alias("fit"), (discount * 10).alias("x"),
+        (F.col("l_quantity") / 10 + level + slope * discount * 10).alias("y"),
+    )
+    fits = fit_formulas(lines, "y ~ x + (1 + x | l_suppkey)", "fit", tolerance=1e-8)
+    found = quadrature.grid_table(spark, fits, "fit", lines.schema["fit"].dataType)
+    return rounded(found.select("fit", "term", "estimate", "std_error"), 3)
+
+
+@CATALOG.add("""
+WITH d AS (SELECT l_linestatus, l_extendedprice AS y, l_quantity AS x, (l_returnflag = 'N')::INT AS n,
+                  (l_returnflag = 'R')::INT AS r FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R')),
+one AS (SELECT l_linestatus, n, r, count(*) AS c, avg(x) AS mx, avg(y) AS my,
+               regr_slope(y, x) AS b FROM d GROUP BY ALL),
+base AS (SELECT * FROM one WHERE n = 0 AND r = 0)
+SELECT o.l_linestatus, CASE WHEN o.n = 1 THEN 'l_returnflag[N]:l_quantity'
+                            WHEN o.r = 1 THEN 'l_returnflag[R]:l_quantity' ELSE 'l_quantity' END AS term,
+       round(CASE WHEN o.n + o.r = 0 THEN o.b ELSE o.b - base.b END, 3) AS estimate
+FROM one o JOIN base ON o.l_linestatus = base.l_linestatus
+UNION ALL
+SELECT o.l_linestatus, CASE WHEN o.n = 1 THEN 'l_returnflag[N]' WHEN o.r = 1 THEN 'l_returnflag[R]'
+                            ELSE '(Intercept)' END,
+       round(CASE WHEN o.n + o.r = 0 THEN o.my - o.b * o.mx
+                  ELSE o.my - o.b * o.mx - (base.my - base.b * base.mx) END, 3)
+FROM one o JOIN base ON o.l_linestatus = base.l_linestatus
+""")
+def factor_terms(spark, folder):
+    """A formula with a factor and its product: every level has a line of its own."""
+    lines = table(spark, folder, "lineitem")
+    formula = parse_formula("l_extendedprice ~ l_returnflag * l_quantity")
+    rows, model = with_factors(lines, formula, {"l_returnflag": _FLAGS})
+    fitted = models.ols_by_group(rows, ["l_linestatus"], model.outcome, model.terms)
+    return rounded(fitted.select("l_linestatus", "term", "estimate").dropna(), 3)

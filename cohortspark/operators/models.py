@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.functions import bounded_logit
 from cohortspark.session import cut_lineage
 
 from .joins import left_join
@@ -283,72 +282,93 @@ def _random_effects(stats, subject, p, slope, beta, covariance, sigma2) -> DataF
     return stats.mapInPandas(modes, T.StructType(fields))
 
 
-def _participant_sums(stats, p, slope, covariance, sigma2) -> dict[str, np.ndarray]:
-    """One pass over the participants: everything an update of (beta, D, sigma2) needs.
-
-    Random effects are linear in (1, -beta), so products with them are summed as
-    coefficient arrays and evaluated once beta is known. Each partition sends a fixed
-    number of values.
-    """
-    inverse = np.linalg.inv(covariance)
-    unpack = _unpacker(p, slope)
+def _sum_shapes(p: int) -> dict[str, tuple[int, ...]]:
     q = p + 1
-    shapes = {
+    return {
         "gcg": (q, q), "ww": (2, q, 2, q), "gw": (2, q, 2, q), "zww": (2, 2, 2, q, 2, q),
         "zc": (2, 2, 2, 2), "c": (2, 2), "count": (1,),
     }
 
+
+def _participant_sums(
+    stats: DataFrame, fit: str | None, p: int, slope: int, scales: dict
+) -> dict[object, dict[str, np.ndarray]]:
+    """One pass over the participants: everything an update of (beta, D, sigma2) of each fit needs.
+
+    ``scales`` holds ``(D, sigma2)`` of the fits to update. Random effects are linear in
+    (1, -beta), so products with them are summed as coefficient arrays and evaluated once
+    beta is known. Each partition sends a fixed number of values per fit.
+    """
+    inverses = {name: (np.linalg.inv(d), s2) for name, (d, s2) in scales.items()}
+    unpack, shapes, q = _unpacker(p, slope), _sum_shapes(p), p + 1
+
+    def add_up(total: dict[str, np.ndarray], pdf: pd.DataFrame, inverse: np.ndarray, sigma2: float) -> None:
+        both, zz = unpack(pdf)
+        spread = np.linalg.inv(zz / sigma2 + inverse)
+        shrunk = spread @ both
+        total["gcg"] += both.reshape(-1, q).T @ shrunk.reshape(-1, q)
+        g = both.reshape(len(pdf), 2 * q)
+        w = shrunk.reshape(len(pdf), 2 * q) / sigma2
+        total["ww"] += (w.T @ w).reshape(shapes["ww"])
+        total["gw"] += (g.T @ w).reshape(shapes["gw"])
+        for i in range(2):
+            for j in range(2):
+                weighted = w * zz[:, i, j, None]
+                total["zww"][i, j] += (weighted.T @ w).reshape(shapes["ww"])
+        total["zc"] += np.einsum("gij,gab->ijab", zz, spread)
+        total["c"] += spread.sum(axis=0)
+        total["count"] += len(pdf)
+
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {name: np.zeros(shape) for name, shape in shapes.items()}
+        found: dict = {}
         for pdf in batches:
-            if pdf.empty:
-                continue
-            both, zz = unpack(pdf)
-            spread = np.linalg.inv(zz / sigma2 + inverse)
-            shrunk = spread @ both
-            total["gcg"] += both.reshape(-1, q).T @ shrunk.reshape(-1, q)
-            g = both.reshape(len(pdf), 2 * q)
-            w = shrunk.reshape(len(pdf), 2 * q) / sigma2
-            total["ww"] += (w.T @ w).reshape(shapes["ww"])
-            total["gw"] += (g.T @ w).reshape(shapes["gw"])
-            for i in range(2):
-                for j in range(2):
-                    weighted = w * zz[:, i, j, None]
-                    total["zww"][i, j] += (weighted.T @ w).reshape(shapes["ww"])
-            total["zc"] += np.einsum("gij,gab->ijab", zz, spread)
-            total["c"] += spread.sum(axis=0)
-            total["count"] += len(pdf)
-        values = np.concatenate([v.ravel() for v in total.values()])
-        yield pd.DataFrame({"pos": np.arange(len(values)), "value": values})
-
-    parts = stats.mapInPandas(sums, "pos long, value double")
-    found = parts.groupBy("pos").agg(F.sum("value").alias("value")).collect()
-    values = np.array([r["value"] for r in sorted(found, key=lambda r: r["pos"])])
-    out, start = {}, 0
-    for name, shape in shapes.items():
-        size = int(np.prod(shape))
-        out[name] = values[start : start + size].reshape(shape)
-        start += size
+            for name, part in pdf.groupby("_fit", sort=False):
+                total = found.setdefault(name, {k: np.zeros(shape) for k, shape in shapes.items()})
+                add_up(total, part, *inverses[name])
+        for name, total in found.items():
+            values = np.concatenate([v.ravel() for v in total.values()])
+            yield pd.DataFrame({"_fit": name, "pos": np.arange(len(values)), "value": values})
+
+    if fit is None:
+        rows = stats.withColumn("_fit", F.lit(0))
+    else:
+        rows = stats.filter(F.col(fit).isin(list(scales))).withColumn("_fit", F.col(fit))
+    names = [c for c in stats.columns if c.startswith(("xx", "xy"))]
+    fields = [rows.schema["_fit"], T.StructField("pos", T.LongType()), T.StructField("value", T.DoubleType())]
+    parts = rows.select("_fit", *names).mapInPandas(sums, T.StructType(fields))
+    size = sum(int(np.prod(shape)) for shape in shapes.values())
+    flat = {name: np.zeros(size) for name in scales}
+    for row in parts.groupBy("_fit", "pos").agg(F.sum("value").alias("value")).collect():
+        flat[row["_fit"]][row["pos"]] = row["value"]
+    out: dict = {}
+    for name, values in flat.items():
+        ends = np.cumsum([int(np.prod(shape)) for shape in shapes.values()])
+        out[name] = {
+            k: part.reshape(shape) for (k, shape), part in zip(shapes.items(), np.split(values, ends[:-1]), strict=True)
+        }
     return out
 
 
-def _totals(stats: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+def _totals(stats: DataFrame, p: int, fit: str | None = None) -> dict:
+    """``X'X, X'y, y'y, n`` over the participants of every fit."""
     names = [c for c in stats.columns if c.startswith(("xx", "xy")) or c in ("yy", "n")]
-    row = stats.agg(*[F.sum(c).alias(c) for c in names]).first()
-    xx = np.empty((p, p))
-    for i, j in _upper(p):
-        xx[i, j] = xx[j, i] = row[f"xx{i}_{j}"]
-    return xx, np.array([row[f"xy{i}"] for i in range(p)]), row["yy"], row["n"]
+    found = {}
+    key = F.lit(0) if fit is None else F.col(fit)
+    for row in stats.groupBy(key.alias("_fit")).agg(*[F.sum(c).alias(c) for c in names]).collect():
+        xx = np.empty((p, p))
+        for i, j in _upper(p):
+            xx[i, j] = xx[j, i] = row[f"xx{i}_{j}"]
+        found[row["_fit"]] = xx, np.array([row[f"xy{i}"] for i in range(p)]), row["yy"], row["n"]
+    return found
 
 
-def _update(stats, totals, p, slope, covariance, sigma2, precision, fixed_scale):
-    """One step: beta by generalised least squares, then D and sigma2 given beta.
+def _update(s, totals, sigma2, precision, fixed_scale):
+    """One step from the sums ``s``: beta by generalised least squares, then D and sigma2 given beta.
 
     The expected random effects get a free 2 x 2 multiplier in the fit (parameter
     expansion), which keeps the number of passes small also for tiny variances.
     """
     xx, xy, yy, n = totals
-    s = _participant_sums(stats, p, slope, covariance, sigma2)
     left = xx / sigma2 - s["gcg"][1:, 1:] / sigma2**2 + np.diag(precision)
     right = xy / sigma2 - s["gcg"][1:, 0] / sigma2**2
     beta = np.linalg.solve(left, right)
@@ -414,27 +434,54 @@ def lmm_solve(
     max_iterations: int = 200,
 ) -> MixedFit:
     """The fit of :func:`lmm_fit` from stored :func:`lmm_stats`, one row per participant."""
+    fits = lmm_grid(stats, terms, None, subject, slope, prior_sd, tolerance, max_iterations)
+    if not fits:
+        raise ValueError("no complete rows to fit")
+    return fits[0]
+
+
+def lmm_grid(
+    stats: DataFrame,
+    terms: Sequence[str],
+    fit: str | None,
+    subject: str,
+    slope: str,
+    prior_sd: float = NORMAL_SD,
+    tolerance: float = 1e-5,
+    max_iterations: int = 200,
+) -> dict[object, MixedFit]:
+    """Fits of every value of ``fit`` from stored :func:`lmm_stats`, keyed by it and the participant.
+
+    Each iteration is one job that updates all unfinished fits; a fit leaves when it has
+    converged. Without ``fit`` all rows are one fit, under the name 0. Rows without a fit are left out.
+    """
     p, at = 1 + len(terms), 1 + list(terms).index(slope)
-    held = stats.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
-    totals = _totals(held, p)
+    kept = stats if fit is None else stats.filter(F.col(fit).isNotNull())
+    held = kept.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
+    totals = _totals(held, p, fit)
     precision = np.full(p, 1.0 / prior_sd**2)
-    xx, xy, yy, n = totals
-    start = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    sigma2 = max(float((yy - start @ xy) / n), 1e-8)
-    beta, covariance = start, np.eye(2) * sigma2 / 2
-    done, step = False, 0
-    while not done and step < max_iterations:
-        step += 1
-        new_beta, new_cov, new_sigma2, error = _update(
-            held, totals, p, at, covariance, sigma2, precision, fixed_scale=False
-        )
-        new = (new_beta, new_cov, new_sigma2)
-        done = _change((beta, covariance, sigma2), new, new_sigma2) < tolerance
-        beta, covariance, sigma2 = new_beta, new_cov, new_sigma2
+    state, done, errors, steps = {}, set(), {}, {}
+    for name, (xx, xy, yy, n) in totals.items():
+        start = np.linalg.lstsq(xx, xy, rcond=None)[0]
+        sigma2 = max(float((yy - start @ xy) / n), 1e-8)
+        state[name] = start, np.eye(2) * sigma2 / 2, sigma2
+    for step in range(1, max_iterations + 1):
+        scales = {name: (d, s2) for name, (_, d, s2) in state.items() if name not in done}
+        if not scales:
+            break
+        for name, sums in _participant_sums(held, fit, p, at, scales).items():
+            *new, errors[name] = _update(sums, totals[name], state[name][2], precision, fixed_scale=False)
+            if _change(state[name], tuple(new), new[2]) < tolerance:
+                done.add(name)
+            state[name], steps[name] = tuple(new), step
     held.unpersist()
-    return MixedFit(
-        (INTERCEPT, *terms), beta, error, covariance, sigma2, step, done, at, subject, stats
-    )
+    return {
+        name: MixedFit(
+            (INTERCEPT, *terms), beta, errors[name], covariance, sigma2, steps[name], name in done, at, subject,
+            stats if fit is None else stats.filter(F.col(fit) == F.lit(name)),
+        )
+        for name, (beta, covariance, sigma2) in state.items()
+    }
 
 
 def glmm_fit(
@@ -501,69 +548,15 @@ def glmm_solve(
             _cross_products(current, [subject], x, F.col("z"), F.col("w"), F.col("trials"))
         )
         held = stats.persist(StorageLevel.MEMORY_AND_DISK)
-        totals = _totals(held, p)
+        totals = _totals(held, p)[0]
         before = (beta, covariance)
         for _ in range(inner):
             precision = 2.0 / (prior_scale**2 + beta**2)
-            beta, covariance, _scale, error = _update(
-                held, totals, p, at, covariance, 1.0, precision, fixed_scale=True
-            )
+            sums = _participant_sums(held, None, p, at, {0: (covariance, 1.0)})[0]
+            beta, covariance, _scale, error = _update(sums, totals, 1.0, precision, fixed_scale=True)
         held.unpersist()
         effects = _random_effects(stats, subject, p, at, beta, covariance, 1.0)
         done = _change(before, (beta, covariance), 1.0) < tolerance
     return MixedFit(
         (INTERCEPT, *terms), beta, error, covariance, 1.0, step, done, at, subject, stats
     )
-
-
-def fit_cell(
-    trials: DataFrame,
-    scores: DataFrame,
-    emo_block: str,
-    resp_type: str,
-    on: Sequence[str] = ("subj_num",),
-) -> MixedFit:
-    """The model of one contrast and response type."""
-    return _fit_blocks(trials, scores, (emo_block,), resp_type, on)[emo_block]
-
-
-def _fit_blocks(
-    trials: DataFrame, scores: DataFrame, blocks: Sequence[str], resp_type: str, on: Sequence[str]
-) -> dict[str, MixedFit]:
-    """Models of several contrasts from one pass over the trials of a response type."""
-    frame = model_frame(trials, scores, tuple(blocks), resp_type, on)
-    by = ["emo_block", "subj_num"]
-    if resp_type == "cat":
-        stored, solve, terms = glmm_cells(frame, "resp", CAT_TERMS, by), glmm_solve, CAT_TERMS
-    else:
-        logit = frame.withColumn("resp_qlogis", bounded_logit(F.col("resp")))
-        stored, solve, terms = lmm_stats(logit, "resp_qlogis", CONT_TERMS, by), lmm_solve, CONT_TERMS
-    stored = cut_lineage(stored)
-    return {
-        block: solve(
-            stored.filter(F.col("emo_block") == block).drop("emo_block"), terms, "subj_num", "stim_level"
-        )
-        for block in blocks
-    }
-
-
-def fit_grid(
-    trials: DataFrame,
-    scores: DataFrame,
-    blocks: Sequence[str] = ("0 to +", "0 to -"),
-    types: Sequence[str] = ("cat", "cont"),
-    on: Sequence[str] = ("subj_num",),
-) -> DataFrame:
-    """All models of the grid: ``emo_block, resp_type`` and their coefficients.
-
-    The trials of a response type are reduced once for all contrasts.
-    """
-    tables = []
-    for kind in types:
-        for block, fit in _fit_blocks(trials, scores, blocks, kind, on).items():
-            tables.append(
-                fit.coefficients().select(
-                    F.lit(block).alias("emo_block"), F.lit(kind).alias("resp_type"), "*"
-                )
-            )
-    return reduce(DataFrame.unionByName, tables)

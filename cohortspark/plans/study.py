@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.operators.models import fit_grid
+from cohortspark.operators.grids import fit_grid
 from cohortspark.operators.pca import fit_pca, pca_input, pca_scores
 from cohortspark.operators.qc import Rules, qc_keep, qc_profile, qc_roster
 from cohortspark.operators.surveys import bind_rounds, survey_followup, survey_round
