@@ -91,81 +91,61 @@ def zscore(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     ).drop("_moments")
 
 
-#: Bits of a value that one level of :func:`group_quantile` looks at, from the highest.
-DIGITS = (22, 21, 21)
-
-
-def _ordered_bits(value: Column) -> Column:
-    """A long that orders as the double does: its bits, with negative ones turned round."""
-    bits = F.java_method(
-        F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)
-    ).cast("long")
-    return F.when(bits < 0, F.bitwise_not(bits).bitwiseXOR(F.lit(-(2**63)))).otherwise(bits)
+#: Sketches know every rank to within 1 / SKETCH of a key's rows.
+SKETCH = 10_000
+#: Share of a key's rows between a bracket's end and the wanted rank, twice the sketch's error.
+MARGIN = 2 / SKETCH
 
 
 def group_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, p: float, into: str
+    df: DataFrame, keys: Sequence[str], value: str, p: float, into: str, margin: float = MARGIN
 ) -> DataFrame:
     """Exact quantile per key with linear interpolation between order statistics.
 
-    Equal values of a key are counted first, which splits a key of any size by value. Then
-    the two order statistics are found digit by digit of the order-preserving bits of the
-    values: each level counts one digit, keeps the one or two digits that hold a wanted rank,
-    and drops all other values. Three levels serve every group; a window sees one row per
-    digit of a key, never its values.
+    A mergeable sketch per key, combined before the exchange, gives a bracket around the wanted
+    ranks. One pass then counts what lies below it and above it, and keeps only the values
+    inside, equal ones as one row with their count. The ranks are looked up among those, so
+    the result is exact; a rank that is not inside its bracket, which the error of the sketch
+    rules out for this ``margin``, would raise instead of giving a neighbour. A key whose margin is
+    less than four rows keeps all its values. Values of a key of any size stay spread
+    out until they are counted, and a window sees a few in ten thousand of them.
     """
     number = col(value).cast("double")
-    cells = (
-        df.filter(number.isNotNull())
-        .groupBy(*keys, number.alias("_v"))
-        .agg(F.count("*").alias("_c"))
+    # one column holds the keys: in it a missing key equals a missing key
+    key = F.struct(*(col(k).alias(f"k{n}") for n, k in enumerate(keys))).alias("_key")
+    rows = df.filter(number.isNotNull()).select(key, (number + F.lit(0.0)).alias("_v"))
+    low_end, high_end = max(p - margin, 0.0), min(p + margin, 1.0)
+    sketch = rows.groupBy("_key").agg(
+        F.percentile_approx("_v", [low_end, high_end], SKETCH).alias("_ends"), F.count(F.lit(1)).alias("_rows")
     )
-    bits = _ordered_bits(F.col("_v"))
-    shift, digits = 64, {}
-    for level, width in enumerate(DIGITS):
-        shift -= width
-        digit = F.shiftright(bits, shift)
-        digits[f"_d{level}"] = digit if level == 0 else digit.bitwiseAND(F.lit((1 << width) - 1))
-    cells = cells.withColumns(digits)
-
-    position = (F.col("_n") - 1) * F.lit(p)
+    # joined on a hash beside the key, so that brackets come by an exchange of their own: only then
+    # can Spark split a hot key, whose values would otherwise follow its sketch into one task
+    hashed = F.xxhash64("_key").alias("_hash")
+    met = rows.select("*", hashed).join(sketch.select("*", hashed), ["_hash", "_key"])
+    # a margin of less than a few ranks is no margin: such a key is all inside
+    wide = F.col("_rows") * margin >= 4
+    below = wide & F.lit(low_end > 0) & (F.col("_v") < F.col("_ends")[0])
+    above = wide & F.lit(high_end < 1) & (F.col("_v") > F.col("_ends")[1])
+    side = F.when(below, -1).when(above, 1).otherwise(0).alias("_side")
+    counts = met.select("_key", "_rows", side, "_v").groupBy(
+        "_key", "_rows", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_v")
+    ).agg(F.count(F.lit(1)).alias("_c"))
+
+    ordered = Window.partitionBy("_key").orderBy("_side", "_v")
+    upto = F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("_upto", upto)
+    position = (F.col("_rows") - 1) * F.lit(p)
     low = F.floor(position)
-    high = F.least(low + 1, F.col("_n") - 1)
-    found = None
-    for level, digit in enumerate(digits):
-        above = [*keys, *list(digits)[:level]]
-        part = cells if found is None else cells.join(found, _same(above)).drop(*_renamed(above))
-        carried = [] if found is None else ["_n", "_before"]
-        counts = part.groupBy(*above, *carried, digit).agg(
-            F.sum("_c").alias("_c"), F.min("_v").alias("_v")
-        )
-        within = Window.partitionBy(*above)
-        upto = F.sum("_c").over(
-            within.orderBy(digit).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        if found is None:
-            counts = counts.withColumns({"_n": F.sum("_c").over(within), "_before": F.lit(0)})
-        ranked = counts.withColumn("_upto", F.col("_before") + upto)
-        wanted = ranked.filter((F.col("_upto") > low) & (F.col("_upto") - F.col("_c") <= high))
-        below = [F.col(k).alias(f"_k{i}") for i, k in enumerate([*above, digit])]
-        found = wanted.select(*below, "_n", (F.col("_upto") - F.col("_c")).alias("_before"))
-
-    ends = wanted.groupBy(*keys).agg(
+    high = F.least(low + 1, F.col("_rows") - 1)
+    wanted = ranked.filter((F.col("_upto") > low) & (F.col("_upto") - F.col("_c") <= high))
+    ends = wanted.groupBy("_key").agg(
+        F.max(F.abs("_side")).alias("_out"),
         F.min("_v").alias("_a"),
         F.min(F.when(F.col("_upto") > high, F.col("_v"))).alias("_b"),
         F.max(position - low).alias("_part"),
     )
-    exact = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
+    exact = F.when(F.col("_out") > 0, F.raise_error(F.lit("a rank is outside its bracket: raise the margin")))
+    exact = exact.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
         F.col("_a") + F.col("_part") * (F.col("_b") - F.col("_a"))
     )
-    return ends.select(*keys, exact.alias(into))
-
-
-def _renamed(keys: Sequence[str]) -> list[str]:
-    return [f"_k{i}" for i in range(len(keys))]
-
-
-def _same(keys: Sequence[str]) -> Column:
-    """Equality, missing keys included, with keys renamed ``_k0, _k1, ...`` on the other side."""
-    pairs = zip(keys, _renamed(keys), strict=True)
-    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(r)) for k, r in pairs])
+    return ends.select(*(F.col(f"_key.k{n}").alias(k) for n, k in enumerate(keys)), exact.alias(into))
