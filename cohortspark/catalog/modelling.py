@@ -42,25 +42,23 @@ def pca_variance(spark, folder):
 
 
 @CATALOG.add("""
-SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS covariance
-FROM unnest(range(1, 65)) AS s(a), unnest(range(1, 65)) AS t(b) WHERE a <= b
+WITH v AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, 65)) AS t(i)),
+z AS (SELECT vec_id, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM v WINDOW w AS (PARTITION BY i))
+SELECT vec_id, round(sum(z * z), 4) AS squared, round(sum(z), 4) AS total FROM z GROUP BY vec_id
 """)
 def pca_scores_(spark, folder):
-    """Covariances of the scores of all vectors: unit variance, and no correlation."""
+    """Scores of all vectors, turned back: length and sum of the standardised vectors."""
     vectors = _vectors(spark, folder)
-    scores = pca_scores(vectors, fit_pca(vectors, DIMENSIONS), ["vec_id"])
-    every = F.array(*[
-        F.struct(F.lit(k).cast("long").alias("k"), F.col(f"PC{k}").alias("v")) for k in range(1, 65)
-    ])
-    pairs = (
-        scores.select(every.alias("s"))
-        .select("s", F.inline("s")).withColumnsRenamed({"k": "a", "v": "_left"})
-        .select("a", "_left", F.inline(F.filter("s", lambda x: x["k"] >= F.col("a"))))
-        .withColumnsRenamed({"k": "b", "v": "_right"})
+    fit = fit_pca(vectors, DIMENSIONS)
+    scores = pca_scores(vectors, fit, ["vec_id"])
+    # a rotation keeps lengths, and each axis has its share in the sum
+    parts = [F.col(f"PC{k}") * F.lit(float(sd)) for k, sd in enumerate(fit.sdev, 1)]
+    weights = fit.rotation.sum(axis=0).tolist()
+    squared = sum((p * p for p in parts[1:]), parts[0] * parts[0])
+    total = sum((p * w for p, w in zip(parts[1:], weights[1:], strict=True)), parts[0] * weights[0])
+    return scores.select(
+        "vec_id", F.round(squared, 4).alias("squared"), (F.round(total, 4) + F.lit(0.0)).alias("total")
     )
-    # scores are centred, so products over n - 1 are covariances
-    covariance = F.round(F.covar_samp("_left", "_right"), 4) + F.lit(0.0)
-    return pairs.groupBy("a", "b").agg(covariance.alias("covariance"))
 
 
 PAIR = ["amount", "reduced"]

@@ -15,6 +15,12 @@ from .joins import semi_keep
 from .qc import passing
 
 
+#: Groups in which the factors of the tasks are folded before the driver gets them.
+FACTOR_FAN = 16
+#: A component this much smaller than the first is rounding.
+NO_VARIANCE = 1e-13
+
+
 def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows without NULL or NaN in the given columns."""
     return df.dropna(how="any", subset=None if columns is None else list(columns))
@@ -74,11 +80,12 @@ def _matrix(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
 
 
 def fit_pca(df: DataFrame, columns: Sequence[str]) -> Components:
-    """All components of the centred, unit-variance columns.
+    """All components of the centred, unit-variance columns, by a tall-skinny QR.
 
-    One aggregate gives means and spreads, one pass sums the products of the standardised
-    columns; tasks send a matrix of the size of the model, and the small symmetric
-    system is solved on the driver.
+    One aggregate gives means and spreads. Then each task folds its standardised rows into one
+    triangular factor, factors are folded again in groups, and the singular values of the last
+    one are those of the whole table. Tasks send a matrix of the size of the model. Products
+    of columns are never formed, so components far smaller than the others keep their digits.
     """
     names, size = list(columns), len(columns)
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
@@ -93,23 +100,32 @@ def fit_pca(df: DataFrame, columns: Sequence[str]) -> Components:
     centre = np.array([moments[f"m{i}"] for i in range(size)])
     spread = np.array([moments[f"s{i}"] for i in range(size)])
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
-        for pdf in batches:
-            z = (_matrix(pdf, names) - centre) / spread
-            total += z.T @ z
-        yield pd.DataFrame({"pos": np.arange(size * size), "value": total.ravel()})
-
-    parts = numbers.mapInPandas(products, "pos int, value double")
-    correlation = np.zeros(size * size)
-    for row in parts.groupBy("pos").agg(F.sum("value").alias("value")).collect():
-        correlation[row["pos"]] = row["value"] / (moments["_n"] - 1)
-    values, vectors = np.linalg.eigh(correlation.reshape(size, size))
-    order = np.argsort(values)[::-1]
-    rotation = vectors[:, order]
+    def fold(factors: Iterator[np.ndarray]) -> np.ndarray:
+        top = np.zeros((0, size))
+        for factor in factors:
+            top = np.linalg.qr(np.concatenate([top, factor]), mode="r")
+        return top
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = fold((_matrix(pdf, names) - centre) / spread for pdf in batches)
+        yield pd.DataFrame({"factor": [top.ravel()]})
+
+    def again(group: pd.DataFrame) -> pd.DataFrame:
+        top = fold(np.asarray(f).reshape(-1, size) for f in group["factor"])
+        return pd.DataFrame({"factor": [top.ravel()]})
+
+    parts = numbers.mapInPandas(rows, "factor array<double>")
+    grouped = parts.withColumn("_fan", F.spark_partition_id() % FACTOR_FAN).groupBy("_fan")
+    last = fold(
+        np.array(r["factor"]).reshape(-1, size) for r in grouped.applyInPandas(again, "factor array<double>").collect()
+    )
+    found, vectors = np.linalg.svd(last, full_matrices=True)[1:]
+    singular = np.zeros(size)
+    singular[: len(found)] = found  # fewer rows than columns leave components without variance
+    rotation = vectors.T
     largest = np.abs(rotation).argmax(axis=0)
     signs = np.where(rotation[largest, np.arange(size)] < 0, -1.0, 1.0)
-    sdev = np.sqrt(np.clip(values[order], 0, None))
+    sdev = singular / np.sqrt(moments["_n"] - 1)
     return Components(tuple(names), centre, spread, rotation * signs, sdev)
 
 
@@ -120,7 +136,7 @@ def pca_scores(df: DataFrame, fit: Components, ids: Sequence[str]) -> DataFrame:
     ``sdev`` standardises them without another pass.
     """
     names = [f"PC{k + 1}" for k in range(len(fit.sdev))]
-    empty = fit.sdev < 1e-7
+    empty = fit.sdev < NO_VARIANCE * fit.sdev.max()
     weights = fit.rotation / np.where(empty, np.nan, fit.sdev)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

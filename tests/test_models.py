@@ -160,6 +160,29 @@ def test_pca_against_numpy(spark):
     assert sum(r.proportion for r in fit.variance(df).collect()) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_pca_keeps_a_component_that_products_would_lose(spark, partitions):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(200, 3))
+    base[:, 2] = base[:, 0] + 1e-9 * rng.normal(size=200)
+    df = spark.createDataFrame(pd.DataFrame(base, columns=list("abc")).assign(id=range(200))).repartition(partitions)
+    fit = pca.fit_pca(df, list("abc"))
+    z = (base - base.mean(0)) / base.std(0, ddof=1)
+    small = np.linalg.svd(z, compute_uv=False)[-1] / math.sqrt(199)
+    assert 1e-10 < small < 1e-8 and fit.sdev[-1] == pytest.approx(small, rel=1e-4)
+    by_products = np.sqrt(np.clip(np.linalg.eigvalsh(z.T @ z / 199)[0], 0, None))
+    assert abs(by_products - small) > 0.5 * small
+    assert pca.pca_scores(df, fit, ["id"]).agg(F.stddev_samp("PC3")).first()[0] == pytest.approx(1, rel=1e-3)
+
+
+def test_pca_of_fewer_rows_than_columns(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(3, 5)), columns=list("abcde")).assign(id=range(3)))
+    fit = pca.fit_pca(df, list("abcde"))
+    assert (fit.sdev[2:] < 1e-12).all() and fit.rotation.T @ fit.rotation == pytest.approx(np.eye(5), abs=1e-9)
+    assert pca.pca_scores(df, fit, ["id"]).filter("PC3 is not null or PC5 is not null").count() == 0
+
+
 def test_pca_rejects_flat_columns(frame):
     with pytest.raises(ValueError, match="b"):
         pca.fit_pca(frame("a double, b double", (1.0, 1.0), (2.0, 1.0)), ["a", "b"])
