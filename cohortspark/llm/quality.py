@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from math import ceil, log2
 
@@ -114,7 +115,10 @@ def trusted_rows(facts: DataFrame, labels: DataFrame) -> DataFrame:
 
 def pack_counts(*parts: np.ndarray) -> bytes:
     """Integers, mostly small, packed by the places of their bytes."""
-    return pack_array(np.concatenate(parts).astype(np.int64).view(np.uint8).reshape(-1, 8).T.copy())
+    planes = np.concatenate(parts).astype(np.int64).view(np.uint8).reshape(-1, 8).T.copy()
+    # bytes are coded one by one, but for runs: these numbers have no longer patterns
+    packer = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return packer.compress(planes.tobytes()) + packer.flush()
 
 
 def unpack_counts(payload: bytes, parts: int) -> np.ndarray:
@@ -122,6 +126,26 @@ def unpack_counts(payload: bytes, parts: int) -> np.ndarray:
     return planes.T.copy().view(np.int64).reshape(parts, -1)
 
 
+def pack_pairs(raw: np.ndarray, target: np.ndarray) -> bytes:
+    """Two counts a bucket, as the number of their pair: frequent pairs first, then the pairs."""
+    kinds = [np.unique(part, return_inverse=True) for part in (raw.astype(np.int64), target.astype(np.int64))]
+    width = len(kinds[1][0])
+    found, inverse, often = np.unique(kinds[0][1] * width + kinds[1][1], return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    pair = found[order]
+    table = pack_counts(kinds[0][0][pair // width], kinds[1][0][pair % width])
+    codes = pack_counts(rank[inverse])
+    return len(table).to_bytes(4, "little") + table + codes
+
+
+def unpack_pairs(payload: bytes) -> np.ndarray:
+    """The two counts of every bucket."""
+    cut = 4 + int.from_bytes(payload[:4], "little")
+    return unpack_counts(payload[4:cut], 2)[:, unpack_counts(payload[cut:], 1)[0]]
+
+
 def bucket_bits(distinct: int) -> int:
     """Bucket bits of one n-gram order for a number of distinct bigrams."""
     return max(BUCKET_BITS, ceil(log2(max(1, distinct) / BUCKET_LOAD)))
@@ -174,7 +198,7 @@ def with_counts(stored: DataFrame, id_place: int, place: int, labels: DataFrame)
         raw, target = (
             np.split(np.bincount(inverse, np.concatenate([p[n] for p in parts]))[inverse], ends) for n in (1, 2)
         )
-        return [np.frombuffer(pack_counts(r, t), np.uint8) for r, t in zip(raw, target, strict=True)]
+        return [np.frombuffer(pack_pairs(r, t), np.uint8) for r, t in zip(raw, target, strict=True)]
 
     stored = stored.drop("weight")
     # blocks lie in buckets, so both joins bring what is small to them
@@ -255,7 +279,7 @@ def judged(
             texts = bk.texts_of(table, place)
             if row["answers"]:
                 keys = block_counts(table, place, bits, [])[0]
-                raw, target = np.concatenate([unpack_counts(a["bits"], 2) for a in row["answers"]], axis=1)
+                raw, target = np.concatenate([unpack_pairs(a["bits"]) for a in row["answers"]], axis=1)
                 ratios = np.log(target + SMOOTHING) - np.log(raw + SMOOTHING) + offset
                 means = mean_ratios(texts, keys, ratios, bits)
             else:
