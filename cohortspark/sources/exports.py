@@ -13,7 +13,7 @@ from functools import reduce
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,49 @@ def discover(spark: SparkSession, folder: str, suffix: str = "first") -> DataFra
     return listed.withColumn("source", stem).filter(F.endswith("source", F.lit(suffix)))
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a CSV file of any size and number of splits: ``record`` (from 1) and ``text``.
+
+    A line break ends a record where the quotes so far are even. Each split tells the parity of
+    its quotes and how many records start in it for both states that it may be entered in;
+    sums over the splits then give the state and the record number at its first line. Lines
+    that are records by themselves stay where they are; only the others are put together.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", *[c.alias(n) for n, c in ordinal_columns().items()]
+    )
+    split = ["file_path", "split_start"]
+    inside = Window.partitionBy(*split).orderBy("row_ord")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    before = F.sum("_quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("_quotes", quotes % 2).withColumn("_before", F.coalesce(before, F.lit(0)) % 2)
+    lines = lines.withColumn("_blank", F.trim(F.replace("value", F.lit("\r"))) == "")
+
+    ordered = Window.partitionBy("file_path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = [F.count_if((F.col("_before") == state) & ~F.col("_blank")) for state in (0, 1)]
+    splits = lines.groupBy(*split).agg(
+        (F.sum("_quotes") % 2).alias("_parity"), *(s.alias(f"_starts{n}") for n, s in enumerate(starts))
+    )
+    splits = splits.withColumn("_entry", F.coalesce(F.sum("_parity").over(ordered), F.lit(0)) % 2)
+    own = F.when(F.col("_entry") == 0, F.col("_starts0")).otherwise(F.col("_starts1"))
+    splits = splits.withColumn("_past", F.coalesce(F.sum(own).over(ordered), F.lit(0)))
+
+    placed = lines.join(splits.select(*split, "_entry", "_past"), split)
+    outside = (F.col("_before") + F.col("_entry")) % 2 == 0
+    placed = placed.filter(~(outside & F.col("_blank"))).withColumn("_start", outside)
+    record = F.col("_past") + F.count_if("_start").over(
+        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = placed.withColumn("record", record)
+    whole = F.col("_start") & (F.col("_quotes") == 0)
+    single = placed.filter(whole).select("record", F.col("value").alias("text"))
+    part = F.struct("split_start", "row_ord", "value")
+    joined = placed.filter(~whole).groupBy("file_path", "record").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    several = joined.select("record", F.array_join("parts.value", "\n").alias("text"))
+    text = F.replace(F.regexp_replace("text", "\r$", ""), F.lit("\r\n"), F.lit("\n"))
+    return single.unionByName(several).select("record", text.alias("text"))
+
+
 def read_survey(
     spark: SparkSession,
     path: str,
@@ -130,17 +173,30 @@ def read_survey(
     """Survey export as text columns plus ordinal columns.
 
     ``extra_header_rows`` descriptive rows follow the header. Columns whose name contains
-    one of ``numbers`` are parsed as doubles. Answers may contain line breaks, so a file is
-    one task unless ``multi_line`` is off, which lets Spark split a file without such breaks.
+    one of ``numbers`` are parsed as doubles. Answers may contain line breaks, in quotes; inside
+    them a quote is doubled, and quotes do not occur elsewhere. A file is read in as many
+    splits as its size asks for. ``multi_line`` off is for files without such breaks, which
+    saves putting records together.
     """
     names = spark.read.csv(path, multiLine=multi_line, **CSV).columns
-    body = _read_text_columns(spark, names, [path], multi_line).drop("file_path")
-    # row ids are consecutive inside the first split, wherever they start
-    head = F.col("split_start") == 0
-    first = body.filter(head).agg(F.min("row_ord")).scalar()
-    body = body.filter(~head | (F.col("row_ord") >= first + extra_header_rows))
-    parsed = [n for n in names if any(part in n for part in numbers)]
-    return body.withColumns({n: F.expr(number_sql(n)) for n in parsed}) if parsed else body
+    if multi_line:
+        schema = ", ".join(f"c{n} string" for n in range(len(names)))
+        options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV.items() if k != "header"}
+        rows = _records(spark, path).filter(F.col("record") > 1 + extra_header_rows)
+        parsed = rows.select("record", F.from_csv("text", schema, options).alias("row"))
+        body = parsed.select(
+            *(F.nullif(F.col(f"row.c{n}"), F.lit("NA")).alias(name) for n, name in enumerate(names)),
+            F.lit(0).cast("long").alias("split_start"),
+            F.col("record").cast("long").alias("row_ord"),
+        )
+    else:
+        body = _read_text_columns(spark, names, [path], multi_line).drop("file_path")
+        # row ids are consecutive inside the first split, wherever they start
+        head = F.col("split_start") == 0
+        first = body.filter(head).agg(F.min("row_ord")).scalar()
+        body = body.filter(~head | (F.col("row_ord") >= first + extra_header_rows))
+    wanted = [n for n in names if any(part in n for part in numbers)]
+    return body.withColumns({n: F.expr(number_sql(n)) for n in wanted}) if wanted else body
 
 
 def read_stimuli(spark: SparkSession, path: str) -> DataFrame:
