@@ -158,16 +158,21 @@ def answer(
     return stage(replies, name) if name else replies
 
 
-def with_answers(blocks: DataFrame, levels: list[DataFrame], join: str = "merge") -> DataFrame:
+def with_answers(
+    blocks: DataFrame, levels: list[DataFrame], join: str = "merge", buckets: int | None = None
+) -> DataFrame:
     """Blocks beside their answers of all levels, ordered by level and shard.
 
     A block collects as many entries as it sent, so the list is bounded by the block.
-    ``join`` is the hint for the one plan that serves every size.
+    ``join`` is the hint for the one plan that serves every size; answers to blocks that lie in
+    ``buckets`` are dealt out once, as the buckets are.
     """
     every = None
     for n, level in enumerate(levels):
         tagged = level.select(F.lit(n).alias("level"), "block", "shard", "bits")
         every = tagged if every is None else every.unionByName(tagged)
+    if buckets:
+        every = every.repartition(buckets, "block")
     entry = F.sort_array(F.collect_list(F.struct("level", "shard", "bits")))
     # answers grow with the blocks: one plan at every size
     listed = every.groupBy("block").agg(entry.alias("answers")).hint(join)

@@ -169,7 +169,9 @@ def block_counts(
     return keys, raw, target
 
 
-def with_counts(stored: DataFrame, id_place: int, place: int, labels: DataFrame) -> tuple[DataFrame, int, float]:
+def with_counts(
+    stored: DataFrame, id_place: int, place: int, labels: DataFrame, buckets: int
+) -> tuple[DataFrame, int, float]:
     """Blocks ``payload, answers``, the bucket bits and the part of a log ratio that all share.
 
     Answers are the counts of the block's buckets in all and in trusted texts. Counts lie in
@@ -205,7 +207,7 @@ def with_counts(stored: DataFrame, id_place: int, place: int, labels: DataFrame)
     flagged = stored.join(trusted.select("block", "answers").hint("shuffle_hash"), "block", "left")
     replies = bk.answer(bk.ask(flagged, make), reply, None)
     offset = np.log(all_raw + smooth) - np.log(all_target + smooth)
-    return bk.with_answers(stored, [replies], "shuffle_hash").select("payload", "answers"), bits, float(offset)
+    return bk.with_answers(stored, [replies], "shuffle_hash", buckets).select("payload", "answers"), bits, float(offset)
 
 
 def repeated_words(words: list[bytes], size: int = REPEAT_WINDOW) -> int:
@@ -270,7 +272,7 @@ def judged(
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-weight // BLOCK_BYTES))
     stored = bk.to_bucketed_blocks(plain, "quality", BLOCK_BYTES, BLOCK_LEVEL, buckets)
-    answered, bits, offset = with_counts(stored, width, place, labels)
+    answered, bits, offset = with_counts(stored, width, place, labels, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 1):
