@@ -187,7 +187,7 @@ def read_survey(
         body = parsed.select(
             *(F.nullif(F.col(f"row.c{n}"), F.lit("NA")).alias(name) for n, name in enumerate(names)),
             F.lit(0).cast("long").alias("split_start"),
-            F.col("record").cast("long").alias("row_ord"),
+            (F.col("record") - 2).cast("long").alias("row_ord"),  # rows after the header, from 0
         )
     else:
         body = _read_text_columns(spark, names, [path], multi_line).drop("file_path")
