@@ -428,8 +428,8 @@ def glmm_binomial(spark, folder):
     return rounded(fit.coefficients().select("term", "estimate", "std_error"), 3)
 
 
-def _lmm_rounds(fit: str) -> str:
-    """The equations of a Gaussian fit for every value of ``fit``, iterated 200 times."""
+def _lmm_rounds(fit: str, steps: int = 200) -> str:
+    """The equations of a Gaussian fit for every value of ``fit``, iterated ``steps`` times."""
     return f"""
 WITH RECURSIVE g AS (
   SELECT fit, label, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy,
@@ -465,7 +465,7 @@ f AS (
                   SELECT g.*, f.step, f.s2, n / s2 + d11 / (d00 * d11 - d01 * d01) AS m00,
                          sx / s2 - d01 / (d00 * d11 - d01 * d01) AS m01,
                          sxx / s2 + d00 / (d00 * d11 - d01 * d01) AS m11
-                  FROM f JOIN g ON f.fit = g.fit WHERE step < 200)))))))) GROUP BY step, fit)
+                  FROM f JOIN g ON f.fit = g.fit WHERE step < {steps})))))))) GROUP BY step, fit)
 """
 
 
@@ -560,9 +560,9 @@ def glmm_quadrature(spark, folder):
 _FLAGS = ("A", "N", "R")
 
 
-@CATALOG.add(_lmm_rounds("l_returnflag") + """
-SELECT fit, '(Intercept)' AS term, round(b0, 3) AS estimate, round(e0, 3) AS std_error FROM f WHERE step = 200
-UNION ALL SELECT fit, 'x', round(b1, 3), round(e1, 3) FROM f WHERE step = 200
+@CATALOG.add(_lmm_rounds("l_returnflag", 2000) + """
+SELECT fit, '(Intercept)' AS term, round(b0, 3) AS estimate, round(e0, 3) AS std_error FROM f WHERE step = 2000
+UNION ALL SELECT fit, 'x', round(b1, 3), round(e1, 3) FROM f WHERE step = 2000
 """)
 def fit_grid(spark, folder):
     """One mixed model per return flag, all of them from the same jobs."""
