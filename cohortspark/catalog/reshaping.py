@@ -9,6 +9,7 @@ from cohortspark.operators.joins import (
     left_join_chain,
     semi_keep,
 )
+from cohortspark.operators.nesting import nest_rows, unnest_rows
 from cohortspark.operators.reshape import (
     expand_grid,
     items_long_likert,
@@ -180,13 +181,36 @@ FROM conversations c LEFT JOIN (
   GROUP BY conv_id) s ON c.conv_id = s.conv_id
 """)
 def nest_unnest(spark, folder):
-    # carrying rows through a join needs no list column: the join itself keeps them
+    # a summary per conversation meets its chunks, not its rows
     talks = table(spark, folder, "conversations")
     summary = talks.groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.max(F.length("text")).alias("longest")
     )
     rows = talks.select("conv_id", "turn", "role", F.length("text").alias("n"))
-    return left_join(rows, summary, ["conv_id"])
+    return unnest_rows(left_join(nest_rows(rows, ["conv_id"]), summary, ["conv_id"]))
+
+
+@CATALOG.add("""
+SELECT event_type, count(*) AS n, count(DISTINCT (user_id, value)) AS n_distinct,
+       round(sum(value), 4) AS total, true AS bounded FROM events GROUP BY event_type
+""")
+def nest_chunks(spark, folder):
+    # five keys hold all events: their lists are chunks of at most 500 rows
+    events = table(spark, folder, "events").select("event_type", "user_id", "value")
+    nested = nest_rows(events, ["event_type"], size=500)
+    summed = lambda part: F.aggregate("data", F.lit(0).cast("double"), part)
+    parts = nested.select(
+        "event_type",
+        F.size("data").alias("held"),
+        summed(lambda total, row: total + row["copies"]).alias("rows"),
+        summed(lambda total, row: total + F.coalesce(row["value"], F.lit(0.0)) * row["copies"]).alias("value"),
+    )
+    return parts.groupBy("event_type").agg(
+        F.sum("rows").cast("long").alias("n"),
+        F.sum("held").alias("n_distinct"),
+        F.round(F.sum("value"), 4).alias("total"),
+        (F.max("held") <= 500).alias("bounded"),
+    )
 
 
 @CATALOG.add("""
