@@ -155,6 +155,21 @@ def qc_profile(
     the trials, so only aggregated rows meet it.
     """
     subject = list(rules.subject_keys)
+    quantiles = rt_quantiles(timed_answers(trials), subject, p=rules.rt_probability)
+    profile = block_profile(trials, covariates, rules)
+    return add_flags(left_join(profile, quantiles, subject), rules)
+
+
+def timed_answers(trials: DataFrame) -> DataFrame:
+    """The trials whose reaction times count."""
+    return trials.filter((F.col("resp_type") == "cat") & F.col("resp").isNotNull())
+
+
+def block_profile(
+    trials: DataFrame, covariates: DataFrame, rules: Rules = Rules()
+) -> DataFrame:
+    """The part of :func:`qc_profile` that a participant's own trials decide, but the quantile."""
+    subject = list(rules.subject_keys)
     parts = left_join(
         _block_table(trials, rules),
         covariates.select("subj_num", "expt_type", "age"),
@@ -197,11 +212,7 @@ def qc_profile(
         F.array_distinct(F.flatten(F.collect_set("_person").over(over))).alias("_persons"),
     )
     # the few experiment and age records of the participant, for every block
-    profile = profile.select("*", F.inline("_persons")).drop("_persons")
-
-    timed = trials.filter((F.col("resp_type") == "cat") & F.col("resp").isNotNull())
-    quantiles = rt_quantiles(timed, subject, p=rules.rt_probability)
-    return add_flags(left_join(profile, quantiles, subject), rules)
+    return profile.select("*", F.inline("_persons")).drop("_persons")
 
 
 def add_flags(profile: DataFrame, rules: Rules = Rules()) -> DataFrame:

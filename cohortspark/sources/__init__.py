@@ -2,6 +2,7 @@
 
 from .exports import (
     discover,
+    file_ranks,
     ordinal_columns,
     read_key,
     read_stimuli,
@@ -10,9 +11,10 @@ from .exports import (
     survey_keys,
 )
 from .manifest import changed_inputs, input_manifest
-from .stages import read_stage, write_csv, write_stage
+from .stages import read_parts, read_stage, write_csv, write_parts, write_stage
 
 __all__ = [
-    "changed_inputs", "discover", "input_manifest", "ordinal_columns", "read_key", "read_stage",
-    "read_stimuli", "read_survey", "read_trials", "survey_keys", "write_csv", "write_stage",
+    "changed_inputs", "discover", "file_ranks", "input_manifest", "ordinal_columns", "read_key",
+    "read_parts", "read_stage", "read_stimuli", "read_survey", "read_trials", "survey_keys",
+    "write_csv", "write_parts", "write_stage",
 ]

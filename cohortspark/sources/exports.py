@@ -66,20 +66,27 @@ def _place(path: str) -> str:
     return f"{parts.netloc}{unquote(parts.path)}"
 
 
+def file_ranks(found: Sequence[str], paths: Sequence[str]) -> dict[str, int]:
+    """Place in ``paths``, as the caller wrote them, of every path that a listing found."""
+    ranks = {_place(p): rank for rank, p in enumerate(paths)}
+    placed = {}
+    for path in found:
+        place = _place(path)
+        if place not in ranks:  # listed by a relative path
+            place = next(p for p in ranks if place.endswith(f"/{p.removeprefix('./')}"))
+        placed[path] = ranks[place]
+    return placed
+
+
 def _with_file_order(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
     """Replace ``file_path`` by ``source`` (file stem) and ``file_rank`` (place in ``paths``).
 
     Files are told apart by their whole path, so equal names in several folders are fine.
     """
     spark = rows.sparkSession
-    ranks = {_place(p): rank for rank, p in enumerate(paths)}
     listed = spark.read.format("binaryFile").load(list(paths)).select("_metadata.file_path")
-    known = []
-    for (path,) in listed.collect():
-        place = _place(path)
-        if place not in ranks:  # listed by a relative path
-            place = next(p for p in ranks if place.endswith(f"/{p.removeprefix('./')}"))
-        known.append((path, _plain_stem(place), ranks[place]))
+    found = file_ranks([path for (path,) in listed.collect()], paths)
+    known = [(path, _plain_stem(_place(path)), rank) for path, rank in found.items()]
     # from pandas, so that Catalyst knows its size and chooses the join by it
     frame = pd.DataFrame(known, columns=["_path", "source", "file_rank"])
     table = spark.createDataFrame(frame, "_path string, source string, file_rank int")

@@ -1,5 +1,6 @@
 import dataclasses
 import csv
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from synthetic import study as make_study
 
 from cohortspark import sources
 from cohortspark.operators.trials import AMUSEMENT_FEAR, clean_trials, rescale_stimuli
+from cohortspark.plans import delta
 from cohortspark.plans import study as plans
 
 
@@ -127,6 +129,18 @@ def test_all_stages(spark, done):
     assert "rt_quantile_75" in terms["0 to +", "cat"] and "rt_quantile_75" not in terms["0 to +", "cont"]
 
 
+def test_run_of_changes_equals_a_full_run(spark, done):
+    study, fitted = done
+    own = dataclasses.replace(study, output=f"{study.output}_changed")
+    rows = lambda df: {
+        (r.emo_block, r.resp_type, r.term): None if r.estimate is None else round(r.estimate, 6) for r in df.collect()
+    }
+    assert rows(delta.run_changed(spark, own, shards=8)) == rows(fitted)
+    stored = [sorted(f.name for f in Path(own.output, name).iterdir()) for name in ("models", "qs_allsubs")]
+    assert rows(delta.run_changed(spark, own, shards=8)) == rows(fitted)
+    assert stored == [sorted(f.name for f in Path(own.output, name).iterdir()) for name in ("models", "qs_allsubs")]
+
+
 def test_manifest_finds_changes(spark, done):
     study, _ = done
     assert plans.inputs_changed(spark, study).count() == 0
