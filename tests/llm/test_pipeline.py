@@ -2,6 +2,7 @@ import hashlib
 import os
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_lines import plain as plain_lines
 from test_simhash import plain_components, plain_fingerprint
 from tokenizers import Tokenizer
@@ -15,7 +16,7 @@ FOLDER = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and set(LLM.queries) <= names
-    assert [n.split("_")[0] for n in LLM.queries if n != "pipeline"].__len__() == 10
+    assert {n.split("_")[0] for n in LLM.queries} == {f"op{n}" for n in range(1, 14)}
     assert set(LLM.sql) <= set(__spark_entry__.oracle_sql())
 
 
@@ -46,3 +47,21 @@ def test_stages_keep_the_columns(spark, docs):
         out = step(spark, odd, FOLDER)
         assert out.dtypes == documents.dtypes, name
         assert step(spark, documents.limit(0), FOLDER).count() == 0, name
+
+
+def test_encode_takes_odd_rows(spark):
+    odd = spark.createDataFrame(
+        [(1, None, "a"), (2, "", "b"), (2, "", "b"), (None, "a b", None), (3, "word " * 20_000, "c")],
+        "doc_id long, text string, ids string",
+    ).withColumn("decoded", F.lit(1))
+    step = dict(corpus_pipeline.STAGES)["encode"]
+    rows = step(spark, odd, FOLDER).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert sorted(r.doc_id for r in rows if r.n_tokens == 0) == [1, 2, 2]
+    assert all(r.ids == [] and r.decoded_sha256 == empty for r in rows if r.n_tokens == 0)
+    by_id = {r.doc_id: r for r in rows}
+    library = Tokenizer.from_file(tokenizer_path())
+    for doc_id, text in ((None, "a b"), (3, "word " * 20_000)):
+        assert by_id[doc_id].ids == library.encode(text, add_special_tokens=False).ids
+        assert by_id[doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert step(spark, odd.limit(0), FOLDER).collect() == []
