@@ -245,7 +245,8 @@ def score_quality(
     A null text counts as empty; texts without words get the score of a zero vector; a null
     id stays null and is never learnt from; repeated rows count as often as they occur in
     contexts; other columns are not read; without labels, or with one value only, scores are
-    the smoothed share of label 1; an empty table gives an empty table.
+    the smoothed share of label 1; an empty table gives an empty table. Very long texts
+    are pooled whole.
     """
     texts = id_and_bytes(docs, id_col, text_col)
     words = WordVectors.of(context_matrix(texts))

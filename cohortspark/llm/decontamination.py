@@ -348,7 +348,8 @@ def find_leaks(
     or without an id are not looked for. Every item that has a window is tested; a window
     that several items pass counts for the least of them. A null text counts as empty and is clean; a null id stays null;
     repeated rows get the same verdict; other columns are not read; an empty table on
-    either side gives no leaks. A template matches by 64 hash bits.
+    either side gives no leaks. Very long texts are searched whole. A template matches by 64
+    hash bits.
     """
     found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), _row_key(column(text_col)).alias("row_key"))

@@ -184,7 +184,8 @@ def dedup_lines(
     They stay in the document of the least id only. A null or empty text is one empty line;
     documents without an id count as one document after all others; rows that share an id
     are one document and keep or lose lines together; other columns are not read; an
-    empty table gives an empty table. Lines equal in 128 hash bits count as equal.
+    empty table gives an empty table. Very long texts and lines are split and hashed whole.
+    Lines equal in 128 hash bits count as equal.
     """
 
     def build(table, block, gone, kept) -> Iterator[pa.RecordBatch]:

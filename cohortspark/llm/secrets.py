@@ -135,7 +135,8 @@ def find_secrets(
 
     Offsets are code points, ends exclusive. One row per input row. A null text counts as
     empty and has no spans; a null id stays null; repeated rows give repeated results;
-    other columns are not read; an empty table gives an empty table. Rows are matched to
+    other columns are not read; an empty table gives an empty table. Very long texts are
+    scanned whole. Rows are matched to
     their postings by a 64-bit key of id and text; a clash of keys only adds a candidate.
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text"))

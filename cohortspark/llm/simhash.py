@@ -230,7 +230,7 @@ def near_duplicates(
     ``component_id`` is the least doc_id reachable over links; rows without an id take the
     least id of their class, null where the class has none. A null text counts as empty;
     texts without words have fingerprint 0; repeated rows share a class; other columns
-    are not read; an empty table gives an empty table.
+    are not read; an empty table gives an empty table. Very long texts are shingled whole.
     """
     rows, members = classes(docs, id_col, text_col, shingle_words, max_bits, whole_rows=False)
     return rows.join(members, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
