@@ -8,7 +8,8 @@ and overwrites them in place. What needs all participants, the z-scores of the q
 taken from the stored narrow rows. The list of keys is written last: a run that dies repeats
 the same work on its next start, and nothing of it counts before.
 
-Rows of keys no longer listed stay in the folder and are never read.
+Rows of keys no longer listed stay in the folder and are never read. The library's own code is
+not part of a key: after a change of it, use a new output folder.
 """
 
 from __future__ import annotations
