@@ -21,11 +21,11 @@ _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] =
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _power_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, made once per process."""
+def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64: ``size`` at least, kept for the process."""
     global _powers
-    if _powers is None:
-        size = 2 * PIECE_BYTES + 2
+    if _powers is None or len(_powers[0]) < size:
+        size = 1 << max(18, size.bit_length())
         tables = []
         for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, factor, np.uint64)
@@ -54,14 +54,18 @@ def pieces(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def groups(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Pieces of many texts in groups of about ``PIECE_BYTES``, with the number of their text."""
+def groups(texts: Iterable[bytes], most: int | None = None) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Pieces of many texts in groups of about ``most`` bytes, with the number of their text.
+
+    As large as a piece may be if not given; a larger piece is a group of its own.
+    """
+    most = most or PIECE_BYTES
     numbers: list[int] = []
     parts: list[bytes] = []
     size = 0
     for number, text in enumerate(texts):
         for piece in pieces(text):
-            if parts and size + len(piece) + 1 > PIECE_BYTES:
+            if parts and size + len(piece) + 1 > most:
                 yield numbers, parts
                 numbers, parts, size = [], [], 0
             numbers.append(number)
@@ -83,7 +87,7 @@ def token_hashes(parts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np
     starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(data)]])
     solid = kind[starts] != 0
     starts, ends = starts[solid], ends[solid]
-    powers, inverse = _power_tables()
+    powers, inverse = _power_tables(len(data))
     weights = ((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * powers[: len(data)]
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(weights, out=total[1:])

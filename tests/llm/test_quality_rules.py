@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +109,65 @@ def test_buckets_follow_the_distinct_bigrams(spark):
     junk = [ratio[i] >= quality.THRESHOLD for i, q in quality_of.items() if q == 0]
     other = [ratio[i] >= quality.THRESHOLD for i in ratio if quality_of.get(i, 1) == 1]
     assert sum(junk) / len(junk) < 0.02 and sum(other) / len(other) > 0.9
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(1)
+    for top in (3, 400, 1 << 31):
+        raw = rng.integers(1, top, 3000)
+        target = rng.integers(0, raw + 1)
+        keys = np.cumsum(rng.integers(1, 1 << 20, len(raw)))
+        asked = quality.unpack_question(quality.pack_question(keys, raw, target))
+        assert all((a == b).all() for a, b in zip(asked, (keys, raw, target), strict=True))
+        every = raw + rng.integers(0, 1 << 40, len(raw)), target
+        answer = quality.pack_answer(*every, raw)
+        assert quality.answer_size(answer) == len(raw)
+        assert all((a == b).all() for a, b in zip(quality.unpack_answer(answer, raw), every, strict=True))
+
+
+def entropy(*columns):
+    often = np.unique(np.stack(columns), axis=1, return_counts=True)[1]
+    return -(often * np.log2(often / often.sum())).sum() / often.sum()
+
+
+def test_counts_travel_in_little_more_than_their_information():
+    """Counts with a long tail, as those of words; of two counts the second depends on the first."""
+    rng = np.random.default_rng(2)
+    own = np.minimum(rng.zipf(2.0, 60_000), 5000)
+    target = rng.binomial(own, 0.4)
+    gaps = rng.geometric(0.1, len(own))
+    every = own + rng.binomial(10 * own, 0.5)
+    in_trusted = rng.binomial(every, 0.4)
+    question = quality.pack_question(np.cumsum(gaps), own, target)
+    assert 8 * len(question) < 1.15 * len(own) * (entropy(gaps) + entropy(own, target))
+    # the block knows its own counts, so it needs only what they do not tell
+    answer = quality.pack_answer(every, in_trusted, own)
+    assert 8 * len(answer) < 1.05 * len(own) * entropy(every, in_trusted)
+
+
+def test_block_is_counted_in_little_memory():
+    """Counts equal plain ones, and working memory stays near the size of the texts."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{n:x}" for n in range(20_000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 2000)]) for _ in range(800)]
+    table = pa.table({"c0": pa.array(range(len(texts))), "c1": texts})
+    trusted = list(range(0, len(texts), 3))
+    every = [quality.ngram_buckets([t.encode()], 18)[0] for t in texts]
+    plain = [np.bincount(np.concatenate(part), minlength=4 << 18) for part in (every, every[::3])]
+    quality.block_counts(table.slice(0, 1), 1, 18, [])  # tables that are made once
+    tracemalloc.start()
+    keys, raw, target = quality.block_counts(table, 1, 18, trusted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (keys == np.flatnonzero(plain[0])).all()
+    assert (raw == plain[0][keys]).all() and (target == plain[1][keys]).all()
+    assert peak < 6 * sum(map(len, texts)), peak / sum(map(len, texts))
+
+
+def test_groups_of_a_given_size():
+    texts = [b"a b", b"", b"c " * 40, b"d"]
+    found = list(tokens.groups(texts, 10))
+    assert [n for numbers, _ in found for n in numbers] == [0, 1, 2, 3]
+    assert [len(b"\n".join(parts)) <= 10 for _, parts in found] == [True, False, True]
+    long = b"word " * 100_000
+    assert len(set(tokens.token_hashes([long])[0].tolist())) == 1
