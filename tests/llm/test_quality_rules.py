@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cohortspark.llm import blocks as bk
 from cohortspark.llm import quality, tokens
 from cohortspark.llm.queries import LLM
 
@@ -151,14 +152,17 @@ def test_block_is_counted_in_little_memory():
     words = np.array([f"w{n:x}" for n in range(20_000)])
     texts = [" ".join(words[rng.integers(0, len(words), 2000)]) for _ in range(800)]
     table = pa.table({"c0": pa.array(range(len(texts))), "c1": texts})
+    block = bk.pack(table.to_batches(max_chunksize=32))
     trusted = list(range(0, len(texts), 3))
     every = [quality.ngram_buckets([t.encode()], 18)[0] for t in texts]
     plain = [np.bincount(np.concatenate(part), minlength=4 << 18) for part in (every, every[::3])]
-    quality.block_counts(table.slice(0, 1), 1, 18, [])  # tables that are made once
+    edges = quality.shard_edges(18, 16)[1:]
     tracemalloc.start()
-    keys, raw, target = quality.block_counts(table, 1, 18, trusted)
+    found = list(quality.block_counts(block, 1, 18, trusted, edges))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
+    assert all((np.searchsorted(edges, part[0], side="right") == n).all() for n, part in enumerate(found))
+    keys, raw, target = (np.concatenate(part) for part in zip(*found, strict=True))
     assert (keys == np.flatnonzero(plain[0])).all()
     assert (raw == plain[0][keys]).all() and (target == plain[1][keys]).all()
     assert peak < 6 * sum(map(len, texts)), peak / sum(map(len, texts))
